@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.config import MAX_BROADCAST_ROWS, Settings
+from pagequarry.config import Settings
 from pagequarry.functions.text import iso_timestamp
 from pagequarry.operators.chunking import chunks_of
+from pagequarry.session import broadcast_if_small
 
 ONLY_PDF = "Only PDF files are supported"
 NO_TEXT = "No text could be extracted from PDF"
@@ -114,8 +115,7 @@ def with_document(chunks: DataFrame, documents: DataFrame) -> DataFrame:
 def small_ids(ids: DataFrame, column: str = "document_id") -> DataFrame:
     """Distinct ids, marked for broadcast only when counting shows that they are few."""
     distinct = ids.select(F.col(column).cast("bigint").alias(column)).distinct()
-    fits = distinct.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
-    return F.broadcast(distinct) if fits else distinct
+    return broadcast_if_small(distinct)
 
 
 def without_documents(table: DataFrame, ids: DataFrame, key: str) -> DataFrame:

@@ -26,8 +26,10 @@ from pyspark.sql import types as T
 
 from pagequarry.config import MAX_BROADCAST_ROWS, MAX_SHIPPED_BYTES
 
-CELL_CHUNKS = 32_768
-CELL_QUERIES = 4_096
+# Bytes of vectors on each side of a cell: what one task holds, and what decides how often each
+# row is copied. The query block is held as a matrix throughout, the chunk block is passed over.
+CELL_CHUNK_BYTES = 192 * 1024 * 1024
+CELL_QUERY_BYTES = 32 * 1024 * 1024
 # Most group values pushed down to the chunk scan as an IN list.
 MAX_PUSHED_GROUPS = 1_000
 
@@ -278,8 +280,8 @@ def nearest(
     group: str | None = None,
     only: str | None = None,
     max_shipped_bytes: int = MAX_SHIPPED_BYTES,
-    cell_chunks: int = CELL_CHUNKS,
-    cell_queries: int = CELL_QUERIES,
+    cell_chunks: int | None = None,
+    cell_queries: int | None = None,
 ) -> DataFrame:
     """The k nearest chunks of each query: query_id, rank, id, similarity.
 
@@ -322,6 +324,8 @@ def nearest(
         ranked = best_per_query(partial, k)
         small = head.num_rows * k <= MAX_BROADCAST_ROWS
     else:
+        cell_chunks = cell_chunks or max(1, CELL_CHUNK_BYTES // (4 * dimension))
+        cell_queries = cell_queries or max(1, CELL_QUERY_BYTES // (4 * dimension))
         cells = _cells(chunks.select(*held), asked, bool(group), cell_chunks, cell_queries)
         partial = _blocked(*cells, k, dimension, output, arrow_output)
         ranked = best_per_query(partial, k)

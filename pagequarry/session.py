@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagequarry.config import MAX_BROADCAST_ROWS
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
@@ -23,7 +28,22 @@ def build_session(app: str, cpus: int | str = "*", **conf: str) -> SparkSession:
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
+
+
+_shipped_to: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Make this package importable in the Python workers of a session, once per application."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped_to:
+        package = os.path.dirname(os.path.abspath(__file__))
+        base = os.path.join(tempfile.mkdtemp(prefix="pagequarry-"), "pagequarry")
+        archive = shutil.make_archive(base, "zip", os.path.dirname(package), os.path.basename(package))
+        context.addPyFile(archive)
+        _shipped_to.add(context.applicationId)
+    return spark
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -52,3 +72,8 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(df: DataFrame, most: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Mark a table of narrow rows for broadcast when counting shows that it is small."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -1,0 +1,70 @@
+import datetime
+
+from pyspark.sql import functions as F
+
+from pagequarry.operators.chunking import chunk_documents
+from pagequarry.operators.encoding import lexical_encoder
+from pagequarry.streaming import flows
+
+LOGS = "id bigint, latency_ms int, token_count int, model_used string, created_at timestamp"
+
+
+def at(day, hour=0):
+    return datetime.datetime(2024, 1, day, hour)
+
+
+def add(spark, path, rows):
+    spark.createDataFrame(rows, LOGS).coalesce(1).write.mode("append").parquet(path)
+
+
+def follow(spark, path, schema):
+    return flows.follow(spark, path, "*.parquet", schema)
+
+
+def test_ingest_continues_where_it_stopped(spark, tmp_path):
+    source, target, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    schema = "document_id bigint, pages array<struct<page_number:int,text:string>>"
+    first = spark.createDataFrame([(1, [(1, "a" * 3000)])], schema)
+    second = spark.createDataFrame([(2, [(1, "b"), (2, "c")])], schema)
+    for batch in (first, second):
+        batch.write.mode("append").parquet(source)
+        stream = follow(spark, source, batch.schema)
+        flows.ingest(stream, target, progress, encoder=lexical_encoder()).awaitTermination()
+    got = spark.read.parquet(target)
+    expected = chunk_documents(first.unionByName(second))
+    assert sorted(map(tuple, got.select(expected.columns).collect())) == sorted(map(tuple, expected.collect()))
+    assert got.filter(F.size("embedding") != 384).count() == 0
+
+
+def test_log_append_keeps_every_row_once(spark, tmp_path):
+    source, target, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    for n in range(3):
+        add(spark, source, [(n, 5, 1, "m", at(1))])
+        flows.append_logs(follow(spark, source, spark.read.parquet(source).schema), target, progress).awaitTermination()
+    assert sorted(r["id"] for r in spark.read.parquet(target).collect()) == [0, 1, 2]
+
+
+def test_live_stats(spark, tmp_path):
+    source, target, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+    for n, latency in enumerate([10, 21, 21]):
+        add(spark, source, [(n, latency, 1, "m", at(1))])
+        flows.live_stats(follow(spark, source, spark.read.parquet(source).schema), target, progress).awaitTermination()
+        last = flows.latest_stats(spark, target).first()
+        assert last["total_queries"] == n + 1
+    assert last["avg_latency_ms"] == 17.33
+
+
+def test_rollup_emits_closed_buckets_and_drops_late_rows(spark, tmp_path):
+    source, target, progress = (str(tmp_path / n) for n in ("in", "out", "progress"))
+
+    def run():
+        flows.rollup(follow(spark, source, spark.read.parquet(source).schema), target, progress).awaitTermination()
+        return sorted(tuple(r) for r in spark.read.parquet(target).collect())
+
+    add(spark, source, [(1, 10, 5, "m", at(1, 3)), (2, 20, 5, "m", at(1, 4)), (3, 7, 1, "m", at(2, 0))])
+    assert run() == []
+    add(spark, source, [(4, 1, 1, "m", at(2, 2))])
+    closed = [(at(1), "m", 2, 15.0, 10)]
+    assert run() == closed
+    add(spark, source, [(5, 99, 9, "m", at(1, 5)), (6, 1, 1, "m", at(4))])
+    assert run() == closed + [(at(2), "m", 2, 4.0, 2)]

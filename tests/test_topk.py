@@ -1,0 +1,141 @@
+import math
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from pagequarry.operators.topk import nearest
+
+DIM = 6
+HELD = "id bigint, document_id bigint, embedding array<float>"
+ASKED = "query_id bigint, groups array<bigint>, only bigint, embedding array<float>"
+BLOCKED = {"max_shipped_bytes": 0, "cell_chunks": 40, "cell_queries": 7}
+
+
+def brute(held, asked, k, group=True):
+    """Left-to-right double sums, sorted by score then id."""
+    result = {}
+    for query, groups, only, q in asked:
+        scored = []
+        for ident, document, v in held:
+            if groups is not None and document not in groups:
+                continue
+            if only is not None and document != only:
+                continue
+            dot = n = m = 0.0
+            for a, b in zip(np.float32(v).tolist(), np.float32(q).tolist()):
+                dot, n, m = dot + a * b, n + a * a, m + b * b
+            score = None if n * m == 0 else min(1.0, max(-1.0, dot / math.sqrt(n * m)))
+            scored.append((score is None, -(score or 0), ident, score))
+        result[query] = [(ident, score) for _, _, ident, score in sorted(scored, key=lambda s: s[:3])[:k]]
+    return result
+
+
+def run(spark, held, asked, k, parts=4, **options):
+    chunks = spark.createDataFrame(held, HELD).repartition(parts)
+    queries = spark.createDataFrame(asked, ASKED)
+    options = {"group": "document_id", "only": "document_id", **options}
+    got = {}
+    for row in nearest(chunks, queries, k, DIM, **options).orderBy("query_id", "rank").collect():
+        got.setdefault(row["query_id"], []).append(row)
+    for rows in got.values():
+        assert [r["rank"] for r in rows] == list(range(1, len(rows) + 1))
+    return {q: [(r["id"], r["similarity"]) for r in rows] for q, rows in got.items()}
+
+
+def without_empty(result):
+    return {q: hits for q, hits in result.items() if hits}
+
+
+vector = st.lists(st.integers(-2, 2).map(float), min_size=DIM, max_size=DIM)
+
+
+@settings(max_examples=12, deadline=None)
+@given(data=st.data())
+@pytest.mark.parametrize("options", [{}, BLOCKED], ids=["shipped", "blocked"])
+def test_against_brute_force(spark, options, data):
+    """Small integer vectors: many exact ties, copies and zero vectors."""
+    held = [
+        (n, data.draw(st.integers(0, 3)), data.draw(vector)) for n in range(data.draw(st.integers(1, 60)))
+    ]
+    groups = st.one_of(st.none(), st.lists(st.integers(0, 4), max_size=3))
+    asked = [
+        (n, data.draw(groups), data.draw(st.one_of(st.none(), st.integers(0, 4))), data.draw(vector))
+        for n in range(data.draw(st.integers(1, 15)))
+    ]
+    k = data.draw(st.integers(1, 7))
+    assert run(spark, held, asked, k, **options) == without_empty(brute(held, asked, k))
+
+
+@pytest.mark.parametrize("options", [{}, BLOCKED], ids=["shipped", "blocked"])
+def test_a_third_of_all_vectors_are_copies(spark, options):
+    random = np.random.default_rng(7)
+    held = []
+    for n in range(3000):
+        copy = n % 3 == 0
+        held.append((n, 0 if copy else n % 50, [0.5] * DIM if copy else random.normal(size=DIM).tolist()))
+    asked = [(n, None, None, [0.5] * DIM if n % 3 == 0 else random.normal(size=DIM).tolist()) for n in range(30)]
+    asked += [(100 + n, [0], None, random.normal(size=DIM).tolist()) for n in range(10)]
+    got = run(spark, held, asked, 5, **{**options, **({"cell_chunks": 200} if options else {})})
+    assert got == without_empty(brute(held, asked, 5))
+    assert [ident for ident, _ in got[0]] == [0, 3, 6, 9, 12]
+
+
+def test_result_does_not_depend_on_the_layout(spark):
+    random = np.random.default_rng(3)
+    held = [(n, n % 5, random.normal(size=DIM).tolist()) for n in range(500)]
+    asked = [(n, None, None, random.normal(size=DIM).tolist()) for n in range(20)]
+    results = [run(spark, held, asked, 4, parts) for parts in (1, 7)] + [run(spark, held, asked, 4, 3, **BLOCKED)]
+    assert results[0] == results[1] == results[2] == brute(held, asked, 4)
+
+
+def test_zero_vectors_rank_last_without_a_score(spark):
+    held = [(1, 0, [0.0] * DIM), (2, 0, [-1.0] + [0.0] * (DIM - 1))]
+    asked = [(1, None, None, [1.0] + [0.0] * (DIM - 1)), (2, None, None, [0.0] * DIM)]
+    got = run(spark, held, asked, 5)
+    assert got[1] == [(2, -1.0), (1, None)]
+    assert got[2] == [(1, None), (2, None)]
+
+
+def test_ties_go_to_the_lower_id(spark):
+    held = [(n, 0, [1.0] * DIM) for n in (9, 4, 7)]
+    assert [i for i, _ in run(spark, held, [(1, None, None, [2.0] * DIM)], 2)[1]] == [4, 7]
+
+
+def test_filter_comes_before_the_limit(spark):
+    held = [(n, 1, [1.0] * DIM) for n in range(20)] + [(n, 2, [-1.0] * DIM) for n in range(20, 23)]
+    got = run(spark, held, [(1, [2], None, [1.0] * DIM), (2, None, 2, [1.0] * DIM)], 5)
+    assert [i for i, _ in got[1]] == [i for i, _ in got[2]] == [20, 21, 22]
+
+
+def test_empty_sides(spark):
+    assert run(spark, [], [(1, None, None, [1.0] * DIM)], 3) == {}
+    assert run(spark, [(1, 0, [1.0] * DIM)], [], 3) == {}
+    assert run(spark, [], [(1, None, None, [1.0] * DIM)], 3, **BLOCKED) == {}
+
+
+def test_wrong_dimension_fails(spark):
+    with pytest.raises(Exception, match="dimensions"):
+        run(spark, [(1, 0, [1.0, 2.0])], [(1, None, None, [1.0] * DIM)], 3)
+
+
+def test_string_query_ids(spark):
+    chunks = spark.createDataFrame([(1, 0, [1.0] * DIM)], HELD)
+    queries = spark.createDataFrame([("a:1", [1.0] * DIM)], "query_id string, embedding array<float>")
+    assert nearest(chunks, queries, 3, DIM).first()["query_id"] == "a:1"
+
+
+def test_no_cross_join_and_no_unused_column(spark, tmp_path):
+    random = np.random.default_rng(1)
+    rows = [(n, n % 5, random.normal(size=DIM).tolist(), "text") for n in range(50)]
+    path = str(tmp_path / "chunks")
+    spark.createDataFrame(rows, HELD + ", content string").write.parquet(path)
+    queries = spark.createDataFrame([(1, [2], None, [1.0] * DIM)], ASKED)
+    plan = nearest(spark.read.parquet(path), queries, 3, DIM, group="document_id")
+    text = plan._jdf.queryExecution().toString()
+    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+    assert "content" not in text.split("ReadSchema")[-1]
+    assert "PushedFilters: [In(document_id, [2])]" in text or "EqualTo(document_id,2)" in text
+    assert "WindowGroupLimit" in text
