@@ -35,7 +35,9 @@ MAX_PUSHED_GROUPS = 1_000
 
 _SCORES_PER_STEP = 4_000_000
 _PAIRS_PER_STEP = 4_096
+# Stands for "no score" inside a task: below every cosine, above the excluded pairs at -inf.
 _NO_LENGTH = -2.0
+_LOWEST = -3.0
 
 
 def matrix(vectors: pa.Array | pa.ChunkedArray, dimension: int) -> np.ndarray:
@@ -191,14 +193,14 @@ class QuerySide:
             meets = self.filter[queries][:, None] == only[block][None, :]
             scores[~(meets | ~self.filtered[queries][:, None])] = -np.inf
         slack, k = self.table.slack, leaders.k
-        floor = (leaders.floor[queries] - slack)[:, None]
-        hits = (scores >= floor) & (scores > -np.inf)
-        if len(block) > k and np.count_nonzero(hits) > 4 * k * len(queries):
-            kth = np.partition(scores, len(block) - k, axis=1)[:, len(block) - k]
-            hits &= scores >= kth[:, None] - 2 * slack
-        query, row = np.nonzero(hits)
-        if not len(query):
+        floor = np.maximum(leaders.floor[queries] - slack, _LOWEST).astype(np.float32)
+        hits = np.flatnonzero(scores >= floor[:, None])
+        if len(block) > k and len(hits) > 4 * k * len(queries):
+            kth = np.partition(scores, len(block) - k, axis=1)[:, len(block) - k] - 2 * slack
+            hits = np.flatnonzero(scores >= np.maximum(floor, kth.astype(np.float32))[:, None])
+        if not len(hits):
             return
+        query, row = np.divmod(hits, len(block))
         query, row = queries[query], block[row]
         if len(query) > 4 * k * len(queries):
             # Many copies of one vector: score each distinct vector once.

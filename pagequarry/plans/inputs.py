@@ -33,7 +33,7 @@ def catalogue(spark: SparkSession, folder: str, filename=None) -> DataFrame:
 
 def conversation_pages(spark: SparkSession, folder: str) -> DataFrame:
     """One row per page: a conversation is a document, a turn is a page."""
-    return spread(scan(spark, folder, "conversations"), "conv_id").select(
+    return spread(scan(spark, folder, "conversations"), "conv_id", "turn").select(
         F.col("conv_id").alias("document_id"),
         (F.col("turn") + 1).cast("int").alias("page_number"),
         "text",

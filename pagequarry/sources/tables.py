@@ -12,15 +12,15 @@ def scan(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
+def spread(df: DataFrame, *key: str) -> DataFrame:
     """Redistribute a scan that has too few splits to occupy the session.
 
-    Tables of many files already have more splits than cores and are returned as they are.
+    The key should be unique, so that the parts are even. Tables of many files already have more splits than cores and are returned as they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if 2 * df.rdd.getNumPartitions() > cores:
         return df
-    return df.repartition(cores, key)
+    return df.repartition(cores, *key)
 
 
 def read_stored(spark: SparkSession, path: str, table: str, *extra) -> DataFrame:
