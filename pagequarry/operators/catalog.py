@@ -51,13 +51,22 @@ def finalise(extracted: DataFrame, settings: Settings = Settings()) -> DataFrame
         .withColumn(
             "num_chunks", F.coalesce(F.size(chunks_of(F.col("pages"), settings)), F.lit(0))
         )
-        .withColumn("num_chunks", F.greatest("num_chunks", F.lit(0)))
         .withColumn("status", F.when(failed | textless, "failed").otherwise("completed"))
         .withColumn("error_code", F.when(failed, 500).when(textless, 400))
         .withColumn("error", F.when(failed, PROCESS_FAILED).when(textless, NO_TEXT))
     )
 
 
+def counters() -> list[Column]:
+    """What an ingest reports about finalised documents, as aggregates to observe or select."""
+    return [
+        F.count("*").alias("documents"),
+        F.coalesce(F.sum(F.coalesce(F.size("pages"), F.lit(0))), F.lit(0)).alias("pages"),
+        F.coalesce(F.sum("num_chunks"), F.lit(0)).alias("chunks"),
+        F.count(F.when(F.col("status") == "failed", 1)).alias("failed"),
+    ]
+
+
 def list_documents(documents: DataFrame) -> DataFrame:
     """Newest first; documents without an upload time lead, as in the source database."""
     return documents.orderBy(F.desc_nulls_first("uploaded_at"), F.desc("id")).select(
@@ -112,6 +121,11 @@ def with_document(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     return chunks.join(named, "document_id")
 
 
+def chunks_of_document(chunks: DataFrame, document_id: int) -> DataFrame:
+    """The chunks of one document in reading order."""
+    return chunks.filter(F.col("document_id") == document_id).orderBy("chunk_index")
+
+
 def small_ids(ids: DataFrame, column: str = "document_id") -> DataFrame:
     """Distinct ids, marked for broadcast only when counting shows that they are few."""
     distinct = ids.select(F.col(column).cast("bigint").alias(column)).distinct()

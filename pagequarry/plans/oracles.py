@@ -256,6 +256,12 @@ ORACLES: dict[str, str] = {
     "ingest_status": INGESTED + "select * from ingested",
     "status_counts": INGESTED
     + "select status, count(*)::bigint as documents from ingested group by status",
+    "ingest_counters": INGESTED + """
+      select count(*)::bigint as documents,
+             count(case when status = 'completed' then 1 end)::bigint as pages,
+             sum(num_chunks)::bigint as chunks,
+             count(case when status = 'failed' then 1 end)::bigint as failed
+      from ingested""",
     "stats": _with(DOCUMENT_CHUNKS, LOGS) + """
       select (select count(*) from logs) as total_queries,
              (select round(coalesce(avg(latency_ms), 0), 2) from logs) as avg_latency_ms,

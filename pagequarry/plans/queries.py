@@ -273,6 +273,10 @@ def status_counts(spark: SparkSession, folder: str) -> DataFrame:
     return catalog.status_counts(ingested(spark, folder))
 
 
+def ingest_counters(spark: SparkSession, folder: str) -> DataFrame:
+    return ingested(spark, folder).agg(*catalog.counters())
+
+
 # Logs and statistics
 
 
@@ -438,6 +442,7 @@ QUERIES: dict[str, Query] = {
     "delete_missing": delete_missing,
     "ingest_status": ingest_status,
     "status_counts": status_counts,
+    "ingest_counters": ingest_counters,
     "stats": stats,
     "stats_empty": stats_empty,
     "logs_recent": logs_recent,
