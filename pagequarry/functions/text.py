@@ -36,6 +36,11 @@ def iso_timestamp(ts: Column) -> Column:
     return F.concat(F.when(micros == 0, whole).otherwise(fraction), F.lit("+00:00"))
 
 
+def utc_instant(wall_clock: Column) -> Column:
+    """The instant at which clocks in UTC showed a time without zone."""
+    return F.from_utc_timestamp(wall_clock.cast("timestamp"), F.current_timezone())
+
+
 def elapsed_ms(start: Column, end: Column) -> Column:
     """Whole milliseconds between two instants, truncated."""
     micros = F.unix_micros(end) - F.unix_micros(start)

@@ -168,7 +168,7 @@ def _list_hits(bound: str) -> str:
       where {bound} qualify rank <= {TOP_K})"""
 
 
-_ROLLUP = """select date_trunc('day', created_at)::timestamp as bucket_start, model_used,
+_ROLLUP = """select {bucket} as bucket_start, model_used,
   count(*)::bigint as queries, round(avg(latency_ms), 2) as avg_latency_ms"""
 
 ORACLES: dict[str, str] = {
@@ -231,7 +231,9 @@ ORACLES: dict[str, str] = {
              strftime(uploaded_at, '%Y-%m-%dT%H:%M:%S') || '+00:00' as uploaded_at
       from catalogue order by catalogue.uploaded_at desc, id desc""",
     "document_options": _with(CATALOGUE, OPTIONS)
-    + "select filename, id, last_uploaded_at from options",
+    + """select filename, id,
+           strftime(last_uploaded_at, '%Y-%m-%dT%H:%M:%S') || '+00:00' as last_uploaded_at
+         from options""",
     "picked_documents": _with(CATALOGUE, OPTIONS, QUESTIONS) + f"""
       , picked as (
         select query_id, case when length(query) % 25 = 0 then '{catalog.ALL_DOCUMENTS}'
@@ -277,7 +279,8 @@ ORACLES: dict[str, str] = {
       select id, query, left(query, 50) || '...' as query_preview, latency_ms, token_count,
              model_used, created_at
       from logs order by created_at desc, id desc""",
-    "log_rollup": _with(LOGS) + _ROLLUP + """,
+    "log_rollup": _with(LOGS)
+    + _ROLLUP.format(bucket="date_trunc('day', created_at)::timestamp") + """,
              quantile_cont(latency_ms::double, 0.5) as p50_latency_ms,
              quantile_cont(latency_ms::double, 0.95) as p95_latency_ms,
              sum(token_count)::bigint as token_sum
@@ -321,7 +324,9 @@ ORACLES: dict[str, str] = {
     "stream_stats": _with(LOGS) + """
       select count(*)::bigint as total_queries, round(avg(latency_ms), 2) as avg_latency_ms
       from logs""",
-    "stream_rollup": _with(LOGS) + _ROLLUP + """, sum(token_count)::bigint as token_sum
+    "stream_rollup": _with(LOGS)
+    + _ROLLUP.format(bucket="strftime(date_trunc('day', created_at), '%Y-%m-%dT%H:%M:%S') || '+00:00'")
+    + """, sum(token_count)::bigint as token_sum
       from logs
       where date_trunc('day', created_at) + interval 1 day
             <= (select max(created_at) from logs) - interval 1 hour

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pagequarry.config import Settings
 from pagequarry.functions import display
+from pagequarry.functions.text import iso_timestamp, utc_instant
 from pagequarry.operators import ann, answering, catalog, logs, retrieval
 from pagequarry.operators.chunking import (
     chunk_documents,
@@ -209,7 +210,8 @@ def documents_list(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def document_options(spark: SparkSession, folder: str) -> DataFrame:
-    return catalog.document_options(inputs.catalogue(spark, folder, F.col("source")))
+    options = catalog.document_options(inputs.catalogue(spark, folder, F.col("source")))
+    return options.withColumn("last_uploaded_at", iso_timestamp(F.col("last_uploaded_at")))
 
 
 def picked_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -411,10 +413,11 @@ def stream_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 def stream_rollup(spark: SparkSession, folder: str) -> DataFrame:
     entries = inputs.shape_logs(_follow(spark, folder, "events"))
-    entries = entries.withColumn("created_at", F.col("created_at").cast("timestamp"))
+    entries = entries.withColumn("created_at", utc_instant(F.col("created_at")))
     target = scratch_path(spark, "stream-rollup")
     flows.rollup(entries, target, scratch_path(spark, "progress")).awaitTermination()
-    return spark.read.parquet(target).withColumn("bucket_start", F.col("bucket_start").cast("timestamp_ntz"))
+    buckets = spark.read.parquet(target)
+    return buckets.withColumn("bucket_start", iso_timestamp(F.col("bucket_start")))
 
 
 QUERIES: dict[str, Query] = {
