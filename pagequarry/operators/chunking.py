@@ -95,3 +95,8 @@ def chunk_key(document_id: Column, chunk_index: Column) -> Column:
     full = F.raise_error(F.lit(f"a document has more than {1 << CHUNK_BITS} chunks"))
     key = F.shiftleft(document_id.cast("bigint"), CHUNK_BITS) + chunk_index
     return F.when(chunk_index >= (1 << CHUNK_BITS), full.cast("bigint")).otherwise(key)
+
+
+def document_of(key: Column) -> Column:
+    """The document id inside a chunk key."""
+    return F.shiftright(key, CHUNK_BITS)

@@ -342,6 +342,9 @@ def _shipped(chunks, held, head, k, dimension, group, output, arrow_output) -> D
         wanted = sorted({value for part in groups for value in part})
         if len(wanted) <= MAX_PUSHED_GROUPS:
             chunks = chunks.filter(F.col(group).isin(wanted))
+        elif len(wanted) <= MAX_BROADCAST_ROWS:
+            keys = chunks.sparkSession.createDataFrame(pa.table({group: pa.array(wanted, pa.int64())}))
+            chunks = chunks.join(F.broadcast(keys), group, "left_semi")
     payload = chunks.sparkSession.sparkContext.broadcast(head)
     grouped = group is not None
 

@@ -17,11 +17,12 @@ from pagequarry.operators.chunking import (
     chunk_key,
     chunk_page_rows,
     count_chunks,
+    document_of,
     number_chunks,
 )
 from pagequarry.operators.encoding import attach_vectors, embed, lexical_encoder
 from pagequarry.plans import inputs
-from pagequarry.session import scratch_path
+from pagequarry.session import broadcast_if_small, materialise, scratch_path
 from pagequarry.sources.files import page_rows
 from pagequarry.sources.tables import scan, spread
 from pagequarry.streaming import flows
@@ -62,9 +63,9 @@ def page_split(spark: SparkSession, folder: str) -> DataFrame:
     return page_rows(paged, "text")
 
 
-def keyed_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    """Chunks of all documents with their ids."""
-    return chunks_of_documents(spark, folder).withColumn(
+def keyed_chunks(documents: DataFrame) -> DataFrame:
+    """Chunks of documents with their ids."""
+    return chunk_documents(documents, TEXT).withColumn(
         "id", chunk_key(F.col("document_id"), F.col("chunk_index"))
     )
 
@@ -74,7 +75,7 @@ def keyed_chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 def lexical_encode(spark: SparkSession, folder: str) -> DataFrame:
     """The non-zero vector entries of every chunk."""
-    encoded = embed(keyed_chunks(spark, folder), lexical_encoder())
+    encoded = embed(keyed_chunks(inputs.text_documents(spark, folder)), lexical_encoder())
     return (
         encoded.select("document_id", "chunk_index", F.posexplode("embedding").alias("bucket", "tf"))
         .filter(F.col("tf") > 0)
@@ -83,9 +84,16 @@ def lexical_encode(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def lexical_hits(spark: SparkSession, folder: str) -> DataFrame:
+    """Search from raw text. The winners, k rows per question, are written once; then only their
+    documents are cut again to fetch the text."""
     encoder = lexical_encoder()
-    chunks = embed(keyed_chunks(spark, folder), encoder)
-    return retrieval.search_text(chunks, inputs.questions(spark, folder), encoder, TEXT)
+    documents = inputs.text_documents(spark, folder)
+    queries = inputs.questions(spark, folder).withColumn("embedding", encoder(F.col("query")))
+    ranked = retrieval.rank_chunks(embed(keyed_chunks(documents), encoder), queries, TEXT)
+    winners = materialise(ranked, "winners")
+    winning = winners.select(document_of(F.col("id")).alias("document_id")).distinct()
+    held = keyed_chunks(documents.join(winning, "document_id", "left_semi"))
+    return retrieval.describe_hits(broadcast_if_small(winners), held)
 
 
 def lexical_topk(spark: SparkSession, folder: str) -> DataFrame:
@@ -284,7 +292,7 @@ def ingest_counters(spark: SparkSession, folder: str) -> DataFrame:
 
 def stats(spark: SparkSession, folder: str) -> DataFrame:
     documents = inputs.catalogue(spark, folder)
-    return logs.stats(documents, keyed_chunks(spark, folder), inputs.event_logs(spark, folder))
+    return logs.stats(documents, keyed_chunks(inputs.text_documents(spark, folder)), inputs.event_logs(spark, folder))
 
 
 def stats_empty(spark: SparkSession, folder: str) -> DataFrame:

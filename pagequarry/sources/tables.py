@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-
-from pagequarry import schemas
+from pyspark.sql import types as T
 
 
 def scan(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -23,11 +22,8 @@ def spread(df: DataFrame, *key: str) -> DataFrame:
     return df.repartition(cores, *key)
 
 
-def read_stored(spark: SparkSession, path: str, table: str, *extra) -> DataFrame:
-    """A stored table, or an empty one where nothing has been written yet."""
-    schema = schemas.TABLES[table]
-    for field in extra:
-        schema = type(schema)(schema.fields + [field])
+def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A parquet folder, or no rows where nothing has been written yet."""
     try:
         return spark.read.schema(schema).parquet(path)
     except AnalysisException as error:

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from pagequarry.operators.chunking import chunk_documents
 from pagequarry.operators.encoding import lexical_encoder
+from pagequarry.plans.store import DocumentStore
+from pagequarry.sources.files import plain_text, read_files
 from pagequarry.streaming import flows
 
 LOGS = "id bigint, latency_ms int, token_count int, model_used string, created_at timestamp"
@@ -68,3 +70,24 @@ def test_rollup_emits_closed_buckets_and_drops_late_rows(spark, tmp_path):
     assert run() == closed
     add(spark, source, [(5, 99, 9, "m", at(1, 5)), (6, 1, 1, "m", at(4))])
     assert run() == closed + [(at(2), "m", 2, 4.0, 2)]
+
+
+def test_uploads_are_ingested_as_they_arrive_and_a_replay_changes_nothing(spark, tmp_path):
+    folder, progress = tmp_path / "uploads", str(tmp_path / "progress")
+    folder.mkdir()
+    store = DocumentStore(spark, str(tmp_path / "store"))
+
+    def run():
+        files = flows.follow_files(spark, str(folder), most=1)
+        flows.ingest_files(store, files, plain_text, progress).awaitTermination()
+        return sorted((r["id"], r["filename"]) for r in store.documents().collect())
+
+    (folder / "a.pdf").write_text("first text")
+    (folder / "b.txt").write_text("not taken")
+    assert run() == [(1, "a.pdf")]
+    (folder / "c.pdf").write_text("second\fthird")
+    assert run() == [(1, "a.pdf"), (2, "c.pdf")]
+    before = sorted(map(tuple, store.chunks().select("id", "document_id", "content").collect()))
+    last = store._stored("documents").agg(F.max("part")).first()[0]
+    store.ingest(read_files(spark, str(folder / "c.pdf")), plain_text, part=last)
+    assert sorted(map(tuple, store.chunks().select("id", "document_id", "content").collect())) == before

@@ -110,6 +110,13 @@ def test_filter_comes_before_the_limit(spark):
     assert [i for i, _ in got[1]] == [i for i, _ in got[2]] == [20, 21, 22]
 
 
+def test_many_bound_groups_are_filtered_before_scoring(spark):
+    random = np.random.default_rng(11)
+    held = [(n, n // 2, random.normal(size=DIM).tolist()) for n in range(4000)]
+    asked = [(n, [n], None, random.normal(size=DIM).tolist()) for n in range(0, 3000, 2)]
+    assert run(spark, held, asked, 3) == without_empty(brute(held, asked, 3))
+
+
 def test_empty_sides(spark):
     assert run(spark, [], [(1, None, None, [1.0] * DIM)], 3) == {}
     assert run(spark, [(1, 0, [1.0] * DIM)], [], 3) == {}
