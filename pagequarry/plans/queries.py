@@ -231,10 +231,10 @@ def picked_documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def chunk_with_document(spark: SparkSession, folder: str) -> DataFrame:
-    named = catalog.with_document(
-        chunks_of_documents(spark, folder), inputs.catalogue(spark, folder)
+    chunks = chunks_of_documents(spark, folder).select(
+        "document_id", "chunk_index", "page_number", F.length("content").alias("length")
     )
-    return named.select("document_id", "filename", "chunk_index", "page_number", F.length("content").alias("length"))
+    return catalog.with_document(chunks, inputs.catalogue(spark, folder))
 
 
 def toxic_documents(spark: SparkSession, folder: str) -> DataFrame:
