@@ -40,26 +40,26 @@ _NO_LENGTH = -2.0
 _LOWEST = -3.0
 
 
-def matrix(vectors: pa.Array | pa.ChunkedArray, dimension: int) -> np.ndarray:
+def matrix(vectors: pa.Array, dimension: int) -> np.ndarray:
     """A list<float> column as a float32 matrix, without copying where Arrow allows it."""
-    if isinstance(vectors, pa.ChunkedArray):
-        vectors = vectors.combine_chunks()
     flat = vectors.flatten().to_numpy(zero_copy_only=False)
     if vectors.null_count or flat.size != len(vectors) * dimension:
         raise ValueError(f"every vector must have {dimension} dimensions")
     return flat.astype(np.float32, copy=False).reshape(len(vectors), dimension)
 
 
-def _squared_lengths(rows: np.ndarray) -> np.ndarray:
-    wide = rows.astype(np.float64)
-    return np.add.accumulate(wide * wide, axis=1)[:, -1] if wide.size else np.zeros(len(rows))
+def _summed(products: np.ndarray) -> np.ndarray:
+    """Row sums, strictly left to right."""
+    return np.add.accumulate(products, axis=1)[:, -1]
 
 
-def _unit(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def unit_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows scaled to length one, and which rows have no usable length."""
     lengths = np.sqrt(np.einsum("ij,ij->i", rows, rows, dtype=np.float64))
-    none = lengths == 0
+    none = ~(np.isfinite(lengths) & (lengths > 0))
     scale = np.where(none, 1.0, lengths)
-    return (rows / scale[:, None]).astype(np.float32), none
+    with np.errstate(invalid="ignore"):
+        return (rows / scale[:, None]).astype(np.float32), none
 
 
 class VectorTable:
@@ -67,11 +67,11 @@ class VectorTable:
 
     def __init__(self, rows: np.ndarray) -> None:
         self.rows = rows
-        self.unit, self.none = _unit(rows)
-        self.squared = np.concatenate(
-            [_squared_lengths(rows[at : at + _PAIRS_PER_STEP]) for at in range(0, len(rows), _PAIRS_PER_STEP)]
-            or [np.zeros(0)]
-        )
+        self.unit, self.none = unit_rows(rows)
+        self.squared = np.zeros(len(rows))
+        for at in range(0, len(rows), _PAIRS_PER_STEP):
+            part = rows[at : at + _PAIRS_PER_STEP]
+            self.squared[at : at + len(part)] = _summed(part.astype(np.float64) ** 2)
         # Bound on the error of a single-precision inner product of unit vectors.
         self.slack = 4.0 * (rows.shape[1] + 8) * 2.0**-24
 
@@ -86,11 +86,12 @@ class VectorTable:
         for at in range(0, len(mine), _PAIRS_PER_STEP):
             own = mine[at : at + _PAIRS_PER_STEP]
             other = rows[theirs[at : at + _PAIRS_PER_STEP]].astype(np.float64)
-            inner = np.add.accumulate(self.rows[own].astype(np.float64) * other, axis=1)[:, -1]
-            squared = self.squared[own] * np.add.accumulate(other * other, axis=1)[:, -1]
+            inner = _summed(self.rows[own].astype(np.float64) * other)
+            squared = self.squared[own] * _summed(other * other)
             with np.errstate(divide="ignore", invalid="ignore"):
                 score = np.clip(inner / np.sqrt(squared), -1.0, 1.0)
-            out[at : at + _PAIRS_PER_STEP] = np.where(squared > 0, score, _NO_LENGTH)
+            valid = np.isfinite(squared) & (squared > 0)
+            out[at : at + _PAIRS_PER_STEP] = np.where(valid, score, _NO_LENGTH)
         return out
 
 
@@ -179,7 +180,7 @@ class QuerySide:
 
     def scan(self, leaders: Leaders, rows: np.ndarray, ids: np.ndarray,
              groups: np.ndarray | None, only: np.ndarray | None) -> None:
-        unit, none = _unit(rows)
+        unit, none = unit_rows(rows)
         for picked, queries in self.parts(groups):
             picked = np.arange(len(rows)) if picked is None else picked
             step = max(256, _SCORES_PER_STEP // len(queries))
@@ -240,14 +241,13 @@ def _query_side(table: pa.Table, dimension: int, grouped: bool) -> QuerySide:
     )
 
 
-def _keys(batch: pa.RecordBatch | pa.Table, name: str) -> np.ndarray | None:
-    if name not in batch.schema.names:
-        return None
-    return batch.column(name).to_numpy(zero_copy_only=False).astype(np.int64, copy=False) \
-        if isinstance(batch, pa.RecordBatch) else batch.column(name).to_numpy().astype(np.int64)
+def _keys(batch: pa.RecordBatch, name: str) -> np.ndarray | None:
+    return batch.column(name).to_numpy() if name in batch.schema.names else None
 
 
-def _scan_batch(side: QuerySide, leaders: Leaders, batch, dimension: int) -> None:
+def _scan_batch(side: QuerySide, leaders: Leaders, batch: pa.RecordBatch, dimension: int) -> None:
+    if not batch.num_rows:
+        return
     side.scan(
         leaders,
         matrix(batch.column("embedding"), dimension),
@@ -352,8 +352,7 @@ def _shipped(chunks, held, head, k, dimension, group, output, arrow_output) -> D
         side = _query_side(payload.value, dimension, grouped)
         leaders = Leaders(len(side.table.rows), k)
         for batch in batches:
-            if batch.num_rows:
-                _scan_batch(side, leaders, batch, dimension)
+            _scan_batch(side, leaders, batch, dimension)
         yield from side.written(leaders, arrow_output).to_batches(max_chunksize=10_000)
 
     return chunks.select(*held).mapInArrow(score, output)
@@ -416,7 +415,7 @@ def _blocked(chunk_cells, query_cells, k, dimension, output, arrow_output) -> Da
             return arrow_output.empty_table()
         side = _query_side(asked, dimension, grouped=False)
         leaders = Leaders(len(side.table.rows), k)
-        for batch in held.combine_chunks().to_batches(max_chunksize=10_000):
+        for batch in held.to_batches(max_chunksize=10_000):
             _scan_batch(side, leaders, batch, dimension)
         return side.written(leaders, arrow_output)
 

@@ -99,6 +99,14 @@ def test_zero_vectors_rank_last_without_a_score(spark):
     assert got[2] == [(1, None), (2, None)]
 
 
+def test_vectors_that_are_not_numbers_rank_last_without_a_score(spark):
+    held = [(1, 0, [float("nan")] * DIM), (2, 0, [float("inf")] + [0.0] * (DIM - 1)), (3, 0, [-1.0] * DIM)]
+    asked = [(1, None, None, [1.0] * DIM), (2, None, None, [float("nan")] * DIM)]
+    got = run(spark, held, asked, 5)
+    assert got[1] == [(3, -1.0), (1, None), (2, None)]
+    assert got[2] == [(1, None), (2, None), (3, None)]
+
+
 def test_ties_go_to_the_lower_id(spark):
     held = [(n, 0, [1.0] * DIM) for n in (9, 4, 7)]
     assert [i for i, _ in run(spark, held, [(1, None, None, [2.0] * DIM)], 2)[1]] == [4, 7]
