@@ -215,6 +215,9 @@ ORACLES: dict[str, str] = {
     "query_sources": LEXICAL_HITS
     + f"""select query_id, rank, id as chunk_id, left(content, {answering.SOURCE_CHARS}) as content,
             page_number, round(similarity, 4) as similarity_score from hits""",
+    "cited_sources": LEXICAL_HITS + """
+      select query_id, rank, 'doc_' || document_id || '.pdf' as document, page_number as page,
+             round(similarity, 2) as score from hits""",
     "answer_queries": _with(_vector_hits(), VECTOR_PROMPTS) + f"""
       select query_id, 'read ' || length(prompt) || ' characters' as answer,
              (length(prompt) // 4)::int as prompt_tokens, 3 as completion_tokens,
@@ -307,6 +310,10 @@ ORACLES: dict[str, str] = {
              latency_ms || 'ms' as latency_label
       from logs""",
     "ann_assign": _with(LISTS) + "select vec_id as id, list_id from assigned",
+    "ann_list_distance": _with(LISTS) + """
+      select vec_id as id, list_id, round(1.0 - list_cosine_similarity(
+               e.embedding::double[], c.centroid::double[]), 4) + 0.0 as distance
+      from assigned join embeddings e using (vec_id) join centres c using (list_id)""",
     "ann_sample_probe": _with(LISTS, _list_hits("true")) + RANKED,
     "ann_doc_filter": _with(LISTS, _list_hits(IN_OWN_DOCUMENT)) + RANKED,
     "ann_sample_recall": _with(LISTS, _list_hits("true")) + f"""

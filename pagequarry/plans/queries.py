@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagequarry.config import Settings
-from pagequarry.functions import display
+from pagequarry.functions import display, vectors
 from pagequarry.functions.text import iso_timestamp, utc_instant
 from pagequarry.operators import ann, answering, catalog, logs, retrieval
 from pagequarry.operators.chunking import (
@@ -159,6 +159,19 @@ def query_sources(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def cited_sources(spark: SparkSession, folder: str) -> DataFrame:
+    """Hits by document name and page, the short form of a source."""
+    hits = lexical_hits(spark, folder).select("query_id", "rank", "document_id", "page_number", "similarity")
+    named = catalog.with_document(hits, inputs.catalogue(spark, folder))
+    return named.select(
+        "query_id",
+        "rank",
+        F.col("filename").alias("document"),
+        F.col("page_number").alias("page"),
+        F.round("similarity", 2).alias("score"),
+    )
+
+
 def counting_responder(prompts: pd.Series, settings: Settings) -> pd.DataFrame:
     """Stands in for a language model: says how much it was given."""
     length = prompts.str.len()
@@ -358,6 +371,15 @@ def ann_assign(spark: SparkSession, folder: str) -> DataFrame:
     return _lists(spark, folder)[0].select("id", "list_id")
 
 
+def ann_list_distance(spark: SparkSession, folder: str) -> DataFrame:
+    """How far every vector is from the centre of its list."""
+    assigned, centroids = _lists(spark, folder)
+    distance = vectors.cosine_distance(F.col("embedding"), F.col("centroid"))
+    return assigned.join(broadcast_if_small(centroids, ann.MAX_LISTS), "list_id").select(
+        "id", "list_id", F.round(distance, 4).alias("distance")
+    )
+
+
 def ann_sample_probe(spark: SparkSession, folder: str) -> DataFrame:
     assigned, centroids = _lists(spark, folder)
     queries = inputs.vector_queries(spark, folder).drop("document_id")
@@ -443,6 +465,7 @@ QUERIES: dict[str, Query] = {
     "build_context": build_context,
     "build_prompt": build_prompt,
     "query_sources": query_sources,
+    "cited_sources": cited_sources,
     "answer_queries": answer_queries,
     "log_rows": log_rows,
     "documents_list": documents_list,
@@ -463,6 +486,7 @@ QUERIES: dict[str, Query] = {
     "presentation_documents": presentation_documents,
     "presentation_logs": presentation_logs,
     "ann_assign": ann_assign,
+    "ann_list_distance": ann_list_distance,
     "ann_sample_probe": ann_sample_probe,
     "ann_doc_filter": ann_doc_filter,
     "ann_sample_recall": ann_sample_recall,
