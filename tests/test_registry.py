@@ -5,8 +5,8 @@ from compare import compare, sql_engine
 
 import __spark_entry__ as entry_points
 
-QUERIES = entry_points.queries()
-ORACLES = entry_points.oracle_sql()
+QUERIES = {name: query for name, query in entry_points.queries().items() if name in entry_points.QUERIES}
+ORACLES = {name: sql for name, sql in entry_points.oracle_sql().items() if name in QUERIES}
 
 
 @pytest.fixture(scope="module")
