@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pagequarry.llm import packing, pii, sharding
+from pagequarry.llm import language, nearest, packing, pii, secrets, sharding, warc
 from pagequarry.sources.tables import scan
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +21,22 @@ def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.digest(scan(spark, folder, "documents"))
 
 
+def op5_fixity(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.audit_pages(spark, folder)
+
+
+def op6_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest.top_k(scan(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+def op7_language(spark: SparkSession, folder: str) -> DataFrame:
+    return language.identify(scan(spark, folder, "documents"))
+
+
+def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.scan(scan(spark, folder, "documents"))
+
+
 def op10_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard(scan(spark, folder, "documents"))
 
@@ -27,5 +44,9 @@ def op10_shards(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_pack": op2_pack,
     "op3_pii": op3_pii,
+    "op5_fixity": op5_fixity,
+    "op6_topk": op6_topk,
+    "op7_language": op7_language,
+    "op8_secrets": op8_secrets,
     "op10_shards": op10_shards,
 }
