@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm import language, nearest, packing, pii, secrets, sharding, warc
+from pagequarry.llm import decontaminate, language, nearest, packing, pii, secrets, sharding, substrings, warc
 from pagequarry.sources.tables import scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.leaks(scan(spark, folder, "documents"), scan(spark, folder, "benchmark"))
+
+
 def op2_pack(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(scan(spark, folder, "documents"))
 
@@ -21,6 +25,10 @@ def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.digest(scan(spark, folder, "documents"))
 
 
+def op4_substrings(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.remove_repeats(scan(spark, folder, "documents"))
+
+
 def op5_fixity(spark: SparkSession, folder: str) -> DataFrame:
     return warc.audit_pages(spark, folder)
 
@@ -42,8 +50,10 @@ def op10_shards(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_pack": op2_pack,
     "op3_pii": op3_pii,
+    "op4_substrings": op4_substrings,
     "op5_fixity": op5_fixity,
     "op6_topk": op6_topk,
     "op7_language": op7_language,

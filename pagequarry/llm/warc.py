@@ -17,8 +17,6 @@ from pagequarry.sources.tables import scan
 
 RANGE_BITS = 16
 FANOUT_BITS = 8
-# A file has at most 2**40 bytes; file numbers have at most 40 bits.
-FILE_LEVELS, COLLECTION_LEVELS = 3, 5
 PAGES_PER_FILE = 512
 KEY = ["file_id", "range"]
 
@@ -36,24 +34,32 @@ def leaves(manifest: DataFrame) -> DataFrame:
     return rows.groupBy(*by).agg(_joined(F.collect_list(line)).alias("hash"))
 
 
+def _above(of_files: bool) -> list[Column]:
+    if of_files:
+        return [F.shiftright("file_id", FANOUT_BITS).alias("file_id"), F.lit(0).cast("bigint").alias("range")]
+    return [F.col("file_id"), F.shiftright("range", FANOUT_BITS).alias("range")]
+
+
 def parents(nodes: DataFrame, of_files: bool) -> DataFrame:
-    """The next level: 2**FANOUT_BITS neighbours under one hash."""
+    """The next level: at most 2**FANOUT_BITS neighbours under one hash."""
     line = F.concat_ws(":", F.lpad(F.col("file_id").cast("string"), 20, "0"), F.lpad(F.col("range").cast("string"), 20, "0"), "hash")
     return nodes.groupBy(*_above(of_files)).agg(_joined(F.collect_list(line)).alias("hash"))
 
 
-def _above(of_files: bool) -> list[Column]:
-    if of_files:
-        return [F.shiftright("file_id", FANOUT_BITS).alias("file_id"), F.lit(0).cast("bigint").alias("range")]
-    return [F.col("file_id"), F.shiftright("range", FANOUT_BITS).alias("range")]
+def levels_over(*leaves_of: DataFrame) -> list[bool]:
+    """The levels above the leaves up to one root: first within files (False), then over files."""
+    every = reduce(lambda a, b: a.unionByName(b), leaves_of)
+    file_id, place = every.agg(F.max(F.abs("file_id")), F.max(F.abs("range"))).first()
+    count = lambda most: -(-int(most or 0).bit_length() // FANOUT_BITS)
+    return [False] * count(place) + [True] * count(file_id)
 
 
-def tree(manifest: DataFrame) -> list[DataFrame]:
-    """All levels, the leaves first. The leaves are written once, the rest follows from them."""
-    levels = [materialise(leaves(manifest), "merkle-leaves")]
-    for k in range(FILE_LEVELS + COLLECTION_LEVELS):
-        levels.append(parents(levels[-1], of_files=k >= FILE_LEVELS))
-    return levels
+def tree(lowest: DataFrame, levels: list[bool]) -> list[DataFrame]:
+    """All levels, the leaves first, each written when its children are."""
+    found = [lowest]
+    for of_files in levels:
+        found.append(materialise(parents(found[-1], of_files), "merkle-level"))
+    return found
 
 
 def _differing(one: DataFrame, two: DataFrame) -> DataFrame:
@@ -61,6 +67,14 @@ def _differing(one: DataFrame, two: DataFrame) -> DataFrame:
     return both.filter(~F.col("_one").eqNullSafe(F.col("_two"))).select(*KEY)
 
 
+def _below(nodes: DataFrame, bad: DataFrame, of_files: bool) -> DataFrame:
+    """The children of differing nodes."""
+    named = bad.select(*(F.col(name).alias(f"_bad_{name}") for name in KEY))
+    placed = nodes.select("*", *(c.alias(f"_{name}") for c, name in zip(_above(of_files), KEY)))
+    at = [F.col(f"_{name}") == F.col(f"_bad_{name}") for name in KEY]
+    return placed.join(named, at, "left_semi").select(*KEY, "hash")
+
+
 def audit(original: DataFrame, replica: DataFrame) -> DataFrame:
     """Records that differ: file_id, offset, both lengths and ids, and the damage.
 
@@ -69,16 +83,13 @@ def audit(original: DataFrame, replica: DataFrame) -> DataFrame:
     twice in one replica and once in the other is `changed`. Empty replicas agree.
     """
     sides = [m.filter("file_id is not null and offset is not null").select("file_id", "offset", "length", F.coalesce("digest", F.lit("")).alias("digest"), "record_id") for m in (original, replica)]
-    trees = [tree(side) for side in sides]
-    bad = _differing(trees[0][-1], trees[1][-1])
-    for k in range(len(trees[0]) - 2, -1, -1):
-        up = _above(of_files=k >= FILE_LEVELS)
-        parent = [c.alias(f"_{name}") for c, name in zip(up, KEY)]
-        at = reduce(lambda a, b: a & b, (F.col(f"_{name}") == F.col(f"_bad_{name}") for name in KEY))
-        under = bad.select(*(F.col(name).alias(f"_bad_{name}") for name in KEY))
-        near = [t[k].select("*", *parent).join(under, at, "left_semi").select(*KEY, "hash") for t in trees]
-        bad = _differing(*near)
-    bad = materialise(bad, "merkle-differences")
+    lowest = [materialise(leaves(side), "merkle-leaves") for side in sides]
+    levels = levels_over(*lowest)
+    one, two = (tree(nodes, levels) for nodes in lowest)
+    bad = materialise(_differing(one[-1], two[-1]), "merkle-differences")
+    for k, of_files in reversed(list(enumerate(levels))):
+        near = [_below(nodes, bad, of_files) for nodes in (one[k], two[k])]
+        bad = materialise(_differing(*near), "merkle-differences")
     found = []
     for side in sides:
         inside = side.withColumn("range", F.shiftright("offset", RANGE_BITS)).join(bad, KEY, "left_semi")

@@ -22,6 +22,8 @@ CHUNK = 1 << 22
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
+# Everything in ASCII that is not a letter or a digit separates terms.
+NOT_ALNUM = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15
@@ -76,13 +78,16 @@ class Words(NamedTuple):
     firsts: np.ndarray
 
 
-def find_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> Words:
-    """Words of the texts data[offsets[i]:offsets[i + 1]]; words never cross texts."""
+def find_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, white: np.ndarray = _WHITE) -> Words:
+    """Words of the texts data[offsets[i]:offsets[i + 1]]; words never cross texts.
+
+    `lower` brings A to Z to lower case; `white` names the bytes that separate words.
+    """
     data = data[offsets[0] : offsets[-1]]
     offsets = (offsets - offsets[0]).astype(np.int64)
     if lower:
         data = _LOWER[data]
-    inside = ~_WHITE[data]
+    inside = ~white[data]
     breaks = np.zeros(len(data) + 1, bool)
     breaks[offsets] = True
     gap = ~inside
@@ -126,6 +131,14 @@ def chunks(offsets: np.ndarray, most: int = CHUNK) -> Iterator[tuple[int, int]]:
         first = last
 
 
+def expand(starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For ranges starts[i]:starts[i] + counts[i]: the i of every element, and the element."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    ends = np.cumsum(counts)
+    within = np.arange(len(owner)) - np.repeat(ends - counts, counts)
+    return owner, np.repeat(starts, counts) + within
+
+
 def shingles(hashes: np.ndarray, length: int) -> np.ndarray:
     """Hashes of `length` consecutive words starting at each word; the last ones are left out."""
     count = len(hashes) - length + 1
