@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm import decontaminate, language, nearest, packing, pii, secrets, sharding, substrings, warc
+from pagequarry.llm import decontaminate, jaccard, language, nearest, packing, pii, secrets, sharding, substrings, warc
 from pagequarry.sources.tables import scan
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,10 @@ def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan(scan(spark, folder, "documents"))
 
 
+def op9_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.classes(scan(spark, folder, "documents"))
+
+
 def op10_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard(scan(spark, folder, "documents"))
 
@@ -58,5 +62,6 @@ QUERIES: dict[str, Query] = {
     "op6_topk": op6_topk,
     "op7_language": op7_language,
     "op8_secrets": op8_secrets,
+    "op9_jaccard": op9_jaccard,
     "op10_shards": op10_shards,
 }
