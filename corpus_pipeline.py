@@ -1,23 +1,64 @@
-"""The corpus pipeline: documents in, packed training sequences out."""
+"""The corpus pipeline: documents in, packed training sequences out.
+
+Each stage is written under the session's shared folder and read again by the next one. All but the
+last return the columns of the documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagequarry.llm import packing
-from pagequarry.session import materialise
+from pagequarry.llm import decontaminate, jaccard, language, packing, secrets
+from pagequarry.session import materialise, ship_package
+from pagequarry.sources.tables import scan
+
+# A document whose trigrams are known to no language by this share is not in a known language.
+LEAST_KNOWN = 0.3
+
+
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the labelled ones teach; the others go."""
+    ship_package(spark)
+    return language.known(docs, LEAST_KNOWN)
+
+
+def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of every class of near duplicates."""
+    ship_package(spark)
+    return jaccard.keep_one(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    ship_package(spark)
+    return decontaminate.clean(docs, scan(spark, sf_dir, "benchmark"))
+
+
+def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets replaced by a mark."""
+    ship_package(spark)
+    return secrets.redact(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of one length."""
+    ship_package(spark)
     return packing.pack(docs)
 
 
-STAGES = [("packing", packed)]
+STAGES = [
+    ("language ID", identified),
+    ("n-gram Jaccard join", distinct_texts),
+    ("benchmark decontamination", decontaminated),
+    ("secret scans", redacted),
+    ("packing", packed),
+]
+# A trained model, an automaton and a tokenizer take part: no SQL can express the rows.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = scan(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

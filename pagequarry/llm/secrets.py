@@ -39,6 +39,7 @@ ALPHA = 0.05
 LEAST_GAIN = 0.7
 CLASSES = {**dict.fromkeys("0123456789", ("d", 10)), **dict.fromkeys("abcdef", ("a", 6)), **dict.fromkeys("ghijklmnopqrstuvwxyz", ("l", 20)), **dict.fromkeys("ABCDEFGHIJKLMNOPQRSTUVWXYZ", ("U", 26))}
 ALPHABET = 67
+SMOOTHING = 0.01
 
 
 class Hit(NamedTuple):
@@ -149,13 +150,18 @@ class Automaton:
                 kept.append(tree)
 
     def gain(self, value: str) -> float:
-        """Mean gain per character, in nats, over independent characters; smoothed by one visit."""
+        """Mean gain per character, in nats, over independent characters.
+
+        Part of every state's visits goes to all characters alike; after one that the state does
+        not know, the format begins anew.
+        """
         state, total = self.start, 0.0
         for char in value:
             symbol, size = CLASSES.get(char, (char, 1))
-            after, n = state.next.get(symbol, (None, 0)) if state else (None, 0)
-            total += math.log((n / size * ALPHABET + 1) / ((state.visits if state else 0) + 1))
-            state = after
+            after, n = state.next.get(symbol, (None, 0))
+            spare = SMOOTHING * state.visits + 1
+            total += math.log((n / size * ALPHABET + spare) / (state.visits + spare))
+            state = after or self.start
         return total / max(1, len(value))
 
 

@@ -8,9 +8,11 @@ from tokenizers import Tokenizer
 from pagequarry.llm import packing
 
 
+TOKENIZER = Tokenizer.from_file(packing.default_tokenizer())
+
+
 def whole(text):
-    tokenizer = Tokenizer.from_file(packing.default_tokenizer())
-    return [*tokenizer.encode(text or "", add_special_tokens=False).ids, packing.END_ID]
+    return [*TOKENIZER.encode(text or "", add_special_tokens=False).ids, packing.END_ID]
 
 
 def check(rows, docs, window):
@@ -86,3 +88,12 @@ def test_many_open_sequences_are_cut_again(monkeypatch):
         assert levels.counts.sum() <= 4
     levels.close()
     assert sum(r[2] for r in levels.rows) == sum(n % 9 + 1 for n in range(50))
+
+
+def test_encoder_forgets_and_agrees(monkeypatch):
+    monkeypatch.setattr(packing, "CACHED_WORDS", 5)
+    encoder = packing.WordEncoder(packing.default_tokenizer())
+    texts = ["it's a <|endoftext|> x<|startoftext|>y", "\u0301 e\u0301 \u00c9T\u00c9\u00a0\u2003b", "\x00 \x1c a", "", "don't 12 3.5 \u4e2d\u6587", "\u0130 \ufb01 \U0001f600!!"]
+    for text in [*texts, *texts, *texts]:
+        want = np.array(TOKENIZER.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert encoder.encode([text.encode()]) == [want], text
