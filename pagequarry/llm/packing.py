@@ -12,6 +12,7 @@ import os
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +27,8 @@ END_ID = 1
 MOST_OPEN = 4096
 # Bits of a sequence number that count within a task.
 TASK_SHIFT = 40
-# Words whose ids are kept by a worker.
-CACHED_WORDS = 200_000
+# Words whose ids a worker keeps, and as many older ones.
+CACHED_WORDS = 400_000
 
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
@@ -51,20 +52,35 @@ class WordEncoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._known: dict[bytes, bytes] = {}
+        self._older: dict[bytes, bytes] = {}
+
+    def _learn(self, words: list[bytes]) -> None:
+        found = self._tokenizer.encode([w.decode() for w in words], is_pretokenized=True, add_special_tokens=False)
+        ids = np.array(found.ids, "<u4").tobytes()
+        ends = 4 * np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(words) + 1))
+        ends = ends.tolist()
+        self._known.update(zip(words, [ids[a:b] for a, b in zip(ends, ends[1:])]))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         words = [text.split() for text in texts]
-        fresh = list({word for each in words for word in each} - self._known.keys())
-        for first in range(0, len(fresh), 4096):
-            part = fresh[first : first + 4096]
-            found = self._tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)
-            self._known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, found))
+        fresh = set().union(*words) - self._known.keys()
+        for word in fresh & self._older.keys():
+            self._known[word] = self._older[word]
+        new = list(fresh - self._known.keys())
+        for first in range(0, len(new), 20_000):
+            self._learn(new[first : first + 20_000])
         ids = [b"".join(map(self._known.__getitem__, each)) for each in words]
         if len(self._known) > CACHED_WORDS:
-            self._known.clear()
+            self._known, self._older = {}, self._known
         return ids
 
 
+@cache
+def shared_encoder(path: str) -> WordEncoder:
+    """The encoder of a Python worker, with the words of its earlier tasks."""
+    return WordEncoder(path)
+
+
 class LevelArray:
     """Open sequences of one task, by fill level."""
 
@@ -152,7 +168,7 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, en
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [field.split()[0] for field in SCHEMA.split(", ")]
-        encoder = WordEncoder(path)
+        encoder = shared_encoder(path)
         levels = LevelArray(window, TaskContext.get().partitionId() << TASK_SHIFT)
         end = np.array([end_id], "<u4").tobytes()
 
