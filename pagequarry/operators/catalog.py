@@ -8,14 +8,18 @@ from pyspark.sql import functions as F
 from pagequarry.config import Settings
 from pagequarry.functions.text import iso_timestamp
 from pagequarry.operators.chunking import chunks_of
+from pagequarry.schemas import LENGTH_LIMITS
 from pagequarry.session import broadcast_if_small
 
+# The messages users see.
 ONLY_PDF = "Only PDF files are supported"
 NO_TEXT = "No text could be extracted from PDF"
 PROCESS_FAILED = "Failed to process document"
 DELETED = "Document deleted successfully"
 ALL_DOCUMENTS = "All Documents"
 
+TOO_LONG = "{} is longer than {} characters"
+
 
 def is_pdf_name(filename: Column) -> Column:
     """Decided by the name alone, in any case; no name is no."""
@@ -23,10 +27,15 @@ def is_pdf_name(filename: Column) -> Column:
 
 
 def gate(files: DataFrame) -> DataFrame:
-    """Add error_code and error to files of the wrong type; accepted files have NULL in both."""
-    wrong = ~is_pdf_name(F.col("filename"))
-    return files.withColumn("error_code", F.when(wrong, 400)).withColumn(
-        "error", F.when(wrong, ONLY_PDF)
+    """Add error_code and error to files of the wrong type, or with a name or path that does not
+    fit the catalogue; accepted files have NULL in both."""
+    error = F.when(~is_pdf_name(F.col("filename")), ONLY_PDF)
+    for name in ("filename", "file_path"):
+        if name in files.columns:
+            error = error.when(F.length(name) > LENGTH_LIMITS[name], TOO_LONG.format(name, LENGTH_LIMITS[name]))
+    gated = files.withColumn("error", error)
+    return gated.withColumn("error_code", F.when(F.col("error").isNotNull(), 400)).select(
+        *files.columns, "error_code", "error"
     )
 
 
@@ -112,13 +121,13 @@ def document_options(documents: DataFrame) -> DataFrame:
 def resolve_names(questions: DataFrame, documents: DataFrame) -> DataFrame:
     """Replace the picked `filename` of each question by a document_id; NULL searches all."""
     options = document_options(documents).select("filename", F.col("id").alias("document_id"))
-    return questions.join(options, "filename", "left").drop("filename")
+    return questions.join(broadcast_if_small(options), "filename", "left").drop("filename")
 
 
 def with_document(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """Chunks with the name of their document."""
     named = documents.select(F.col("id").alias("document_id"), "filename")
-    return chunks.join(named, "document_id")
+    return chunks.join(broadcast_if_small(named), "document_id")
 
 
 def chunks_of_document(chunks: DataFrame, document_id: int) -> DataFrame:

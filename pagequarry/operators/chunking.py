@@ -11,6 +11,7 @@ from pagequarry.operators.numbering import running_total
 
 # A chunk key is the document id followed by this many bits of chunk index.
 CHUNK_BITS = 24
+DOCUMENT_BITS = 63 - CHUNK_BITS
 
 
 def keep_text_pages(pages: Column) -> Column:
@@ -91,10 +92,19 @@ def number_chunks(documents: DataFrame) -> DataFrame:
 
 
 def chunk_key(document_id: Column, chunk_index: Column) -> Column:
-    """A unique chunk id in document and reading order that needs no counting pass."""
+    """A unique chunk id in document and reading order that needs no counting pass.
+
+    For document ids from 0 to 2**39 - 1; `number_chunks` numbers the chunks of any others.
+    """
     full = F.raise_error(F.lit(f"a document has more than {1 << CHUNK_BITS} chunks"))
-    key = F.shiftleft(document_id.cast("bigint"), CHUNK_BITS) + chunk_index
-    return F.when(chunk_index >= (1 << CHUNK_BITS), full.cast("bigint")).otherwise(key)
+    wide = F.raise_error(F.lit(f"a document id is not between 0 and {(1 << DOCUMENT_BITS) - 1}; use number_chunks"))
+    document_id = document_id.cast("bigint")
+    key = F.shiftleft(document_id, CHUNK_BITS) + chunk_index
+    return (
+        F.when(chunk_index >= (1 << CHUNK_BITS), full.cast("bigint"))
+        .when(~document_id.between(0, (1 << DOCUMENT_BITS) - 1), wide.cast("bigint"))
+        .otherwise(key)
+    )
 
 
 def document_of(key: Column) -> Column:

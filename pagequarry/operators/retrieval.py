@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from pagequarry.config import Settings
 from pagequarry.operators.encoding import Encoder
 from pagequarry.operators.topk import nearest
+from pagequarry.session import broadcast_if_small, materialise
 
+# Most winning ids that are sent to a scan as a list.
+MOST_LISTED = 1000
+# Fixed value: the message users see.
 NOTHING_FOUND = "No relevant content found. Please upload documents first."
 
 
@@ -39,9 +43,20 @@ def rank_chunks(
 
 
 def describe_hits(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Fetch the text of the winners only. The scoring scan reads ids and vectors, this one
-    reads the other columns, so every byte of the table is read once."""
+    """Fetch the text of the winners only.
+
+    The ranked rows are written once. Few winning ids go to the scan as a list, more as their
+    range, so that row groups without a winner are not read; what is left is joined.
+    """
+    ranked = materialise(ranked, "ranked")
     shown = chunks.select("id", "document_id", "content", "page_number", "chunk_index")
+    winners = ranked.select("id").distinct().limit(MOST_LISTED + 1).collect()
+    if len(winners) <= MOST_LISTED:
+        shown = shown.filter(F.col("id").isin([r["id"] for r in winners]))
+    else:
+        low, high = ranked.agg(F.min("id"), F.max("id")).first()
+        shown = shown.filter(F.col("id").between(low, high))
+    ranked = broadcast_if_small(ranked)
     return ranked.join(shown, "id").select(
         "query_id", "rank", "id", "document_id", "content", "page_number", "chunk_index", "similarity"
     )

@@ -202,6 +202,14 @@ ORACLES: dict[str, str] = {
             from (select doc_id as id, 'doc_' || doc_id || case lang when 'en' then '.pdf'
                     when 'de' then '.PDF' when 'fr' then '.pdf.txt' end as filename
                   from documents))""",
+    "gate_long_names": """
+      select doc_id as id, case when lang in ('fr', 'de') then 400 end::int as error_code,
+             case lang when 'fr' then 'filename is longer than 255 characters'
+               when 'de' then 'file_path is longer than 512 characters' end as error
+      from documents""",
+    "chunk_wide_ids": _with(DOCUMENT_CHUNKS) + """
+      select row_number() over (order by document_id, chunk_index) as id,
+             document_id * 8589934592 + 1099511627776 as document_id, chunk_index from chunks""",
     "lexical_encode": _with(DOCUMENT_CHUNKS, CHUNK_TERMS)
     + "select document_id, chunk_index, bucket, tf from chunk_terms",
     "lexical_topk": LEXICAL_HITS + """
@@ -325,6 +333,11 @@ ORACLES: dict[str, str] = {
       select query_id, count(*)::bigint as exact_hits, count(score)::bigint as found_hits,
              round(count(score) / count(*), 4) as recall
       from exact left join hits using (query_id, id) group by query_id""",
+    "ann_kmeans_recall": f"""
+      select vec_id as query_id, least({TOP_K}, (select count(*) from embeddings)) as exact_hits,
+             least({TOP_K}, (select count(*) from embeddings)) as found_hits, 1.0::double as recall
+      from embeddings""",
+    "ann_kmeans_nearest": "select vec_id as id, true as agrees from embeddings",
     "stream_ingest": _with(DOCUMENT_CHUNKS) + "select * from chunks",
     "stream_log_append": _with(LOGS)
     + "select id, query, latency_ms, token_count, model_used, created_at from logs",

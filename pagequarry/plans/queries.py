@@ -21,6 +21,7 @@ from pagequarry.operators.chunking import (
     number_chunks,
 )
 from pagequarry.operators.encoding import attach_vectors, embed, lexical_encoder
+from pagequarry.operators.topk import nearest
 from pagequarry.plans import inputs
 from pagequarry.session import broadcast_if_small, materialise, scratch_path
 from pagequarry.sources.files import page_rows
@@ -55,6 +56,15 @@ def chunk_counts(spark: SparkSession, folder: str) -> DataFrame:
     return number_chunks(counted.select("document_id", "num_chunks"))
 
 
+def chunk_wide_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Consecutive chunk ids for document ids beyond the range of chunk keys."""
+    documents = inputs.text_documents(spark, folder)
+    wide = documents.withColumn("document_id", F.col("document_id") * (1 << 33) + (1 << 40))
+    counted = number_chunks(count_chunks(wide, TEXT).select("document_id", "num_chunks"))
+    chunks = chunk_documents(wide.join(counted.select("document_id", "first_chunk_id"), "document_id"), TEXT, ("first_chunk_id",))
+    return chunks.select((F.col("first_chunk_id") + F.col("chunk_index")).alias("id"), "document_id", "chunk_index")
+
+
 def page_split(spark: SparkSession, folder: str) -> DataFrame:
     """Documents whose lines are pages."""
     paged = scan(spark, folder, "documents").select(
@@ -226,6 +236,18 @@ def file_gate(spark: SparkSession, folder: str) -> DataFrame:
     return catalog.gate(named)
 
 
+def gate_long_names(spark: SparkSession, folder: str) -> DataFrame:
+    """Names and paths that do not fit, by language: each is an error row, none fails the others."""
+    stem = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"))
+    lang = F.col("lang")
+    files = scan(spark, folder, "documents").select(
+        F.col("doc_id").alias("id"),
+        F.concat(stem, F.when(lang == "fr", F.repeat(F.lit("x"), 300)).otherwise(""), F.lit(".pdf")).alias("filename"),
+        F.concat(F.when(lang == "de", F.repeat(F.lit("/y"), 300)).otherwise("/"), stem).alias("file_path"),
+    )
+    return catalog.gate(files).select("id", "error_code", "error")
+
+
 def documents_list(spark: SparkSession, folder: str) -> DataFrame:
     return catalog.list_documents(inputs.catalogue(spark, folder))
 
@@ -400,14 +422,30 @@ def ann_sample_recall(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ann_kmeans_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """With every list probed, trained lists lose nothing."""
     chunks = inputs.vector_chunks(spark, folder)
     centroids = ann.kmeans_centroids(chunks, VECTORS.ann_lists)
     assigned = ann.assign_lists(chunks, centroids, VECTORS.embedding_dimension)
     queries = inputs.vector_queries(spark, folder).drop("document_id")
-    found = ann.search_lists(assigned, queries, centroids, ANN_PROBES, VECTORS)
+    found = ann.search_lists(assigned, queries, centroids, VECTORS.ann_lists, VECTORS)
     return ann.recall(found, retrieval.rank_chunks(chunks, queries, VECTORS))
 
 
+def ann_kmeans_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the list of every vector is the one that the top-k join finds closest."""
+    chunks = inputs.vector_chunks(spark, folder)
+    centroids = ann.kmeans_centroids(chunks, VECTORS.ann_lists)
+    assigned = ann.assign_lists(chunks, centroids, VECTORS.embedding_dimension)
+    closest = nearest(
+        centroids.select(F.col("list_id").cast("bigint").alias("id"), F.col("centroid").alias("embedding")),
+        chunks.select(F.col("id").alias("query_id"), "embedding"),
+        1,
+        VECTORS.embedding_dimension,
+    )
+    named = closest.select(F.col("query_id").alias("id"), F.col("id").alias("closest"))
+    return assigned.join(named, "id").select("id", (F.col("list_id") == F.col("closest")).alias("agrees"))
+
+
 # Streams
 
 
@@ -460,6 +498,8 @@ QUERIES: dict[str, Query] = {
     "chunk_counts": chunk_counts,
     "page_split": page_split,
     "file_gate": file_gate,
+    "gate_long_names": gate_long_names,
+    "chunk_wide_ids": chunk_wide_ids,
     "lexical_encode": lexical_encode,
     "lexical_topk": lexical_topk,
     "build_context": build_context,
@@ -491,6 +531,7 @@ QUERIES: dict[str, Query] = {
     "ann_doc_filter": ann_doc_filter,
     "ann_sample_recall": ann_sample_recall,
     "ann_kmeans_recall": ann_kmeans_recall,
+    "ann_kmeans_nearest": ann_kmeans_nearest,
     "stream_ingest": stream_ingest,
     "stream_log_append": stream_log_append,
     "stream_stats": stream_stats,

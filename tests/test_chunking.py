@@ -130,6 +130,9 @@ def test_chunk_key_orders_and_refuses_overflow(spark):
     assert keys == sorted(set(keys))
     with pytest.raises(Exception, match="more than"):
         spark.range(1).select(chunk_key(F.lit(1), F.lit(1 << 24))).collect()
+    for wide in (-1, 1 << 39, (1 << 40) + 5):
+        with pytest.raises(Exception, match="number_chunks"):
+            spark.range(1).select(chunk_key(F.lit(wide), F.lit(0))).collect()
 
 
 def test_form_feed_pages(spark):
