@@ -7,7 +7,7 @@ the overlap of two sets is at most the sum of the smaller counts. Documents unde
 first held against the two next to them, which joins groups of copies in linear work. Where a
 shingle still holds several classes, an R-tree of the points finds the pairs that are left: its
 boxes keep the greatest counts and the smallest set, which bounds the overlap with everything
-inside. Every surviving pair is verified on the whole sets.
+inside. Shingles that belong to one large class are searched together, not one by one. Every surviving pair is verified on the whole sets.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry.llm.components import components
+from pagequarry.llm.filters import filter_words, known_to, place_of
 from pagequarry.llm.words import chunks, expand, find_words, mixed, shingles, text_buffer
 from pagequarry.session import materialise
 
@@ -35,10 +36,10 @@ LEAST_COMMON = 16
 COUNTED, LEAST_COUNT = 1 << 22, 3
 # Dimensions of the tree, rows of a leaf, leaves under a node.
 DIMENSIONS, LEAF, FANOUT = 32, 32, 16
-# Rows of one shingle that are searched in one task.
+# A count that did not fit.
+UNBOUNDED = 1 << 40
+# Rows of one class that are searched in one task.
 BLOCK = 4096
-# Bits of the filter of documents whose sets are needed; a full one only lets more through.
-FILTER_BITS = 26
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -61,10 +62,9 @@ def signature(shingle_set: np.ndarray) -> int:
 
 
 def count_vector(shingle_set: np.ndarray) -> np.ndarray:
-    """Shingles per group; a power of two of groups, about half as many as shingles at least."""
-    groups = max(DIMENSIONS, 1 << max(0, (len(shingle_set) // 2).bit_length()))
-    counts = np.bincount((shingle_set & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
-    return np.minimum(counts, 65535).astype(np.uint8 if counts.max(initial=0) < 256 else np.uint16)
+    """Shingles per group; a power of two of groups, a quarter as many as shingles at least."""
+    groups = max(DIMENSIONS, 1 << max(0, (len(shingle_set) // 4).bit_length()))
+    return np.bincount((shingle_set & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
 
 
 def folded(vector: np.ndarray, groups: int) -> np.ndarray:
@@ -72,11 +72,17 @@ def folded(vector: np.ndarray, groups: int) -> np.ndarray:
 
 
 def packed(vector: np.ndarray) -> bytes:
-    return bytes([vector.itemsize]) + vector.tobytes()
+    """Four bits a group; what does not fit is read as more than any overlap."""
+    small = np.minimum(vector, 15).astype(np.uint8)
+    return (small[::2] | small[1::2] << np.uint8(4)).tobytes()
 
 
 def unpacked(value: bytes) -> np.ndarray:
-    return np.frombuffer(value, np.uint8 if value[0] == 1 else np.uint16, offset=1).astype(np.int64)
+    pairs = np.frombuffer(value, np.uint8)
+    counts = np.empty(2 * len(pairs), np.int64)
+    counts[::2], counts[1::2] = pairs & 15, pairs >> 4
+    counts[counts == 15] = UNBOUNDED
+    return counts
 
 
 def prefix(shingle_set: np.ndarray, common: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -261,22 +267,11 @@ def _bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return near.mapInArrow(run, "a bigint, b bigint")
 
 
-def _filter_words(ids: DataFrame) -> np.ndarray:
-    """A bit for every id; 2 ** FILTER_BITS bits for any number of them."""
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
-    word, bit = F.shiftright(place, 6).alias("word"), F.expr("shiftleft(1L, cast(pmod(xxhash64(doc_id), 64) as int))")
-    found = ids.groupBy(word).agg(F.bit_or(bit).alias("bits")).toArrow()
-    words = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    words[found.column("word").to_numpy()] = found.column("bits").to_numpy()
-    return words
-
-
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(node, shingles) of the documents with these ids, and of few others."""
-    words = _filter_words(ids)
-    shared = docs.sparkSession.sparkContext.broadcast(words)
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS))
-    rows = docs.select(F.shiftright(place, 6).alias("word"), F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("bit"), "text")
+    shared = docs.sparkSession.sparkContext.broadcast(filter_words(ids, "doc_id"))
+    word, bit = place_of("doc_id")
+    rows = docs.select(word.alias("word"), bit.alias("bit"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -305,30 +300,33 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
-    """Cut the rows of large keys into pairs of blocks.
+    """The rows to compare, gathered under the main class of their shingles and cut into blocks.
 
-    Most rows of a large key belong to one class. Its blocks meet the blocks of the other rows but
-    not one another; the other rows' blocks meet one another. `asks` marks the other rows.
+    The main class of a shingle is the one with most rows there. All shingles with one main class
+    are taken together, each node once; `asks` marks the nodes of other classes. Blocks of these
+    meet the blocks of the main class, which do not meet one another, and each other.
     """
     per = rows.groupBy("key", "class").count()
-    main = per.groupBy("key").agg(F.max_by("class", F.struct("count", "class")).alias("main"), F.max("count").alias("held"), F.sum("count").alias("total"), F.count("*").alias("classes"))
+    main = per.groupBy("key").agg(F.max_by("class", F.struct("count", "class")).alias("main"), F.sum("count").alias("total"), F.count("*").alias("classes"))
     # With fewer than four nodes every pair has been held against each other already.
-    main = main.filter("classes > 1 and total > 3").select("key", "main", F.ceil(F.col("held") / BLOCK).cast("int").alias("in_main"), F.ceil((F.col("total") - F.col("held")) / BLOCK).cast("int").alias("in_rest"))
-    placed = rows.join(main, "key").withColumn("asks", F.col("class") != F.col("main"))
+    main = main.filter("classes > 1 and total > 3").select("key", "main")
+    members = rows.join(main, "key").select("main", "node", "class").distinct().withColumn("asks", F.col("class") != F.col("main"))
+    blocks = lambda one: F.ceil(F.sum(F.col("asks").cast("int") if one else (~F.col("asks")).cast("int")) / BLOCK).cast("int")
+    placed = members.join(members.groupBy("main").agg(blocks(False).alias("in_main"), blocks(True).alias("in_rest")), "main")
     own = F.pmod(F.xxhash64("node"), F.when(F.col("asks"), F.col("in_rest")).otherwise(F.col("in_main"))).cast("int")
     placed = placed.withColumn("own", own)
-    # Cells (i, j): a block i of the other rows with block j of them, or with block -1 - j of the main class.
+    # Cells (i, j): a block i of the other nodes with block j of them, or with block -1 - j of the main class.
     span = lambda n: F.sequence(F.lit(0), n - 1)
     with_rest = F.transform(span(F.col("in_rest")), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
     with_main = F.transform(span(F.col("in_main")), lambda j: F.struct(F.col("own").alias("i"), (-1 - j).alias("j")))
     of_main = F.transform(span(F.col("in_rest")), lambda i: F.struct(i.alias("i"), (-1 - F.col("own")).alias("j")))
     cells = F.when(F.col("asks"), F.concat(with_rest, with_main)).otherwise(of_main)
-    return placed.select("key", "node", "class", "asks", F.explode(cells).alias("cell"))
+    return placed.select("main", "node", "class", "asks", F.explode(cells).alias("cell"))
 
 
 def _left_pairs(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs of different classes under one key that the tree lets through."""
-    cells = _blocks(rows).select(F.xxhash64("key", "cell.i", "cell.j").alias("cell"), "node", "class", "asks")
+    """Pairs of different classes that share a shingle and that the tree lets through."""
+    cells = _blocks(rows).select(F.xxhash64("main", "cell.i", "cell.j").alias("cell"), "node", "class", "asks")
     full = cells.join(nodes.select("node", "size", "vector"), "node")
 
     def group(held: list[tuple]) -> Iterator[tuple[int, int]]:
@@ -407,7 +405,10 @@ def classes(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of docs, all columns, that have the smallest doc_id of their class.
 
-    Rows without an id stay; rows of one id stay or go together.
+    Rows without an id stay; rows of one id stay or go together. Only rows that a filter of fixed
+    size takes for removed ones are shuffled.
     """
-    gone = classes(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = materialise(classes(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "near-copies")
+    maybe = known_to(gone, "_gone", "doc_id")
+    kept = docs.filter(maybe).join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.filter(~maybe).unionByName(kept)

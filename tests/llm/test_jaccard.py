@@ -98,7 +98,7 @@ def test_tree_loses_nothing(seed):
     for _ in range(300):
         at, n = rng.integers(0, 8) * 400, rng.integers(5, 300)
         sets.append(np.unique(np.concatenate([base[at : at + n], rng.integers(0, 2**63, rng.integers(0, 40)).astype(np.uint64)])))
-    points = np.array([jaccard.folded(jaccard.count_vector(s).astype(np.int64), jaccard.DIMENSIONS) for s in sets])
+    points = np.array([jaccard.folded(jaccard.unpacked(jaccard.packed(jaccard.count_vector(s))), jaccard.DIMENSIONS) for s in sets])
     sizes = np.array([len(s) for s in sets])
     found = set(zip(*(x.tolist() for x in jaccard.CountTree(points, sizes).search(points, sizes))))
     assert len(found) < 300 * 300 / 3
