@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagequarry.llm.filters import known_to
 from pagequarry.llm.words import chunks, expand, find_words, mixed, shingles, text_buffer
 from pagequarry.session import materialise
 
@@ -231,8 +232,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     described = materialise(_described(keyed, window), "substring-runs")
     pairs = described.select(*KEY, F.explode(F.arrays_zip("runs", "places")).alias("_pair"))
     rows = pairs.select(*KEY, F.col("_pair.runs").alias("run"), F.col("_pair.places").alias("place"), F.lit(1).alias("weight"))
-    alive = _repeated(rows, KEY)
-    candidates = materialise(_candidates(keyed.join(alive, KEY), window), "substring-candidates")
+    alive = materialise(_repeated(rows, KEY), "substring-places")
+    # Texts without a surviving window are not shuffled, but for a few.
+    held = keyed.filter(known_to(alive, "_a", "_a")).join(alive, KEY)
+    candidates = materialise(_candidates(held, window), "substring-candidates")
     held = candidates.select(*KEY, F.explode("stretches").alias("_s")).select(*KEY, "_s.*")
     stretches = materialise(
         held.groupBy("content").agg(F.count("*").alias("weight"), F.first("words").alias("words")).withColumn("first", F.lit(0)),
