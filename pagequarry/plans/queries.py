@@ -385,7 +385,7 @@ def presentation_logs(spark: SparkSession, folder: str) -> DataFrame:
 
 def _lists(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     chunks = inputs.vector_chunks(spark, folder)
-    centroids = ann.sample_centroids(chunks, VECTORS.ann_lists)
+    centroids = materialise(ann.sample_centroids(chunks, VECTORS.ann_lists), "centroids")
     return ann.assign_lists(chunks, centroids, VECTORS.embedding_dimension), centroids
 
 
