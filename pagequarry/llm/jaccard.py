@@ -2,17 +2,20 @@
 
 Two sets with a similarity of 3/4 share one of the first n / 4 + 1 shingles of each in any common
 order, so only documents under one such shingle are compared; shingles that many documents have
-come last in that order. Shingles are also hashed into groups, and the counts per group are a point;
-the overlap of two sets is at most the sum of the smaller counts. Documents under a shingle are
-first held against the two next to them, which joins groups of copies in linear work. Where a
-shingle still holds several classes, an R-tree of the points finds the pairs that are left: its
-boxes keep the greatest counts and the smallest set, which bounds the overlap with everything
-inside. Shingles that belong to one large class are searched together, not one by one. Every surviving pair is verified on the whole sets.
+come last in that order. Linked sets are of similar size: sizes are cut into bands, and only sets of
+one band or of two neighbouring bands are compared. Shingles are also hashed into groups, and the
+counts per group are a point; the overlap of two sets is at most the sum of the smaller counts.
+Documents under a shingle are first held against the one before them and the first of their band,
+which joins groups of copies in linear work. Where a shingle still holds several classes, an R-tree
+of the points finds the pairs that are left: its boxes keep the greatest counts and the smallest
+set, which bounds the overlap with everything inside. Shingles that belong to one large class are
+searched together, not one by one. Every surviving pair is verified on the whole sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +39,10 @@ LEAST_COMMON = 16
 COUNTED, LEAST_COUNT = 1 << 22, 3
 # Dimensions of the tree, rows of a leaf, leaves under a node.
 DIMENSIONS, LEAF, FANOUT = 32, 32, 16
+# Groups of the smallest sets.
+LEAST_GROUPS = 256
+# The high bits of a node are the band of its size, the others a hash.
+HASH_BITS, BANDS = 57, 63
 # A count that did not fit.
 UNBOUNDED = 1 << 40
 # Rows of one class that are searched in one task.
@@ -55,15 +62,29 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return found
 
 
+@cache
+def band_edges() -> np.ndarray:
+    """The least size of every band; a set that links with one of a band is at most one band away."""
+    edges = [1]
+    while len(edges) < BANDS:
+        edges.append(100 * edges[-1] // PERCENT + 1)
+    return np.array(edges)
+
+
 def signature(shingle_set: np.ndarray) -> int:
-    """A 64-bit hash of a set."""
+    """The band of a set's size, and under it a hash of the set."""
     total = mixed(shingle_set ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)
-    return int(mixed(np.array([total + np.uint64(len(shingle_set))])).view(np.int64)[0])
+    own = int(mixed(np.array([total + np.uint64(len(shingle_set))]))[0]) >> (64 - HASH_BITS)
+    return int(np.searchsorted(band_edges(), len(shingle_set), "right")) << HASH_BITS | own
+
+
+def band(node: str) -> Column:
+    return F.shiftright(node, HASH_BITS)
 
 
 def count_vector(shingle_set: np.ndarray) -> np.ndarray:
-    """Shingles per group; a power of two of groups, a quarter as many as shingles at least."""
-    groups = max(DIMENSIONS, 1 << max(0, (len(shingle_set) // 4).bit_length()))
+    """Shingles per group; a power of two of groups, half as many as shingles at least."""
+    groups = max(LEAST_GROUPS, 1 << (len(shingle_set) // 2).bit_length())
     return np.bincount((shingle_set & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
 
 
@@ -218,35 +239,37 @@ def _features(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFra
 
 
 def _shared_keys(keyed: DataFrame) -> DataFrame:
-    """From (key, node): the rows of keys with two nodes or more, each with the first node of its
-    key and the one before it. Sorted rows are read as they come; nothing is held but the last."""
+    """From (key, node): the rows with another node of their key in the same or the next band, each
+    with the first node of its key and band, and the one before it. Nodes of a key come by band, so
+    the nearest in size is next to each; nothing is held but the last row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key0 = node0 = lead0 = None
-        waiting = False  # the first row of a key is given out when there is a second
+        key, node, leader, before = (np.zeros(0, np.int64) for _ in range(4))  # the last row
+        near = np.zeros(0, bool)  # whether it has one before it
+
+        def rows(*columns: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "leader", "before"])
+
         for batch in batches:
-            key, node = (c.to_numpy() for c in batch.columns)
+            held = len(key)
+            key, node = (np.concatenate([one, c.to_numpy()]) for one, c in zip((key, node), batch.columns))
             fresh = np.ones(len(key), bool)
             fresh[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-            if len(key) and key0 is not None and key[0] == key0 and node[0] == node0:
-                fresh[0] = False
             key, node = key[fresh], node[fresh]
             if not len(key):
                 continue
-            lead = np.ones(len(key), bool)
-            lead[1:] = key[1:] != key[:-1]
-            lead[0] = key0 is None or key[0] != key0
-            first = np.maximum.accumulate(np.where(lead, np.arange(len(key)), -1))
-            leader = np.where(first >= 0, node[np.maximum(first, 0)], lead0 if lead0 is not None else 0)
-            before = np.concatenate([[node0 if node0 is not None else 0], node[:-1]])
-            rest = ~lead
-            out = [key[rest], node[rest], leader[rest], before[rest]]
-            heads = np.flatnonzero(lead[:-1] & rest[1:])  # first rows with a second in this batch
-            more = [key[heads], node[heads], node[heads], node[heads]]
-            if waiting and rest[0]:
-                more = [np.append(c, v) for c, v in zip(more, (key0, node0, node0, node0))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([a, b]).astype(np.int64)) for a, b in zip(out, more)], ["key", "node", "leader", "before"])
-            waiting, key0, node0, lead0 = bool(lead[-1]), key[-1], node[-1], leader[-1]
+            same = key[1:] == key[:-1]
+            away = np.diff(node >> HASH_BITS)
+            near = np.concatenate([near if held else [False], same & (away <= 1)])
+            start = np.concatenate([[True], ~same | (away > 0)])
+            first = node.copy()
+            first[:held] = leader
+            leader = first[np.maximum.accumulate(np.where(start, np.arange(len(key)), 0))]
+            before = np.where(near, np.concatenate([before if held else node[:1], node[:-1]]), node)
+            kept = near[:-1] | near[1:]
+            yield rows(*(c[:-1][kept] for c in (key, node, leader, before)))
+            key, node, leader, before, near = (c[-1:] for c in (key, node, leader, before, near))
+        yield rows(*(c[near] for c in (key, node, leader, before)))
 
     ordered = keyed.repartition("key").sortWithinPartitions("key", "node")
     return ordered.mapInArrow(run, "key bigint, node bigint, leader bigint, before bigint")
@@ -303,42 +326,47 @@ def _blocks(rows: DataFrame) -> DataFrame:
     """The rows to compare, gathered under the main class of their shingles and cut into blocks.
 
     The main class of a shingle is the one with most rows there. All shingles with one main class
-    are taken together, each node once; `asks` marks the nodes of other classes. Blocks of these
-    meet the blocks of the main class, which do not meet one another, and each other.
+    are taken together, each node once; `asks` marks the nodes of other classes. They are taken by
+    pairs of neighbouring bands, so that each node is in two of these. There, blocks of nodes that
+    ask meet the blocks of the main class, which do not meet one another, and each other.
     """
     per = rows.groupBy("key", "class").count()
     main = per.groupBy("key").agg(F.max_by("class", F.struct("count", "class")).alias("main"), F.sum("count").alias("total"), F.count("*").alias("classes"))
-    # With fewer than four nodes every pair has been held against each other already.
-    main = main.filter("classes > 1 and total > 3").select("key", "main")
+    # Two nodes have been held against each other already.
+    main = main.filter("classes > 1 and total > 2").select("key", "main")
     members = rows.join(main, "key").select("main", "node", "class").distinct().withColumn("asks", F.col("class") != F.col("main"))
+    members = members.withColumn("upper", F.explode(F.array(band("node"), band("node") + 1)))
     blocks = lambda one: F.ceil(F.sum(F.col("asks").cast("int") if one else (~F.col("asks")).cast("int")) / BLOCK).cast("int")
-    placed = members.join(members.groupBy("main").agg(blocks(False).alias("in_main"), blocks(True).alias("in_rest")), "main")
+    parts = members.groupBy("main", "upper").agg(blocks(False).alias("in_main"), blocks(True).alias("in_rest"), F.min("class").alias("one"), F.max("class").alias("other"))
+    parts = parts.filter("in_rest > 0 and one <> other").drop("one", "other")
+    placed = members.join(parts, ["main", "upper"])
     own = F.pmod(F.xxhash64("node"), F.when(F.col("asks"), F.col("in_rest")).otherwise(F.col("in_main"))).cast("int")
     placed = placed.withColumn("own", own)
     # Cells (i, j): a block i of the other nodes with block j of them, or with block -1 - j of the main class.
-    span = lambda n: F.sequence(F.lit(0), n - 1)
+    span = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
     with_rest = F.transform(span(F.col("in_rest")), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
     with_main = F.transform(span(F.col("in_main")), lambda j: F.struct(F.col("own").alias("i"), (-1 - j).alias("j")))
     of_main = F.transform(span(F.col("in_rest")), lambda i: F.struct(i.alias("i"), (-1 - F.col("own")).alias("j")))
     cells = F.when(F.col("asks"), F.concat(with_rest, with_main)).otherwise(of_main)
-    return placed.select("main", "node", "class", "asks", F.explode(cells).alias("cell"))
+    return placed.select("main", "upper", "node", "class", "asks", F.explode(cells).alias("cell"))
 
 
 def _left_pairs(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs of different classes that share a shingle and that the tree lets through."""
-    cells = _blocks(rows).select(F.xxhash64("main", "cell.i", "cell.j").alias("cell"), "node", "class", "asks")
+    cells = _blocks(rows).select(F.xxhash64("main", "upper", "cell.i", "cell.j").alias("cell"), "node", "class", "asks", (band("node") == F.col("upper")).alias("high"))
     full = cells.join(nodes.select("node", "size", "vector"), "node")
 
     def group(held: list[tuple]) -> Iterator[tuple[int, int]]:
-        node, label, asks, size = (np.array([h[k] for h in held]) for k in range(4))
+        node, label, asks, high, size = (np.array([h[k] for h in held]) for k in range(5))
         if not asks.any() or (label == label[0]).all():
             return
-        vectors = [unpacked(h[4]) for h in held]
+        vectors = [unpacked(h[5]) for h in held]
         points = np.array([folded(v, DIMENSIONS) for v in vectors])
         who = np.flatnonzero(asks)
         queries, found = CountTree(points, size).search(points[who], size[who])
         queries = who[queries]
-        keep = (label[queries] != label[found]) & (~asks[found] | (node[queries] < node[found]))
+        # Two nodes of the lower band meet where it is the upper one.
+        keep = (label[queries] != label[found]) & (~asks[found] | (node[queries] < node[found])) & (high[queries] | high[found])
         for a, b in zip(queries[keep].tolist(), found[keep].tolist()):
             if may_link(int(size[a]), vectors[a], int(size[b]), vectors[b]):
                 yield int(node[a]), int(node[b])
@@ -357,7 +385,7 @@ def _left_pairs(rows: DataFrame, nodes: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("cell", "node", "class", "asks", "size", "vector")]
+            columns = [batch.column(c).to_pylist() for c in ("cell", "node", "class", "asks", "high", "size", "vector")]
             for row in zip(*columns):
                 if row[0] != cell and held:
                     yield rows_of(group(held))
@@ -378,8 +406,8 @@ def classes(docs: DataFrame) -> DataFrame:
     distinct runs of five words; fewer words are one shingle together; a null or empty text has
     none and is linked with nothing. component_id is the smallest doc_id that links reach, null
     where no reached document has an id; a document without words is its own. Repeated rows are
-    copies of each other; no rows give no rows. Equal 64-bit hashes are taken as equal shingles and
-    sets. Only doc_id and text are read.
+    copies of each other; no rows give no rows. Equal 64-bit hashes are taken as equal shingles, and
+    equal 57-bit hashes within a band of sizes as equal sets. Only doc_id and text are read.
     """
     docs = docs.select("doc_id", "text")
     features = materialise(_features(docs, _common(docs)), "shingle-features")
