@@ -83,8 +83,8 @@ def band(node: str) -> Column:
 
 
 def count_vector(shingle_set: np.ndarray) -> np.ndarray:
-    """Shingles per group; a power of two of groups, half as many as shingles at least."""
-    groups = max(LEAST_GROUPS, 1 << (len(shingle_set) // 2).bit_length())
+    """Shingles per group; a power of two of groups, a quarter as many as shingles at least."""
+    groups = max(LEAST_GROUPS, 1 << (len(shingle_set) // 4).bit_length())
     return np.bincount((shingle_set & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
 
 
@@ -337,8 +337,8 @@ def _blocks(rows: DataFrame) -> DataFrame:
     members = rows.join(main, "key").select("main", "node", "class").distinct().withColumn("asks", F.col("class") != F.col("main"))
     members = members.withColumn("upper", F.explode(F.array(band("node"), band("node") + 1)))
     blocks = lambda one: F.ceil(F.sum(F.col("asks").cast("int") if one else (~F.col("asks")).cast("int")) / BLOCK).cast("int")
-    parts = members.groupBy("main", "upper").agg(blocks(False).alias("in_main"), blocks(True).alias("in_rest"), F.min("class").alias("one"), F.max("class").alias("other"))
-    parts = parts.filter("in_rest > 0 and one <> other").drop("one", "other")
+    parts = members.groupBy("main", "upper").agg(blocks(False).alias("in_main"), blocks(True).alias("in_rest"), F.min("class").alias("one"), F.max("class").alias("other"), F.max(band("node")).alias("highest"))
+    parts = parts.filter("in_rest > 0 and one <> other and highest = upper").drop("one", "other", "highest")
     placed = members.join(parts, ["main", "upper"])
     own = F.pmod(F.xxhash64("node"), F.when(F.col("asks"), F.col("in_rest")).otherwise(F.col("in_main"))).cast("int")
     placed = placed.withColumn("own", own)
