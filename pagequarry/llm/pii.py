@@ -2,6 +2,8 @@
 
 SQL expressions only. A text is split by a pattern and the matches are taken by the same pattern;
 the lengths of both give every position, so the text is read twice per kind that occurs in it.
+Capitals and digits after an account number look like more of it: its pattern takes only the first
+four characters and looks ahead, and the checksum finds the end among the ends of groups.
 """
 
 from __future__ import annotations
@@ -20,8 +22,17 @@ PATTERNS = {
     # Only chains of 12 to 19 digits: others fail as a whole.
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    # Takes the head; group 1 is all that could belong to it, and the next letter or digit.
+    "iban": r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+[A-Za-z0-9]?+))[A-Z0-9]{4}",
 }
+IBAN_HEAD, IBAN_LENGTHS = 4, (15, 34)
+# Lengths of the registry. Other countries may have any.
+COUNTRIES = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+    21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
 BASE_KINDS = ("email", "ip", "card", "phone")
 # A cheap test that a text can hold the kind at all.
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
@@ -66,11 +77,40 @@ def confirmed(kind: str, match: Column) -> Column:
         return luhn(F.translate(match, " -", ""))
     if kind == "phone":
         return F.length(F.translate(match, " ().-+", "")).between(9, 15)
-    if kind == "iban":
-        return mod97(F.translate(match, " ", ""))
     return F.lit(True)
 
 
+def account(seen: Column) -> Column:
+    """The account number at the start of what the pattern saw, or null.
+
+    It ends where a group does and passes mod-97. The length that the registry gives the country
+    goes first; then the longest run of groups, and any shorter one where the country is not listed.
+    """
+    lengths = {c: n for n, names in COUNTRIES.items() for c in names.split()}
+    listed = F.create_map(*(F.lit(x) for pair in lengths.items() for x in pair))
+    length = F.try_element_at(listed, F.substring(seen, 1, 2))
+    groups = F.split(seen, " ")
+
+    def upto(k: Column) -> Column:
+        own = F.slice(groups, F.lit(1), k)
+        plain = F.array_join(own, "")
+        return F.struct(F.coalesce(F.length(plain) == length, F.lit(False)).alias("listed"), F.length(plain).alias("size"), plain.alias("plain"), F.array_join(own, " ").alias("text"))
+
+    ends = F.transform(F.sequence(F.lit(1), F.size(groups)), upto)
+    whole = F.filter(ends, lambda e: e["size"].between(*IBAN_LENGTHS) & ~F.rlike(e["plain"], F.lit("[a-z]")))
+    longest = F.array_max(F.transform(whole, lambda e: e["size"]))
+    right = F.filter(whole, lambda e: (length.isNull() | e["listed"] | (e["size"] == longest)) & mod97(e["plain"]))
+    return F.array_max(right)["text"]
+
+
+def apart(spans: Column) -> Column:
+    """Spans, in order of start, without those that begin before an earlier one ends."""
+    none = F.filter(spans, lambda s: F.lit(False))
+    add = lambda got, s: F.when(F.coalesce(F.get(got, F.size(got) - 1)["end"], F.lit(0)) <= s["start"], F.concat(got, F.array(s))).otherwise(got)
+    meets = F.exists(F.transform(spans, lambda s, n: (n > 0) & (F.get(spans, n - 1)["end"] > s["start"])), lambda m: m)
+    return F.when(meets, F.aggregate(spans, none, add)).otherwise(spans)
+
+
 def _totals(values: Column, before: Column) -> Column:
     """before, before + values[0], before + values[0] + values[1], ..."""
     add = lambda got, v: F.concat(got, F.array(F.element_at(got, -1) + v))
@@ -94,7 +134,7 @@ def find_spans(docs: DataFrame, *keep: str) -> DataFrame:
     cut = []
     for k, p in PATTERNS.items():
         held = F.when(F.col(f"_has_{k}"), F.col("_text"))
-        cut += [F.split(held, p, -1).alias(f"_gaps_{k}"), F.regexp_extract_all(held, F.lit(p), F.lit(0)).alias(f"_found_{k}")]
+        cut += [F.split(held, p, -1).alias(f"_gaps_{k}"), F.regexp_extract_all(held, F.lit(p), F.lit(int(k == "iban"))).alias(f"_found_{k}")]
     rows = rows.select(*names, *cut)
 
     def step(make) -> DataFrame:
@@ -102,7 +142,8 @@ def find_spans(docs: DataFrame, *keep: str) -> DataFrame:
 
     # Running totals in runs of RUN matches, so that a text with very many stays cheap.
     def lengths(k: str) -> Column:
-        return F.transform(F.col(f"_gaps_{k}"), lambda g, n: (F.length(g) + F.coalesce(F.length(F.get(F.col(f"_found_{k}"), n - 1)), F.lit(0))).cast("bigint"))
+        taken = lambda m: F.when(m.isNotNull(), IBAN_HEAD) if k == "iban" else F.length(m)
+        return F.transform(F.col(f"_gaps_{k}"), lambda g, n: (F.length(g) + F.coalesce(taken(F.get(F.col(f"_found_{k}"), n - 1)), F.lit(0))).cast("bigint"))
 
     rows = step(lengths)
 
@@ -123,11 +164,25 @@ def find_spans(docs: DataFrame, *keep: str) -> DataFrame:
 
     rows = step(starts)
 
+    # Accounts by head, so that the checksum is taken once.
+    rows = rows.withColumn("_ends_iban", F.transform("_found_iban", account))
+
     def spans(k: str) -> Column:
+        gap = lambda n: F.get(F.col(f"_gaps_{k}"), n)
+
+        def head(n: Column) -> Column:
+            return F.coalesce(F.substring(F.get(F.col("_found_iban"), n), 1, IBAN_HEAD), F.lit(""))
+
         def one(match: Column, n: Column) -> Column:
             start = F.get(F.col(f"_starts_{k}"), n)
-            left = F.substring(F.get(F.col(f"_gaps_{k}"), n), -REACH, REACH)
-            right = F.substring(F.get(F.col(f"_gaps_{k}"), n + 1), 1, REACH)
+            left = F.substring(gap(n), -REACH, REACH)
+            right = F.substring(gap(n + 1), 1, REACH)
+            if k == "iban":
+                # The rest of the account, and other heads, lie in the gaps.
+                match = F.get(F.col("_ends_iban"), n)
+                left = F.substring(F.concat(F.coalesce(F.substring(F.when(n > 0, gap(n - 1)), -REACH, REACH), F.lit("")), head(n - 1), left), -REACH, REACH)
+                after = F.concat(F.substring(gap(n + 1), 1, 3 * REACH), head(n + 1), F.coalesce(F.substring(gap(n + 2), 1, 3 * REACH), F.lit("")))
+                right = F.substring(after, F.length(match) - IBAN_HEAD + 1, F.lit(REACH))
             near = F.rlike(F.lower(F.concat_ws(" ", left, right)), F.lit(CONTEXT[k]))
             score = F.lit(FORM_SCORE + CHECK_SCORE * (k in CHECKED)) + F.when(near, CONTEXT_SCORE).otherwise(0.0)
             return F.struct(
@@ -139,7 +194,8 @@ def find_spans(docs: DataFrame, *keep: str) -> DataFrame:
                 match.alias("text"),
             )
 
-        return F.filter(F.transform(F.col(f"_found_{k}"), one), lambda s: confirmed(k, s["text"]))
+        made = F.transform(F.col(f"_found_{k}"), one)
+        return apart(F.filter(made, lambda s: s["text"].isNotNull())) if k == "iban" else F.filter(made, lambda s: confirmed(k, s["text"]))
 
     rows = step(spans)
     every = [F.col(f"_spans_{k}") for k in PATTERNS]

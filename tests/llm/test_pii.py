@@ -85,3 +85,31 @@ def test_no_python(spark, folder):
 
     plan = QUERIES["op3_pii"](spark, folder)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def test_accounts_before_capitals_numbers_and_accounts(spark):
+    plain, spaced, british = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
+    cases = [
+        (f"{plain} Please pay", [plain]),
+        (f"{spaced} Bitte", [spaced]),
+        (f"{spaced} BIC COBADEFF", [spaced]),
+        (f"{spaced} 2024-01-01", [spaced]),
+        (f"{spaced} {british} {plain} {spaced}", [spaced, british, plain, spaced]),
+        (f"\U0001f600 order AB12 {spaced} 12 {british} X", [spaced, british]),
+        (f"{plain} {plain}x {plain}1 x{plain} {plain[:-1]}1", [plain]),
+        ("MT84 MALT 0110 0001 2345 MTLC AST0 01S OK NO93 8601 1117 947 AND", ["MT84 MALT 0110 0001 2345 MTLC AST0 01S", "NO93 8601 1117 947"]),
+        (" ".join([spaced] * 700), [spaced] * 700),
+    ]
+    frame = spark.createDataFrame([(n, t) for n, (t, _) in enumerate(cases)], "doc_id bigint, text string")
+    got = {r.doc_id: r.pii for r in pii.find_spans(frame, "doc_id").collect()}
+    for n, (text, want) in enumerate(cases):
+        spans = [s for s in got[n] if s.kind == "iban"]
+        assert [s.text for s in spans] == want
+        assert [text[s.start : s.end] for s in spans] == want
+
+
+def test_context_of_accounts(spark):
+    texts = ["IBAN AB12 DE89 3704 0044 0532 0130 00 Bitte", "DE89 3704 0044 0532 0130 00 Bank", "so DE89 3704 0044 0532 0130 00 Bitte"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: [s.score for s in r.pii if s.kind == "iban"] for r in pii.find_spans(frame, "doc_id").collect()}
+    assert got == {0: [1.0], 1: [1.0], 2: [0.8]}
