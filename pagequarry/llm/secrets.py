@@ -4,7 +4,10 @@ The credentials that the base patterns find are labelled by their kind. For each
 of their character classes is folded into a probabilistic automaton: two states are merged while
 their outgoing and final frequencies, and those of what follows, agree within a Hoeffding bound.
 Every candidate token is then scored by how much likelier it is under an automaton than under
-independent characters; likely ones are added to the spans.
+independent characters. That has a low ceiling where a format uses most characters, so a candidate
+is also held against the labelled values of the kind and against ordinary text, as pairs of
+characters in the rest of the documents: it is added to the spans when its gain is high, or when it is no less
+likely than labelled values can be and much likelier than as ordinary text.
 """
 
 from __future__ import annotations
@@ -15,10 +18,12 @@ import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagequarry.llm.words import chunks, text_buffer
 from pagequarry.session import materialise
 
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -34,12 +39,24 @@ HAS_DIGIT, HAS_LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 # longer than LONGEST_SAMPLE.
 SAMPLES_PER_KIND = 1000
 LONGEST_SAMPLE = 200
-# Confidence of the merge test, and the gain per character that makes a candidate a secret.
+# Confidence of the merge test, and the gain per character that makes a candidate a secret by itself.
 ALPHA = 0.05
 LEAST_GAIN = 0.7
+# Logarithm of how much likelier than ordinary text a token of a learned format must be.
+LEAST_ODDS = 7.0
+# A token fits a format down to the least labelled gain, or so many deviations below their mean.
+DEVIATIONS = 5.0
 CLASSES = {**dict.fromkeys("0123456789", ("d", 10)), **dict.fromkeys("abcdef", ("a", 6)), **dict.fromkeys("ghijklmnopqrstuvwxyz", ("l", 20)), **dict.fromkeys("ABCDEFGHIJKLMNOPQRSTUVWXYZ", ("U", 26))}
 ALPHABET = 67
 SMOOTHING = 0.01
+# Characters of tokens; all other bytes are one more symbol.
+SYMBOLS = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/_=-."
+PLACES = {c: n for n, c in enumerate(SYMBOLS)}
+OTHER = len(SYMBOLS)
+_CODES = np.full(256, OTHER, np.int64)
+_CODES[np.frombuffer(SYMBOLS.encode(), np.uint8)] = np.arange(OTHER)
+# Weight of a character's own frequency among those that follow another one.
+PRIOR_PAIRS = 5.0
 
 
 class Hit(NamedTuple):
@@ -165,16 +182,106 @@ class Automaton:
         return total / max(1, len(value))
 
 
-def automata(found: DataFrame, samples: int = SAMPLES_PER_KIND, longest: int = LONGEST_SAMPLE) -> dict[str, Automaton]:
-    """An automaton for each base kind with labelled values; the sample is bounded per kind."""
+class Ordinary:
+    """Ordinary text: how often each character follows another inside a token.
+
+    A token in capitals is as ordinary as in small letters.
+    """
+
+    def __init__(self, pairs: np.ndarray) -> None:
+        inside = pairs[:, :OTHER].astype(np.float64)
+        alone = inside.sum(axis=0) + 1
+        alone /= alone.sum()
+        own = (inside + PRIOR_PAIRS * alone) / (inside.sum(axis=1, keepdims=True) + PRIOR_PAIRS)
+        self.logs = np.log(own).tolist()
+
+    def _sum(self, value: str) -> float:
+        total, before = 0.0, OTHER
+        for char in value:
+            at = PLACES[char]
+            total += self.logs[before][at]
+            before = at
+        return total
+
+    def likelihood(self, value: str) -> float:
+        return max(self._sum(value), self._sum(value.lower())) if value.isupper() else self._sum(value)
+
+
+def _pairs(codes: np.ndarray) -> np.ndarray:
+    return np.bincount(codes[:-1] * (OTHER + 1) + codes[1:], minlength=(OTHER + 1) ** 2)
+
+
+def _sent(seen: np.ndarray) -> pa.RecordBatch:
+    pairs = np.flatnonzero(seen)
+    return pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(seen[pairs])], ["pair", "times"])
+
+
+def ordinary(docs: DataFrame, found: DataFrame) -> Ordinary:
+    """From every text less what was found in it; a task sends one row for each pair that it has seen."""
+
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((OTHER + 1) ** 2, np.int64)
+        for batch in batches:
+            data, offsets = text_buffer(batch.column(0))
+            for first, last in chunks(offsets):
+                seen += _pairs(_CODES[data[offsets[first] : offsets[last]]])
+        yield _sent(seen)
+
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((OTHER + 1, OTHER + 1), np.int64)
+        for batch in batches:
+            for hits in batch.column(0).to_pylist():
+                own, upto = [], 0
+                for end, value in sorted((h["end"], h["value"]) for h in hits):
+                    own.append(value[max(0, upto - end + len(value)) :])
+                    upto = max(upto, end)
+                data = np.frombuffer("\n".join(["", *own, ""]).encode(), np.uint8)
+                seen -= _pairs(_CODES[data]).reshape(seen.shape)
+        # What stands before and after a value is ordinary.
+        seen[OTHER], seen[:, OTHER] = 0, 0
+        yield _sent(seen.ravel())
+
+    schema, total = "pair bigint, times bigint", np.zeros((OTHER + 1) ** 2)
+    both = docs.select("text").mapInArrow(texts, schema).unionByName(found.filter("size(hits) > 0").select("hits").mapInArrow(values, schema))
+    for r in both.groupBy("pair").agg(F.sum("times").alias("times")).collect():
+        total[r.pair] = max(0, r.times)
+    return Ordinary(total.reshape(OTHER + 1, OTHER + 1))
+
+
+class Judge(NamedTuple):
+    """Automata by kind, the gain that its format has at least, and ordinary text."""
+
+    models: dict[str, Automaton]
+    floors: dict[str, float]
+    plain: Ordinary
+
+    def secret(self, value: str, least_gain: float) -> bool:
+        gains = {kind: m.gain(value) for kind, m in self.models.items()}
+        if max(gains.values(), default=0.0) >= least_gain:
+            return True
+        fits = [g for kind, g in gains.items() if g >= self.floors[kind]]
+        return bool(fits) and len(value) * (max(fits) - math.log(ALPHABET)) >= self.plain.likelihood(value) + LEAST_ODDS
+
+
+def judge(docs: DataFrame, found: DataFrame) -> Judge:
+    models, floors = {}, {}
+    for kind, values in labelled(found).items():
+        models[kind] = Automaton(values)
+        gains = np.array([models[kind].gain(v) for v in values])
+        floors[kind] = float(min(gains.min(), gains.mean() - DEVIATIONS * gains.std()))
+    return Judge(models, floors, ordinary(docs, found))
+
+
+def labelled(found: DataFrame, samples: int = SAMPLES_PER_KIND, longest: int = LONGEST_SAMPLE) -> dict[str, list[str]]:
+    """Distinct labelled values of each base kind that has any; the sample is bounded per kind."""
     values = found.select(F.explode("hits").alias("hit")).select("hit.*").filter(F.length("value") <= longest)
-    models = {}
+    samples_of = {}
     for rank, kind in enumerate(PATTERNS):
         own = values.filter(F.col("rank") == rank).select("value").distinct()
         rows = own.orderBy(F.xxhash64("value"), "value").limit(samples).collect()
         if rows:
-            models[kind] = Automaton(sorted(r.value for r in rows))
-    return models
+            samples_of[kind] = sorted(r.value for r in rows)
+    return samples_of
 
 
 def best_gain(models: dict[str, Automaton], value: str) -> float:
@@ -210,7 +317,7 @@ def scan(docs: DataFrame, least_gain: float = LEAST_GAIN) -> DataFrame:
     stays null; repeated rows are answered each time; no rows give no rows.
     """
     found = materialise(propose(docs), "secret-hits")
-    models = automata(found)
+    judged = judge(docs, found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,8 +325,8 @@ def scan(docs: DataFrame, least_gain: float = LEAST_GAIN) -> DataFrame:
             for doc_id, hits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 hits = [Hit(**h) for h in hits]
                 base = [h for h in hits if h.rank < 3]
-                gains = [best_gain(models, h.value) for h in hits]
-                kept = [h for h, g in zip(hits, gains) if h.rank < 3 or g >= least_gain]
+                gains = [best_gain(judged.models, h.value) for h in hits]
+                kept = [h for h in hits if h.rank < 3 or judged.secret(h.value, least_gain)]
                 counts = [sum(h.rank == k for h in base) for k in range(3)]
                 rows.append((doc_id, *counts, hashlib.sha256(_spelled(base).encode()).hexdigest(), _spelled(kept), max(gains, default=None)))
             columns = list(zip(*rows)) or [()] * 7
@@ -235,12 +342,12 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", least_gain: float = LEAST_GA
 
     The automata come from the docs themselves. A null text stays null.
     """
-    models = automata(materialise(propose(docs).filter("size(hits) > 0"), "secret-hits"))
+    judged = judge(docs, materialise(propose(docs).filter("size(hits) > 0"), "secret-hits"))
     names, schema = docs.columns, docs.schema
 
     def cleaned(text: str) -> str:
         base = base_hits(text)
-        hits = sorted([*base, *(h for h in candidates(text, base) if best_gain(models, h.value) >= least_gain)])
+        hits = sorted([*base, *(h for h in candidates(text, base) if judged.secret(h.value, least_gain))])
         out, at = [], 0
         for h in hits:
             start = h.end - len(h.value) if h.rank == 0 else h.start

@@ -70,3 +70,33 @@ def test_new_tokens_of_a_learned_format_are_added_and_redacted(spark):
     clean = {r.doc_id: r for r in secrets.redact(frame).collect()}
     assert clean[1000].text == f"left [SECRET] right {'word' * 8}1" and clean[1000].n_chars == len(clean[1000].text)
     assert clean[0].text == 'say token = "[SECRET]" here'
+
+
+def test_unlabelled_tokens_of_wide_formats_are_added_and_redacted(spark):
+    """Formats of most characters, of capitals and digits, and of a fixed head; ordinary tokens stay."""
+    digits, small = "0123456789", "abcdefghijklmnopqrstuvwxyz"
+    wide = digits + small + small.upper()
+    formats = {
+        "base62": lambda r: "".join(r.choice(wide) for _ in range(40)),
+        "base64": lambda r: "".join(r.choice(wide + "+/") for _ in range(43)) + "=",
+        "capitals": lambda r: "".join(r.choice(digits + small.upper()) for _ in range(24)),
+        "github": lambda r: "ghp_" + "".join(r.choice(wide) for _ in range(36)),
+        "access": lambda r: "ASIA" + "".join(r.choice(digits + small.upper()) for _ in range(16)),
+    }
+    ordinary = ["thereandthenwegoagain12", "some/long/path/to/1/file", "report-of-the-year-2024-for-all", "REPORT-OF-THE-YEAR-2024", "AndThenTheOthersWentHome2Times"]
+    for name, make in formats.items():
+        rng = random.Random(name)
+        words = ["there", "and", "then", "we", "go", "again", "some", "long", "path", "to", "file", "report", "of", "the", "year", "for", "all", "others", "went", "home", "times", "with"]
+        prose = lambda n: " ".join(rng.choice([w, w.title()]) for w in rng.choices(words, k=n))  # noqa: B023, E731
+        label = (lambda v: "AKIA" + v[4:]) if name == "access" else (lambda v: f'token = "{v}"')
+        rows = [(n, f"{prose(80)}. {label(make(rng))} {prose(20)} in 2024.") for n in range(200)]
+        new = [make(rng) for _ in range(40)]
+        rows += [(1000 + n, f"{prose(9)} {v} {prose(5)}") for n, v in enumerate(new)]
+        rows += [(2000 + n, f"{prose(9)} {v} {prose(5)}") for n, v in enumerate(ordinary)]
+        frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+        spans = {r.doc_id: r.spans for r in secrets.scan(frame).collect()}
+        texts, clean = dict(rows), {r.doc_id: r.text for r in secrets.redact(frame).collect()}
+        missed = [v for n, v in enumerate(new) if spans[1000 + n] != f"format:{texts[1000 + n].index(v)}:{texts[1000 + n].index(v) + len(v)}"]
+        assert not missed, (name, missed)
+        assert all(v not in clean[1000 + n] for n, v in enumerate(new))
+        assert [v for n, v in enumerate(ordinary) if spans[2000 + n]] == [], name
