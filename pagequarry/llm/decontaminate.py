@@ -8,6 +8,9 @@ only terms beyond the pivot open blocks, a block is skipped when its own maxima
 threshold, and the items of the others are scored. Items that are found count when both their
 question and their answer overlap with the passage. All passages of a batch go through each of
 these steps together.
+
+Items of few words, or with a part without words, are found as whole runs of words instead, with the
+symbols between them where a part consists of these.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.words import NOT_ALNUM, Words, chunks, expand, find_words, shingles, text_buffer
+from pagequarry.llm.words import NOT_ALNUM, UNSPACED, WHITE, Words, chunks, expand, find_words, shingles, text_buffer
 from pagequarry.session import materialise
 
 K1, B = 1.2, 0.75
@@ -29,24 +32,37 @@ THRESHOLD = 0.5
 LEAST_OVERLAP = 0.5
 OVERLAP_WORDS = 3
 BLOCK_ITEMS = 16
-# Items of fewer words cannot be told from ordinary prose.
+# Items of fewer words are too short for shares: they must be there whole.
 LEAST_ITEM_WORDS = 5
 LEAST_STRIDE = 64
 # Bytes of item text that are indexed and sent at a time.
 ROUND_BYTES = 8 << 20
 
 
-def _words(texts: list[str]) -> Words:
-    data, offsets = text_buffer(pa.array(texts, pa.string()))
-    return find_words(data, offsets, lower=True, white=NOT_ALNUM)
+_OWN = "".join(f"{chr(a)}-{chr(b)}" for a, b in UNSPACED)
+PIECE = re.compile(rf"[{_OWN}]|[^\s{_OWN}]+")
+SENTENCE_END = re.compile(r"(?<=[.?!:])\s+|(?<=[\u3002\uff1f\uff01\uff1a])\s*")
+# The first words of a run by which it is looked up.
+KEY_WORDS = 4
+
+
+def _found(data: np.ndarray, offsets: np.ndarray, symbols: bool = False) -> Words:
+    """Words, and each ASCII symbol as a word of its own if asked for."""
+    if symbols:
+        return find_words(data, offsets, lower=True, unspaced=True, alone=NOT_ALNUM & ~WHITE)
+    return find_words(data, offsets, lower=True, white=NOT_ALNUM, unspaced=True)
+
+
+def _words(texts: list[str], symbols: bool = False) -> Words:
+    return _found(*text_buffer(pa.array(texts, pa.string())), symbols)
 
 
 def question_and_answer(text: str) -> tuple[str, str]:
     """The answer is the last sentence, or the last third where there is but one."""
-    parts = [p for p in re.split(r"(?<=[.?!:])\s+", text.strip()) if len(p.split()) >= OVERLAP_WORDS]
+    parts = [p for p in SENTENCE_END.split(text.strip()) if len(PIECE.findall(p)) >= OVERLAP_WORDS]
     if len(parts) > 1:
         return " ".join(parts[:-1]), parts[-1]
-    words = text.split()
+    words = PIECE.findall(text)
     cut = len(words) - max(1, len(words) // 3)
     return " ".join(words[:cut]), " ".join(words[cut:])
 
@@ -57,6 +73,41 @@ def _grams(hashes: np.ndarray) -> tuple[np.ndarray, int]:
     return shingles(hashes, length), length
 
 
+class Runs:
+    """Items that are found as whole runs of words."""
+
+    def __init__(self, items: list[tuple[int, str]], symbols: bool) -> None:
+        self.symbols = symbols
+        words = _words([text for _, text in items], symbols)
+        bounds = zip(words.firsts[:-1], words.firsts[1:])
+        held = [(i, words.hashes[a:b]) for (i, _), (a, b) in zip(items, bounds) if b > a]
+        self.ids, self.runs = [i for i, _ in held], [h for _, h in held]
+        self.sizes = np.array([len(h) for h in self.runs], np.int64)
+        self.tables = []
+        for length in range(1, KEY_WORDS + 1):
+            own = np.flatnonzero(np.minimum(self.sizes, KEY_WORDS) == length)
+            if len(own):
+                keys = np.concatenate([shingles(self.runs[k][:length], length) for k in own])
+                order = np.argsort(keys, kind="stable")
+                self.tables.append((length, keys[order], own[order]))
+
+    def find(self, words: Words) -> list[tuple[int, int]]:
+        """Texts and the items that they hold."""
+        found: set[tuple[int, int]] = set()
+        for length, keys, items in self.tables:
+            here = shingles(words.hashes, length)
+            first = np.searchsorted(keys, here)
+            at = np.flatnonzero(keys[np.minimum(first, len(keys) - 1)] == here)
+            owner, place = expand(first[at], np.searchsorted(keys, here[at], "right") - first[at])
+            at, item = at[owner], items[place]
+            text = np.searchsorted(words.firsts, at, "right") - 1
+            whole = at + self.sizes[item] <= words.firsts[text + 1]
+            for a, t, i in zip(at[whole].tolist(), text[whole].tolist(), item[whole].tolist()):
+                if (t, i) not in found and (self.sizes[i] <= length or np.array_equal(words.hashes[a : a + self.sizes[i]], self.runs[i])):
+                    found.add((t, i))
+        return sorted(found)
+
+
 class Found(NamedTuple):
     text: int
     item: int
@@ -150,10 +201,12 @@ class Index:
         return names[group[pair]], block[pair] * BLOCK_ITEMS + cells[good] % BLOCK_ITEMS, scores[good]
 
     def find(self, data: np.ndarray, offsets: np.ndarray, threshold: float = THRESHOLD, least: float = LEAST_OVERLAP) -> list[Found]:
+        return self.find_in(_found(data, offsets), threshold, least)
+
+    def find_in(self, words: Words, threshold: float = THRESHOLD, least: float = LEAST_OVERLAP) -> list[Found]:
         """For every text and item: the best passage that passes both tests."""
         if not len(self.terms):
             return []
-        words = find_words(data, offsets, lower=True, white=NOT_ALNUM)
         passage, term, of_text, first_word = self.passages(words)
         best: dict[tuple[int, int], Found] = {}
         for p, item, score in zip(*self.search(passage, term, threshold)):
@@ -168,23 +221,61 @@ class Index:
         return list(best.values())
 
 
-def indexes(items: DataFrame) -> list[Index]:
-    """Indexes of the items (item_id, text), each of bounded size, with common statistics.
+class Round(NamedTuple):
+    """What is searched for at a time: indexes of items of similar length, and runs."""
+
+    indexes: list[Index]
+    runs: list[Runs]
 
-    Items without a text, or of fewer than LEAST_ITEM_WORDS words, are not searched for.
+    def find(self, data: np.ndarray, offsets: np.ndarray, threshold: float) -> list[tuple[int, int, float, float, float]]:
+        """Texts, item ids, scores and both overlaps."""
+        found = []
+        if self.indexes or not all(r.symbols for r in self.runs):
+            words = _found(data, offsets)
+        for index in self.indexes:
+            found += [(f.text, index.ids[f.item], *f[2:]) for f in index.find_in(words, threshold)]
+        for runs in self.runs:
+            held = runs.find(_found(data, offsets, True) if runs.symbols else words)
+            found += [(text, runs.ids[item], 1.0, 1.0, 1.0) for text, item in held]
+        return found
+
+
+SHARES, WHOLE, SYMBOLS = range(3)
+
+
+def _ways(texts: list[str]) -> list[int | None]:
+    """How each item is searched for; None for one of no character, or of one letter or digit."""
+    sizes = np.diff(_words(texts).firsts)
+    parts = [question_and_answer(t) for t in texts]
+    by_part = np.diff(_words([p for pair in parts for p in pair]).firsts).reshape(-1, 2)
+    ways = []
+    for text, pair, size, held in zip(texts, parts, sizes, by_part):
+        if not text.strip() or re.fullmatch("[A-Za-z0-9]", text.strip()):
+            ways.append(None)
+        elif not size or any(p.strip() and not n for p, n in zip(pair, held)):
+            ways.append(SYMBOLS)
+        else:
+            ways.append(SHARES if size >= LEAST_ITEM_WORDS and held.all() else WHOLE)
+    return ways
+
+
+def indexes(items: DataFrame) -> list[Round]:
+    """Indexes of the items (item_id, text), in rounds of bounded size, with common statistics.
+
+    Items without a text, or of one letter or digit, are not searched for.
     """
     rows = materialise(items.filter("text is not null").select("item_id", "text"), "benchmark-items")
     held = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     rounds = max(1, -(-held // ROUND_BYTES))
 
-    def part(k: int) -> list[tuple[int, str]]:
+    def part(k: int) -> list[list[tuple[int, str]]]:
         found = rows.filter(F.pmod(F.xxhash64("text"), F.lit(rounds)) == k).orderBy("item_id", "text").collect()
-        sizes = np.diff(_words([r.text for r in found]).firsts) if found else []
-        return [(r.item_id, r.text) for r, n in zip(found, sizes) if n >= LEAST_ITEM_WORDS]
+        ways = _ways([r.text for r in found])
+        return [[(r.item_id, r.text) for r, w in zip(found, ways) if w == way] for way in (SHARES, WHOLE, SYMBOLS)]
 
     terms, held, count, total = np.zeros(0, np.uint64), np.zeros(0), 0, 0
     parts = [part(0)] if rounds == 1 else (part(k) for k in range(rounds))
-    for own in parts:
+    for own, *_ in parts:
         words = _words([text for _, text in own])
         sizes = np.diff(words.firsts)
         owner = np.repeat(np.arange(len(own)), sizes)
@@ -197,7 +288,12 @@ def indexes(items: DataFrame) -> list[Index]:
         count, total = count + len(own), total + int(sizes.sum())
     mean = total / max(1, count)
     again = parts if rounds == 1 else (part(k) for k in range(rounds))
-    return [Index(own, (terms, held), count, mean) for own in again if own]
+
+    def round_of(own: list[tuple[int, str]], whole: list[tuple[int, str]], symbols: list[tuple[int, str]]) -> Round:
+        runs = [Runs(some, way == SYMBOLS) for way, some in ((WHOLE, whole), (SYMBOLS, symbols)) if some]
+        return Round([Index(own, (terms, held), count, mean)] if own else [], runs)
+
+    return [round_of(*own) for own in again if any(own)]
 
 
 def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -218,7 +314,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
                 data, offsets = text_buffer(batch.column(1))
                 rows = []
                 for first, last in chunks(offsets):
-                    rows += [(ids[first + f.text], shared.value.ids[f.item], *f[2:]) for f in shared.value.find(data, offsets[first : last + 1], threshold)]
+                    rows += [(ids[first + text], *rest) for text, *rest in shared.value.find(data, offsets[first : last + 1], threshold)]
                 columns = list(zip(*rows)) or [()] * 5
                 kinds = [pa.int64()] * 2 + [pa.float64()] * 3
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
@@ -239,7 +335,7 @@ def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
                 data, offsets = text_buffer(batch.column(place))
                 kept = np.ones(batch.num_rows, bool)
                 for first, last in chunks(offsets):
-                    kept[[first + f.text for f in shared.value.find(data, offsets[first : last + 1], threshold)]] = False
+                    kept[[first + text for text, *_ in shared.value.find(data, offsets[first : last + 1], threshold)]] = False
                 yield batch.filter(pa.array(kept))
 
         docs = docs.mapInArrow(run, schema)

@@ -20,8 +20,8 @@ PIECE = 1 << 17
 # Bytes of text whose words are held at a time, unless a single text is longer.
 CHUNK = 1 << 22
 
-_WHITE = np.zeros(256, bool)
-_WHITE[[9, 10, 11, 12, 13, 32]] = True
+WHITE = np.zeros(256, bool)
+WHITE[[9, 10, 11, 12, 13, 32]] = True
 # Everything in ASCII that is not a letter or a digit separates terms.
 NOT_ALNUM = np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -78,10 +78,33 @@ class Words(NamedTuple):
     firsts: np.ndarray
 
 
-def find_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, white: np.ndarray = _WHITE) -> Words:
+# Scripts without spaces between words: each of their characters is a word where that is asked for.
+UNSPACED = ((0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x1AAF), (0x3005, 0x3007), (0x3021, 0x312F), (0x31A0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA000, 0xA4CF), (0xA9E0, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF))
+# Spaces and punctuation of these scripts.
+MARKS = ((0x3000, 0x3004), (0x3008, 0x3020), (0xFF01, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65))
+
+
+def _wide(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, lengths and code points of all characters of three and four bytes."""
+    starts = np.flatnonzero(data >= 0xE0)
+    four = data[starts] >= 0xF0
+    code = np.zeros(len(starts), np.int64)
+    for k in range(4):
+        at = data[np.minimum(starts + k, len(data) - 1)].astype(np.int64)
+        code = np.where((k < 3) | four, code << 6 | (at & (np.where(four, 7, 15) if k == 0 else 63)), code)
+    return starts, np.where(four, 4, 3), code
+
+
+def _within(code: np.ndarray, ranges: tuple[tuple[int, int], ...]) -> np.ndarray:
+    return np.logical_or.reduce([(code >= a) & (code <= b) for a, b in ranges])
+
+
+def find_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, white: np.ndarray = WHITE, unspaced: bool = False, alone: np.ndarray | None = None) -> Words:
     """Words of the texts data[offsets[i]:offsets[i + 1]]; words never cross texts.
 
-    `lower` brings A to Z to lower case; `white` names the bytes that separate words.
+    `lower` brings A to Z to lower case; `white` names the bytes that separate words; `alone` those
+    that are a word each. With `unspaced` so is each character of a script without spaces, and the
+    punctuation of these scripts separates words.
     """
     data = data[offsets[0] : offsets[-1]]
     offsets = (offsets - offsets[0]).astype(np.int64)
@@ -90,6 +113,15 @@ def find_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, white
     inside = ~white[data]
     breaks = np.zeros(len(data) + 1, bool)
     breaks[offsets] = True
+    if unspaced:
+        at, size, code = _wide(data)
+        own = _within(code, UNSPACED)
+        breaks[at[own]] = breaks[(at + size)[own]] = True
+        marks = at[_within(code, MARKS)]
+        inside[marks] = inside[marks + 1] = inside[marks + 2] = False
+    if alone is not None:
+        own = np.flatnonzero(alone[data])
+        breaks[own] = breaks[own + 1] = True
     gap = ~inside
     first = inside.copy()
     first[1:] &= gap[:-1] | breaks[1:-1]

@@ -117,3 +117,19 @@ def test_rounds_agree(spark, tricky, monkeypatch):
     monkeypatch.setattr(decontaminate, "LEAST_STRIDE", 200)
     parts = order(decontaminate.leaks(tricky, items.filter("length(text) < 700")))
     assert {p[:3] for p in parts} >= {w[:3] for w in whole if w[3] > 0.999}
+
+
+def test_short_symbol_and_unspaced_items_are_found(spark):
+    """Whole copies of items of few words, with a part of symbols, and of scripts without spaces."""
+    chinese = "\u6c34\u5728\u591a\u5c11\u5ea6\u6cb8\u817e\uff1f\u4e00\u767e\u5ea6\u3002"
+    thai = "\u0e01\u0e23\u0e38\u0e07\u0e40\u0e17\u0e1e\u0e2d\u0e22\u0e39\u0e48\u0e17\u0e35\u0e48\u0e44\u0e2b\u0e19"
+    items = ["Water boils hot", "Paris", "Which signs close the block. ) ; }", "a-b-c-d-e-f", chinese, "\u6771\u4eac", thai, "+ = +"]
+    near = ["water boils very hot", "Parisian", "which signs close the block. ) }", "a b c d e", chinese[:3] + chinese[7:], "\u6771\u5357\u4eac", thai[:4], "+ +"]
+    texts = [f"so it was said: {i.lower()}, once more" for i in items] + [f"so it was said: {n}, once more" for n in near]
+    texts[4] = f"\u6211\u4eec\u95ee{chinese}\u7136\u540e"
+    texts[5] = "\u6211\u5728\u6771\u4eac\u4f4f"
+    frame = lambda rows, c: spark.createDataFrame(list(enumerate(rows)), f"{c} bigint, text string")
+    rows = decontaminate.leaks(frame(texts, "doc_id"), frame(items, "item_id")).collect()
+    assert sorted((r.doc_id, r.item_id) for r in rows) == [(n, n) for n in range(len(items))]
+    kept = decontaminate.clean(frame(texts, "doc_id"), frame(items, "item_id")).collect()
+    assert sorted(r.doc_id for r in kept) == list(range(len(items), len(texts)))
