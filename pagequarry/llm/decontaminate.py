@@ -1,7 +1,8 @@
 """Benchmark decontamination: every training passage queries a BM25 index of the test items.
 
-Documents are cut into overlapping passages long enough to hold any item. An item's weights are its
-BM25 weights divided by their sum, so a passage's score is the share of the item that it covers.
+Documents are cut into overlapping passages long enough to hold any item of the index. An item's
+weights are its BM25 weights divided by their sum, so a passage's score is the share of the item that
+it covers. What is found is scored again in windows that the item's own length alone decides.
 Items lie in blocks of BLOCK_ITEMS; each posting list has the largest weight of every block and of
 the whole list. A passage is skipped when the list maxima of its terms cannot reach the threshold,
 only terms beyond the pivot open blocks, a block is skipped when its own maxima cannot reach the
@@ -128,7 +129,10 @@ class Index:
             self.parts.append([_grams(h) for h in (words.hashes[:cut], words.hashes[cut:])])
         words = _words([text for _, text in items])
         sizes = np.diff(words.firsts)
-        self.stride = max(LEAST_STRIDE, int(sizes.max(initial=0)))
+        # An item is scored in windows of twice its stride. Passages are these windows, or hold them.
+        self.strides = np.maximum(LEAST_STRIDE, sizes)
+        most = int(self.strides.max(initial=LEAST_STRIDE))
+        self.stride = most if (self.strides == most).all() else 2 * most
         owner = np.repeat(np.arange(len(items)), sizes)
         self.terms, term = np.unique(words.hashes, return_inverse=True)
         pairs, times = np.unique(term * len(items) + owner, return_counts=True)
@@ -137,6 +141,9 @@ class Index:
         rarity = np.log(1 + (count - held + 0.5) / (held + 0.5))
         weights = rarity[term] * times * (K1 + 1) / (times + K1 * (1 - B + B * sizes[owner] / mean_words))
         weights = weights / np.bincount(owner, weights, len(items))[owner]
+        order = np.argsort(owner, kind="stable")
+        self.own_term, self.own_weight = term[order], weights[order]
+        self.own_first = np.searchsorted(owner[order], np.arange(len(items) + 1))
         # Postings by term and item; a block's are neighbours.
         self.blocks = -(-len(items) // BLOCK_ITEMS)
         self.slots, self.weights = owner % BLOCK_ITEMS, weights
@@ -203,21 +210,40 @@ class Index:
     def find(self, data: np.ndarray, offsets: np.ndarray, threshold: float = THRESHOLD, least: float = LEAST_OVERLAP) -> list[Found]:
         return self.find_in(_found(data, offsets), threshold, least)
 
+    def windows(self, item: int, first: int, text_first: int, text_end: int, score: float) -> Iterator[tuple[int, int, float | None]]:
+        """First word, end and, if known, score of the item's windows in the passage from `first`."""
+        stride = int(self.strides[item])
+        if stride == self.stride:
+            yield first, min(first + 2 * stride, text_end), score
+            return
+        count = max(1, -(-(text_end - text_first) // stride) - 1)
+        for j in range(-(-(first - text_first) // stride), count):
+            start = text_first + j * stride
+            end = min(start + 2 * stride, text_end)
+            if end > first + 2 * self.stride:
+                return
+            yield start, end, None
+
     def find_in(self, words: Words, threshold: float = THRESHOLD, least: float = LEAST_OVERLAP) -> list[Found]:
-        """For every text and item: the best passage that passes both tests."""
+        """For every text and item: the best window that passes both tests."""
         if not len(self.terms):
             return []
         passage, term, of_text, first_word = self.passages(words)
         best: dict[tuple[int, int], Found] = {}
-        for p, item, score in zip(*self.search(passage, term, threshold)):
+        for p, item, reached in zip(*self.search(passage, term, threshold)):
             text = int(of_text[p])
-            end = min(first_word[p] + 2 * self.stride, words.firsts[text + 1])
-            own = words.hashes[first_word[p] : end]
-            question, answer = (float(np.isin(part, shingles(own, size)).mean()) if len(part) else 0.0 for part, size in self.parts[item])
-            if question >= least and answer >= least:
-                found = Found(text, int(item), float(score), question, answer)
-                if (text, found.item) not in best or found[2:] > best[text, found.item][2:]:
-                    best[text, found.item] = found
+            mine = slice(self.own_first[item], self.own_first[item + 1])
+            for start, end, score in self.windows(int(item), int(first_word[p]), int(words.firsts[text]), int(words.firsts[text + 1]), float(reached)):
+                own = words.hashes[start:end]
+                if score is None:
+                    score = float(self.own_weight[mine][np.isin(self.terms[self.own_term[mine]], own)].sum())
+                    if score < threshold - 1e-9:
+                        continue
+                question, answer = (float(np.isin(part, shingles(own, size)).mean()) if len(part) else 0.0 for part, size in self.parts[item])
+                if question >= least and answer >= least:
+                    found = Found(text, int(item), score, question, answer)
+                    if (text, found.item) not in best or found[2:] > best[text, found.item][2:]:
+                        best[text, found.item] = found
         return list(best.values())
 
 
@@ -290,8 +316,12 @@ def indexes(items: DataFrame) -> list[Round]:
     again = parts if rounds == 1 else (part(k) for k in range(rounds))
 
     def round_of(own: list[tuple[int, str]], whole: list[tuple[int, str]], symbols: list[tuple[int, str]]) -> Round:
+        sizes = np.diff(_words([text for _, text in own]).firsts)
+        # Strides within a factor of two, so that passages stay near the windows of each item.
+        level = np.ceil(np.log2(np.maximum(1, sizes / LEAST_STRIDE)))
+        groups = [[own[n] for n in np.flatnonzero(level == k)] for k in np.unique(level)]
         runs = [Runs(some, way == SYMBOLS) for way, some in ((WHOLE, whole), (SYMBOLS, symbols)) if some]
-        return Round([Index(own, (terms, held), count, mean)] if own else [], runs)
+        return Round([Index(g, (terms, held), count, mean) for g in groups], runs)
 
     return [round_of(*own) for own in again if any(own)]
 

@@ -133,3 +133,25 @@ def test_short_symbol_and_unspaced_items_are_found(spark):
     assert sorted((r.doc_id, r.item_id) for r in rows) == [(n, n) for n in range(len(items))]
     kept = decontaminate.clean(frame(texts, "doc_id"), frame(items, "item_id")).collect()
     assert sorted(r.doc_id for r in kept) == list(range(len(items), len(texts)))
+
+
+def test_other_items_and_rounds_do_not_matter(spark, monkeypatch):
+    rng = random.Random(4)
+    words, other = vocabulary(rng, 400), [f"z{n}" for n in range(900)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    filler = lambda n: " ".join(rng.choice(other) for _ in range(n))
+    short = [(n, f"{prose(12)}. {prose(6)}.") for n in range(6)]
+    long = [(10, prose(200)), (11, prose(150)), (12, prose(700)), (13, prose(65))]
+    texts = []
+    for _, item in short + long:
+        question, answer = decontaminate.question_and_answer(item)
+        texts += [f"{filler(rng.randint(0, 300))} {question} {filler(gap)} {answer} {filler(rng.randint(0, 200))}" for gap in (0, 20, 60, 120, 300, 1000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = lambda some: {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs, spark.createDataFrame(some, "item_id bigint, text string")).collect()}
+    alone, both = found(short), found(short + long)
+    assert {f for f in both if f[1] < 10} == alone
+    assert {f for f in both if f[1] >= 10} == found(long) >= {(6 * (6 + k), 10 + k) for k in range(4)}
+    # The far copies of short items stay out, whatever the longest item.
+    assert not {f for f in both if f[1] < 10 and f[0] % 6 > 3}
+    monkeypatch.setattr(decontaminate, "ROUND_BYTES", 1500)
+    assert found(short + long) == both
