@@ -1,5 +1,6 @@
 """SQL for the registered queries of this package that SQL can express."""
 
+from pagequarry.llm.urls import JUDGE_SQL
 from pagequarry.llm.warc import AUDIT_SQL
 
 TOP_K_SQL = """
@@ -19,4 +20,5 @@ select query_id, rank, vec_id, score from ranked where rank <= 5
 ORACLES: dict[str, str] = {
     "op5_fixity": AUDIT_SQL,
     "op6_topk": TOP_K_SQL,
+    "op11_urls": JUDGE_SQL,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm import decontaminate, jaccard, language, nearest, packing, pii, secrets, sharding, substrings, warc
+from pagequarry.llm import decontaminate, jaccard, language, nearest, packing, pii, secrets, sharding, substrings, urls, warc
 from pagequarry.sources.tables import scan
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,10 @@ def op10_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard(scan(spark, folder, "documents"))
 
 
+def op11_urls(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge_pages(scan(spark, folder, "pages"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_pack": op2_pack,
@@ -64,4 +68,5 @@ QUERIES: dict[str, Query] = {
     "op8_secrets": op8_secrets,
     "op9_jaccard": op9_jaccard,
     "op10_shards": op10_shards,
+    "op11_urls": op11_urls,
 }
