@@ -9,6 +9,7 @@ from pagequarry.config import Settings
 from pagequarry.functions.text import iso_timestamp
 from pagequarry.operators.chunking import chunks_of
 from pagequarry.schemas import LENGTH_LIMITS
+from pagequarry.operators.joins import join_unique
 from pagequarry.session import broadcast_if_small
 
 # The messages users see.
@@ -87,13 +88,8 @@ def document_by_id(documents: DataFrame, document_id: int) -> DataFrame:
     return documents.filter(F.col("id") == document_id)
 
 
-def document_options(documents: DataFrame) -> DataFrame:
-    """Choices of the document picker: name, id, in display order.
-
-    The sentinel comes first with no id. Where several uploads share a name, the name stands
-    where the newest one is listed and resolves to the oldest. A document that is called like
-    the sentinel takes the sentinel's place.
-    """
+def _named(documents: DataFrame) -> DataFrame:
+    """One row per name and one for the sentinel, in no order."""
     spark = documents.sparkSession
     sentinel = spark.range(1).select(
         F.lit(ALL_DOCUMENTS).alias("filename"),
@@ -113,21 +109,33 @@ def document_options(documents: DataFrame) -> DataFrame:
             F.max(upload).alias("_newest"),
             F.max("_sentinel").alias("_sentinel"),
         )
-        .orderBy(F.desc("_sentinel"), F.desc_nulls_last("_newest"))
-        .select("filename", "id", F.col("_newest.uploaded_at").alias("last_uploaded_at"))
     )
 
 
-def resolve_names(questions: DataFrame, documents: DataFrame) -> DataFrame:
-    """Replace the picked `filename` of each question by a document_id; NULL searches all."""
-    options = document_options(documents).select("filename", F.col("id").alias("document_id"))
-    return questions.join(broadcast_if_small(options), "filename", "left").drop("filename")
+def document_options(documents: DataFrame) -> DataFrame:
+    """Choices of the document picker: name, id, in display order.
+
+    The sentinel comes first with no id. Where several uploads share a name, the name stands
+    where the newest one is listed and resolves to the oldest. A document that is called like
+    the sentinel takes the sentinel's place.
+    """
+    ordered = _named(documents).orderBy(F.desc("_sentinel"), F.desc_nulls_last("_newest"))
+    return ordered.select("filename", "id", F.col("_newest.uploaded_at").alias("last_uploaded_at"))
+
+
+def resolve_names(questions: DataFrame, documents: DataFrame, **limits: int) -> DataFrame:
+    """Replace the picked `filename` of each question by a document_id; NULL searches all.
+
+    Most questions may pick one name, the sentinel as a rule; `limits` are those of `join_unique`.
+    """
+    options = _named(documents).select("filename", F.col("id").alias("document_id"))
+    return join_unique(questions, options, "filename", "left", **limits).drop("filename")
 
 
-def with_document(chunks: DataFrame, documents: DataFrame) -> DataFrame:
-    """Chunks with the name of their document."""
+def with_document(chunks: DataFrame, documents: DataFrame, **limits: int) -> DataFrame:
+    """Chunks with the name of their document; a document may hold most chunks."""
     named = documents.select(F.col("id").alias("document_id"), "filename")
-    return chunks.join(broadcast_if_small(named), "document_id")
+    return join_unique(chunks, named, "document_id", **limits)
 
 
 def chunks_of_document(chunks: DataFrame, document_id: int) -> DataFrame:

@@ -250,6 +250,11 @@ ORACLES: dict[str, str] = {
         select query_id, case when length(query) % 25 = 0 then '{catalog.ALL_DOCUMENTS}'
                          else 'src' || length(query) % 25 end as filename from questions)
       select query_id, id as document_id from picked left join options using (filename)""",
+    "picked_mostly_all": _with(CATALOGUE, OPTIONS, QUESTIONS) + f"""
+      , picked as (
+        select query_id, case when length(query) % 9 = 0 then 'src' || length(query) % 25
+                         else '{catalog.ALL_DOCUMENTS}' end as filename from questions)
+      select query_id, id as document_id from picked left join options using (filename)""",
     "chunk_with_document": _with(DOCUMENT_CHUNKS, CATALOGUE) + """
       select document_id, filename, chunk_index, page_number, length(content)::int as length
       from chunks join catalogue on id = document_id""",

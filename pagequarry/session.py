@@ -6,11 +6,13 @@ import os
 import shutil
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from pagequarry.config import MAX_BROADCAST_ROWS
+from pagequarry.config import MAX_BROADCAST_ROWS, MAX_SHIPPED_BYTES
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
@@ -74,6 +76,36 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+# What a row takes in a broadcast table besides its values.
+_ROW_BYTES = 64
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row holds."""
+
+    def size(name: str, kind: T.DataType) -> Column:
+        column = F.col(f"`{name}`")
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return F.octet_length(column)
+        if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.NumericType, T.TimestampType)):
+            return F.array_size(column) * 8
+        if isinstance(kind, (T.ArrayType, T.MapType, T.StructType)):
+            return F.octet_length(F.to_json(F.struct(column)))
+        return F.lit(8)
+
+    sizes = [F.coalesce(size(f.name, f.dataType), F.lit(0)).cast("bigint") for f in df.schema.fields]
+    return reduce(lambda a, b: a + b, sizes, F.lit(_ROW_BYTES).cast("bigint"))
+
+
+def fits(df: DataFrame, most: int = MAX_BROADCAST_ROWS, most_bytes: int = MAX_SHIPPED_BYTES) -> bool:
+    """Whether a table has at most so many rows and bytes; reads one row more than that at most."""
+    if not most_bytes:
+        return False
+    head = df.limit(min(most, most_bytes // _ROW_BYTES) + 1)
+    rows, size = head.agg(F.count("*"), F.coalesce(F.sum(row_bytes(head)), F.lit(0))).first()
+    return rows <= most and size <= most_bytes
+
+
 def broadcast_if_small(df: DataFrame, most: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Mark a table of narrow rows for broadcast when counting shows that it is small."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    """Mark a table for broadcast when its rows and bytes, counted first, are few."""
+    return F.broadcast(df) if fits(df, most) else df
