@@ -1,5 +1,6 @@
 """SQL for the registered queries of this package that SQL can express."""
 
+from pagequarry.llm.turns import TREE_SQL
 from pagequarry.llm.urls import JUDGE_SQL
 from pagequarry.llm.warc import AUDIT_SQL
 
@@ -21,4 +22,5 @@ ORACLES: dict[str, str] = {
     "op5_fixity": AUDIT_SQL,
     "op6_topk": TOP_K_SQL,
     "op11_urls": JUDGE_SQL,
+    "op12_turns": TREE_SQL,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm import decontaminate, jaccard, language, nearest, packing, pii, secrets, sharding, substrings, urls, warc
+from pagequarry.llm import decontaminate, jaccard, language, nearest, packing, pii, secrets, sharding, substrings, turns, urls, warc
 from pagequarry.sources.tables import scan
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,10 @@ def op11_urls(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge_pages(scan(spark, folder, "pages"))
 
 
+def op12_turns(spark: SparkSession, folder: str) -> DataFrame:
+    return turns.tree_of_rebuilt(scan(spark, folder, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_pack": op2_pack,
@@ -69,4 +73,5 @@ QUERIES: dict[str, Query] = {
     "op9_jaccard": op9_jaccard,
     "op10_shards": op10_shards,
     "op11_urls": op11_urls,
+    "op12_turns": op12_turns,
 }

@@ -1,0 +1,104 @@
+import hashlib
+import random
+import zlib
+
+import pytest
+from compare import compare, sql_engine
+
+from pagequarry.llm import turns
+from pagequarry.llm.oracles import ORACLES
+from pagequarry.llm.queries import QUERIES
+
+COLUMNS = "conv_id bigint, turn bigint, role string, text string, position string, hash int"
+
+
+def brute(rows):
+    """The nodes from dictionaries of whole prefixes."""
+    own = {}
+    for conv, turn, role, text, *_ in rows:
+        if conv is not None:
+            role, text = role or "", text or ""
+            name = hashlib.md5(f"{len(role.encode())}:{role}{text}".encode()).digest()
+            own.setdefault(conv, []).append((turn is not None, turn or 0, role, name, text))
+    plain = {c: [(t[2], t[4]) for t in sorted(ts)] for c, ts in own.items()}
+    built = {}
+    for c, mine in plain.items():
+        h = zlib.crc32(str(c).encode()) % 9
+        first = c - (abs(c) % 5) * (1 if c >= 0 else -1)
+        built[c] = plain.get(first, [])[:h] + mine[h:]
+    members, ends = {}, {}
+    for c, mine in built.items():
+        for d in range(len(mine) + 1):
+            members.setdefault(tuple(mine[:d]), []).append(c)
+        ends.setdefault(tuple(mine), []).append(c)
+    children, leaves, saved = {}, {}, {}
+    for node in members:
+        if node:
+            children[node[:-1]] = children.get(node[:-1], 0) + 1
+    for node, held in members.items():
+        for d in range(len(node) + 1):
+            top = node[:d]
+            leaves[top] = leaves.get(top, 0) + (node not in children)
+            saved[top] = saved.get(top, 0) + (len(held) - 1) * (len(node[-1][1].encode()) if node else 0)
+    digest = lambda ids: hashlib.sha256(",".join(map(str, sorted(ids))).encode()).hexdigest()
+    return sorted(((min(held), len(n), min(members[n[:-1]]) if n else None, len(held), children.get(n, 0), leaves[n], saved[n], digest(ends.get(n, []))) for n, held in members.items()), key=str)
+
+
+NAMES = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+
+
+def answers(frame):
+    assert frame.columns == NAMES
+    return sorted((tuple(r) for r in frame.collect()), key=str)
+
+
+def conversations(seed, ids, longest, kinds):
+    rng = random.Random(seed)
+    rows = []
+    for c in ids:
+        style = rng.random()
+        n = rng.randint(1, longest)
+        if style < 0.3:  # a group of copies
+            said = [("user", f"hello {k}") for k in range(4)]
+        else:
+            said = [(rng.choice(["user", "assistant", None]), rng.choice([None, "", "é" * rng.randint(1, 3), *[f"t{k}" for k in range(kinds)]])) for _ in range(n)]
+        rows += [(c, None if k == 0 and style > 0.9 else k, *s, "x", 1) for k, s in enumerate(said)]
+    rng.shuffle(rows)
+    return rows
+
+
+def test_registered_query(spark, folder):
+    got = compare(spark, sql_engine(folder), "op12", QUERIES["op12_turns"], ORACLES["op12_turns"], folder)
+    assert got["ok"], got["why"]
+
+
+@pytest.mark.parametrize("seed,block,positions,ids", [
+    (0, 500, 32, range(300)),
+    (1, 10, 3, range(-40, 150)),
+    (2, 25, 1, [n * n for n in range(60)] + [-7, 10**18 + 3, 10**18]),
+])
+def test_blocks_and_windows(spark, monkeypatch, seed, block, positions, ids):
+    monkeypatch.setattr(turns, "BLOCK", block)
+    monkeypatch.setattr(turns, "POSITIONS", positions)
+    rows = conversations(seed, ids, 14, 3)
+    assert answers(turns.tree_of_rebuilt(spark.createDataFrame(rows, COLUMNS).repartition(5))) == brute(rows)
+
+
+def test_nulls_repeats_and_no_rows(spark):
+    rows = [(None, 1, "user", "lost", None, None), (None, None, None, None, None, None), (5, None, None, None, None, 1), (5, None, "a", "x", None, 2), (5, 1, "a", "x", None, 2), (5, 1, "a", "x", None, 2), (6, 1, "a", "y", None, 2), (6, 1, "a", "x", None, 2), (7, 2, "user", "long " * 400_000, None, 1), (8, 1, "user", "long " * 400_000, None, 1)]
+    frame = spark.createDataFrame(rows, COLUMNS)
+    assert answers(turns.tree_of_rebuilt(frame)) == brute(rows)
+    assert answers(turns.tree_of_rebuilt(frame.limit(0))) == []
+    assert answers(turns.tree_of_rebuilt(frame.filter("conv_id is null"))) == []
+
+
+def test_one_very_long_conversation(spark):
+    """Memory follows the window of positions, not the length of a conversation."""
+    rows = [(c, k, "user", f"t{k}" if c != 2 or k < 30_000 else f"u{k}", "", 0) for c in (1, 2) for k in range(40_000)]
+    got = turns.prefix_tree(turns.ordered_turns(spark.createDataFrame(rows, COLUMNS)), spark.createDataFrame([(1,), (2,), (3,)], "conv_id bigint"))
+    kept = {(r.conv_id, r.depth): r for r in got.filter("depth in (0, 1, 30000, 30001, 40000)").collect()}
+    assert got.count() == 1 + 30_000 + 2 * 10_000
+    assert kept[1, 0].n_convs == 3 and kept[1, 0].n_leaves == 2 and kept[1, 0].n_children == 1
+    assert kept[1, 1].saved_tokens == sum(len(f"t{k}") for k in range(30_000)) == kept[1, 0].saved_tokens
+    assert kept[1, 30_000].n_children == 2 and kept[2, 30_001].parent_conv_id == 1 and kept[2, 40_000].n_leaves == 1
+    assert kept[1, 0].ends_sha256 == hashlib.sha256(b"3").hexdigest()
