@@ -1,5 +1,6 @@
 """SQL for the registered queries of this package that SQL can express."""
 
+from pagequarry.llm.spelling import VARIANTS_SQL
 from pagequarry.llm.turns import TREE_SQL
 from pagequarry.llm.urls import JUDGE_SQL
 from pagequarry.llm.warc import AUDIT_SQL
@@ -23,4 +24,5 @@ ORACLES: dict[str, str] = {
     "op6_topk": TOP_K_SQL,
     "op11_urls": JUDGE_SQL,
     "op12_turns": TREE_SQL,
+    "op13_spelling": VARIANTS_SQL,
 }

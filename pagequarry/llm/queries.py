@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm import decontaminate, jaccard, language, nearest, packing, pii, secrets, sharding, substrings, turns, urls, warc
+from pagequarry.llm import decontaminate, jaccard, language, nearest, packing, pii, secrets, sharding, spelling, substrings, turns, urls, warc
 from pagequarry.sources.tables import scan
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,10 @@ def op12_turns(spark: SparkSession, folder: str) -> DataFrame:
     return turns.tree_of_rebuilt(scan(spark, folder, "conversations"))
 
 
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.document_variants(scan(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_pack": op2_pack,
@@ -74,4 +78,5 @@ QUERIES: dict[str, Query] = {
     "op10_shards": op10_shards,
     "op11_urls": op11_urls,
     "op12_turns": op12_turns,
+    "op13_spelling": op13_spelling,
 }
