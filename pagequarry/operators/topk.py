@@ -5,9 +5,10 @@ against a matrix of queries and emit only the best k per query; one window then
 these partial lists. There are two ways to bring queries and chunks together:
 
 * shipped: a query side of checked size goes to every task, the chunks are not shuffled;
-* blocked: a larger query side is cut into query blocks and the chunks into chunk blocks, and
-  each pair of blocks is one bounded cell. Group sizes are counted first, so a group that
-  holds most of the rows is cut into more cells instead of filling one task.
+* in rounds: a larger query side is written in blocks, and each block goes to every task in a round
+  of its own. The vectors are never shuffled, whatever their groups hold. A block first meets one
+  cell of the chunks, which is kept; the k-th score found there is a floor below which no task
+  reports anything when the block meets them all. One block is alive at a time.
 
 Ranking is by (similarity descending, id ascending) on scores summed left to right in double
 precision, so the result does not depend on batches, blocks or the linear algebra library.
@@ -20,16 +21,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagequarry.config import MAX_BROADCAST_ROWS, MAX_SHIPPED_BYTES
+from pagequarry.session import materialise, scratch_path
 
-# Bytes of vectors on each side of a cell: what one task holds, and what decides how often each
-# row is copied. The query block is held as a matrix throughout, the chunk block is passed over.
+# Bytes of vectors of the cell of chunks from which floors are taken.
 CELL_CHUNK_BYTES = 192 * 1024 * 1024
-CELL_QUERY_BYTES = 32 * 1024 * 1024
 # Most group values pushed down to the chunk scan as an IN list.
 MAX_PUSHED_GROUPS = 1_000
 
@@ -104,12 +105,13 @@ def _distinct_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Leaders:
     """The best k (score, id) per query seen so far."""
 
-    def __init__(self, queries: int, k: int) -> None:
+    def __init__(self, queries: int, k: int, floor: np.ndarray | None = None) -> None:
         self.k = k
         self.query = np.empty(0, np.int64)
         self.score = np.empty(0, np.float64)
         self.id = np.empty(0, np.int64)
-        self.floor = np.full(queries, -np.inf)
+        # What a score has to reach; given floors are k-th scores of some of the rows.
+        self.floor = np.full(queries, -np.inf) if floor is None else floor.copy()
 
     def add(self, query: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
         query = np.concatenate([self.query, query])
@@ -123,7 +125,7 @@ class Leaders:
         keep = place < self.k
         self.query, self.score, self.id = query[keep], score[keep], ids[keep]
         full = place == self.k - 1
-        self.floor[query[full]] = score[full]
+        self.floor[query[full]] = np.maximum(self.floor[query[full]], score[full])
 
 
 @dataclass
@@ -134,6 +136,7 @@ class QuerySide:
     vectors: np.ndarray
     groups: list[list[int] | None] | None = None
     only: pa.Array | None = None
+    floors: np.ndarray | None = None
     table: VectorTable = field(init=False)
 
     def __post_init__(self) -> None:
@@ -165,6 +168,7 @@ class QuerySide:
                 for value in set(group):
                     self.by_group.setdefault(value, []).append(place)
         self.everywhere = np.array(self.everywhere, np.int64)
+        self.floor = self.floors[firsts] if self.floors is not None else None
 
     def parts(self, groups: np.ndarray | None) -> Iterator[tuple[np.ndarray | None, np.ndarray]]:
         """Which rows of a batch meet which queries."""
@@ -238,6 +242,7 @@ def _query_side(table: pa.Table, dimension: int, grouped: bool) -> QuerySide:
         vectors=matrix(column("embedding"), dimension),
         groups=column("groups").to_pylist() if grouped else None,
         only=column("only"),
+        floors=column("floor").to_numpy() if "floor" in table.column_names else None,
     )
 
 
@@ -291,6 +296,9 @@ def nearest(
     (array of bigint: meet only chunks whose `group` column is among them; NULL means every
     chunk) and `only` (bigint: meet only chunks whose `only` column is equal; NULL means every
     chunk). Both restrictions apply before the limit.
+
+    A query side of more than `max_shipped_bytes` goes in rounds of about `cell_queries` queries,
+    with floors from about `cell_chunks` chunks.
     """
     names = queries.columns
     optional = lambda name, kind: (
@@ -322,21 +330,21 @@ def nearest(
     room = max_shipped_bytes // (4 * dimension + 64)
     head = asked.limit(room + 1).toArrow()
     if head.num_rows <= room:
-        partial = _shipped(chunks, held, head, k, dimension, group, output, arrow_output)
+        partial, _ = _shipped(chunks, held, head, k, dimension, group, output, arrow_output)
         ranked = best_per_query(partial, k)
         small = head.num_rows * k <= MAX_BROADCAST_ROWS
     else:
         cell_chunks = cell_chunks or max(1, CELL_CHUNK_BYTES // (4 * dimension))
-        cell_queries = cell_queries or max(1, CELL_QUERY_BYTES // (4 * dimension))
-        cells = _cells(chunks.select(*held), asked, bool(group), cell_chunks, cell_queries)
-        partial = _blocked(*cells, k, dimension, output, arrow_output)
+        cell_queries = cell_queries or max(1, MAX_SHIPPED_BYTES // (4 * dimension + 64))
+        partial = _in_rounds(chunks, held, asked, k, dimension, group, output, arrow_output, cell_chunks, cell_queries)
         ranked = best_per_query(partial, k)
         small = False
     result = ranked.select("query_id", "rank", "id", "similarity")
     return F.broadcast(result) if small else result
 
 
-def _shipped(chunks, held, head, k, dimension, group, output, arrow_output) -> DataFrame:
+def _shipped(chunks, held, head, k, dimension, group, output, arrow_output) -> tuple[DataFrame, Broadcast]:
+    """The best rows of every task, and what was shipped for it."""
     groups = head.column("groups").to_pylist()
     if group and all(value is not None for value in groups):
         wanted = sorted({value for part in groups for value in part})
@@ -350,79 +358,54 @@ def _shipped(chunks, held, head, k, dimension, group, output, arrow_output) -> D
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         side = _query_side(payload.value, dimension, grouped)
-        leaders = Leaders(len(side.table.rows), k)
+        leaders = Leaders(len(side.table.rows), k, side.floor)
         for batch in batches:
             _scan_batch(side, leaders, batch, dimension)
         yield from side.written(leaders, arrow_output).to_batches(max_chunksize=10_000)
 
-    return chunks.select(*held).mapInArrow(score, output)
-
-
-def _blocks(size: Column, per_block: int) -> Column:
-    return F.greatest(F.lit(1), F.ceil(size / F.lit(per_block))).cast("int")
-
-
-def _pick(key: str, blocks: Column) -> Column:
-    return F.pmod(F.xxhash64(key), blocks).cast("int")
-
-
-def _every(blocks: Column) -> Column:
-    return F.explode(F.sequence(F.lit(0), blocks - 1))
-
+    return chunks.select(*held).mapInArrow(score, output), payload
 
-def _cells(chunks, asked, grouped, cell_chunks, cell_queries) -> tuple[DataFrame, DataFrame]:
-    """Give each chunk a row block and each query a query block inside every group they share."""
-    free = asked.filter(F.col("groups").isNull()) if grouped else asked
-    free_queries, all_chunks = free.count(), chunks.count()
-    across = F.lit(max(1, -(-all_chunks // cell_chunks)))
-    down = F.lit(max(1, -(-free_queries // cell_queries)))
-    nowhere = F.lit(None).cast("bigint").alias("cell")
-    left = chunks.select(
-        *[c for c in chunks.columns if c != "group"], nowhere,
-        _pick("id", across).alias("across"), _every(down).alias("down"),
-    ).filter(F.lit(free_queries > 0))
-    right = free.select(
-        "query_id", "embedding", "only", nowhere,
-        _pick("query_id", down).alias("down"), _every(across).alias("across"),
-    )
-    if not grouped:
-        return left, right
-    bound = asked.select("query_id", "embedding", "only", F.explode(F.array_distinct("groups")).alias("cell"))
-    held = chunks.withColumnRenamed("group", "cell")
-    sizes = (
-        held.groupBy("cell").agg(F.count("*").alias("held"))
-        .join(bound.groupBy("cell").agg(F.count("*").alias("asked")), "cell")
-        .select(
-            "cell",
-            _blocks(F.col("held"), cell_chunks).alias("n_across"),
-            _blocks(F.col("asked"), cell_queries).alias("n_down"),
-        )
-    )
-    bound_left = held.join(sizes, "cell").select(
-        *held.columns,
-        _pick("id", F.col("n_across")).alias("across"), _every(F.col("n_down")).alias("down"),
-    )
-    bound_right = bound.join(sizes, "cell").select(
-        *bound.columns,
-        _pick("query_id", F.col("n_down")).alias("down"), _every(F.col("n_across")).alias("across"),
-    )
-    return left.unionByName(bound_left), right.unionByName(bound_right)
 
+def _in_rounds(chunks, held, asked, k, dimension, group, output, arrow_output, cell_chunks, cell_queries) -> DataFrame:
+    """The best rows of every round, written one round after another.
 
-def _blocked(chunk_cells, query_cells, k, dimension, output, arrow_output) -> DataFrame:
-    def score(held: pa.Table, asked: pa.Table) -> pa.Table:
-        if not held.num_rows or not asked.num_rows:
-            return arrow_output.empty_table()
-        side = _query_side(asked, dimension, grouped=False)
-        leaders = Leaders(len(side.table.rows), k)
-        for batch in held.to_batches(max_chunksize=10_000):
-            _scan_batch(side, leaders, batch, dimension)
-        return side.written(leaders, arrow_output)
-
-    keys = [F.coalesce("cell", F.lit(0)).alias("cell_key"), F.col("cell").isNull().alias("free")]
-    place = [*keys, F.col("across"), F.col("down")]
-    return (
-        chunk_cells.groupBy(*place)
-        .cogroup(query_cells.groupBy(*place))
-        .applyInArrow(score, output)
-    )
+    Queries are written in the order of their groups, so that a block touches few groups, and cut
+    by position, so that a group or a repeated query fills as many blocks as it needs.
+    """
+    spark = chunks.sparkSession
+    kept = materialise(asked, "asked").withColumn("first", F.array_min("groups")).withColumn("row", F.monotonically_increasing_id())
+    count, rows = kept.count(), chunks.count()
+    blocks = max(1, -(-count // cell_queries))
+    folder = scratch_path(spark, "query-blocks")
+    dealt = kept.repartitionByRange(blocks, "first", "row").drop("first", "row").withColumn("block", F.spark_partition_id())
+    dealt.write.partitionBy("block").parquet(folder)
+    dealt = spark.read.schema(dealt.schema).parquet(folder)
+    cell = None
+    if rows > cell_chunks:
+        drawn = F.pmod(F.xxhash64("id", F.lit("cell")), F.lit(-(-rows // cell_chunks))) == 0
+        cell = materialise(chunks.select(*held).filter(drawn), "first-cell")
+    target = scratch_path(spark, "rounds")
+    spark.createDataFrame([], output).write.parquet(f"{target}/round=-1")
+    for block in [r["block"] for r in dealt.select("block").distinct().orderBy("block").collect()]:
+        head = dealt.filter(F.col("block") == block).drop("block").toArrow()
+        if cell is not None:
+            head = head.append_column("floor", _floors(cell, head, k, dimension, group))
+        partial, shipped = _shipped(chunks, held, head, k, dimension, group, output, arrow_output)
+        best_per_query(partial, k).drop("rank").write.parquet(f"{target}/round={block}")
+        shipped.unpersist()
+    return spark.read.schema(output).parquet(target)
+
+
+def _floors(cell: DataFrame, head: pa.Table, k: int, dimension: int, group: str | None) -> pa.Array:
+    """The k-th score of every query of a block in the first cell, where k rows have one. Queries
+    go by their place, as an id may stand for several."""
+    schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("id", T.LongType()), T.StructField("similarity", T.DoubleType())])
+    arrow = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("similarity", pa.float64())])
+    placed = head.set_column(head.column_names.index("query_id"), "query_id", pa.array(np.arange(head.num_rows)))
+    held = [F.col(name) for name in cell.columns]
+    partial, shipped = _shipped(cell, held, placed, k, dimension, "group" if group else None, schema, arrow)
+    found = best_per_query(partial, k).filter((F.col("rank") == k) & F.col("similarity").isNotNull()).select("query_id", "similarity").toArrow()
+    shipped.unpersist()
+    floor = np.full(head.num_rows, -np.inf)
+    floor[found.column("query_id").to_numpy()] = found.column("similarity").to_numpy()
+    return pa.array(floor)
