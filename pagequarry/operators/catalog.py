@@ -11,6 +11,7 @@ from pagequarry.operators.chunking import chunks_of
 from pagequarry.schemas import LENGTH_LIMITS
 from pagequarry.operators.joins import join_unique
 from pagequarry.session import broadcast_if_small
+from pagequarry.sources.clustered import ClusteredTable
 
 # The messages users see.
 ONLY_PDF = "Only PDF files are supported"
@@ -143,6 +144,12 @@ def chunks_of_document(chunks: DataFrame, document_id: int) -> DataFrame:
     return chunks.filter(F.col("document_id") == document_id).orderBy("chunk_index")
 
 
+def chunks_of_documents(chunks: ClusteredTable, wanted: DataFrame) -> DataFrame:
+    """The chunks of many documents (document_id), from the files and row groups that hold them. In
+    files as they are stored, the chunks of a document are in reading order."""
+    return chunks.fetch("document_id", wanted)
+
+
 def small_ids(ids: DataFrame, column: str = "document_id") -> DataFrame:
     """Distinct ids, marked for broadcast only when counting shows that they are few."""
     distinct = ids.select(F.col(column).cast("bigint").alias(column)).distinct()

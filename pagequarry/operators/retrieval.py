@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.config import Settings
+from pagequarry.config import MAX_SHIPPED_BYTES, Settings
 from pagequarry.operators.encoding import Encoder
+from pagequarry.operators.joins import join_unique
 from pagequarry.operators.topk import nearest
-from pagequarry.session import broadcast_if_small, materialise
+from pagequarry.session import materialise, row_bytes
+from pagequarry.sources.clustered import ClusteredTable, merged_ranges, ranges_of, within
 
-# Most winning ids that are sent to a scan as a list.
-MOST_LISTED = 1000
+# Ranked rows whose ids are read at once to plan the fetch, and the most ids that are listed beside
+# their ranges.
+MOST_READ, MOST_LISTED = 100_000, 1_000
 # Fixed value: the message users see.
 NOTHING_FOUND = "No relevant content found. Please upload documents first."
 
@@ -42,22 +47,33 @@ def rank_chunks(
     )
 
 
-def describe_hits(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
+def _rows_near(chunks: DataFrame, ranked: DataFrame, ids: np.ndarray | None) -> DataFrame:
+    """The chunks in the ranges that the winning ids fill; of few ids, just these."""
+    if ids is None:
+        return chunks.filter(within("id", ranges_of(ranked.select("id"), "id")))
+    rows = chunks.filter(within("id", merged_ranges(ids, ids)))
+    return rows.filter(F.col("id").isin(ids.tolist())) if len(ids) <= MOST_LISTED else rows
+
+
+def describe_hits(ranked: DataFrame, chunks: DataFrame | ClusteredTable, written: bool = False) -> DataFrame:
     """Fetch the text of the winners only.
 
-    The ranked rows are written once. Few winning ids go to the scan as a list, more as their
-    range, so that row groups without a winner are not read; what is left is joined.
+    The ranked rows are written once, unless the caller has `written` them. The scan for text is
+    bound to the ranges of ids that winners fill, so that row groups without a winner are not read;
+    of a clustered table only the files that hold winners are opened. What is left is joined. A
+    chunk may be among the winners of most questions.
     """
-    ranked = materialise(ranked, "ranked")
-    shown = chunks.select("id", "document_id", "content", "page_number", "chunk_index")
-    winners = ranked.select("id").distinct().limit(MOST_LISTED + 1).collect()
-    if len(winners) <= MOST_LISTED:
-        shown = shown.filter(F.col("id").isin([r["id"] for r in winners]))
+    ranked = ranked if written else materialise(ranked, "ranked")
+    head = ranked.select("id", row_bytes(ranked).alias("size")).limit(MOST_READ + 1).toArrow()
+    few = head.num_rows <= MOST_READ and (pc.sum(head.column("size")).as_py() or 0) <= MAX_SHIPPED_BYTES
+    ids = np.unique(head.column("id").drop_null().to_numpy()) if few else None
+    if isinstance(chunks, DataFrame):
+        rows = _rows_near(chunks, ranked, ids)
     else:
-        low, high = ranked.agg(F.min("id"), F.max("id")).first()
-        shown = shown.filter(F.col("id").between(low, high))
-    ranked = broadcast_if_small(ranked)
-    return ranked.join(shown, "id").select(
+        rows = chunks.near("id", ranked.select("id").distinct())
+    shown = rows.select("id", "document_id", "content", "page_number", "chunk_index")
+    joined = F.broadcast(ranked).join(shown, "id") if few else join_unique(ranked, shown, "id")
+    return joined.select(
         "query_id", "rank", "id", "document_id", "content", "page_number", "chunk_index", "similarity"
     )
 

@@ -177,6 +177,20 @@ ORACLES: dict[str, str] = {
     "retrieval_no_match": f"""
       select vec_id as query_id, 404 as error_code, '{retrieval.NOTHING_FOUND}' as error
       from embeddings q where not exists (select 1 from embeddings c where c.label = q.label * 2)""",
+    "retrieval_rounds": f"""
+      with placed as (
+        select vec_id, embedding::double[] as v, case when vec_id % 3 = 0 then 0 else label + 1 end as doc from embeddings)
+      select query_id, rank, id, round(score, 4) + 0.0 as similarity from (
+        select q.vec_id as query_id, c.vec_id as id, list_cosine_similarity(c.v, q.v) as score,
+               (row_number() over (partition by q.vec_id order by list_cosine_similarity(c.v, q.v) desc, c.vec_id))::int as rank
+        from placed q join placed c on q.vec_id % 2 = 1 or q.doc = c.doc qualify rank <= {TOP_K})""",
+    "fetch_winners": _with(DOCUMENT_CHUNKS) + f"""
+      select unnest([document_id, document_id + 1]) * {1 << CHUNK_BITS} + chunk_index as query_id, unnest([1, 2])::int as rank,
+             document_id * {1 << CHUNK_BITS} + chunk_index as id, document_id, content, page_number, chunk_index,
+             unnest([1.0, 0.5])::double as similarity from chunks""",
+    "lookup_documents": _with(DOCUMENT_CHUNKS) + """
+      select document_id, chunk_index, page_number, content from chunks
+      where document_id in (select doc_id from labels where quality = 0)""",
     "vector_zip": """
       select vec_id as id, 'vec ' || vec_id as content, len(embedding)::int as dimensions
       from embeddings""",

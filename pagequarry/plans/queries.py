@@ -21,9 +21,11 @@ from pagequarry.operators.chunking import (
     number_chunks,
 )
 from pagequarry.operators.encoding import attach_vectors, embed, lexical_encoder
+from pagequarry.operators.joins import join_unique
 from pagequarry.operators.topk import nearest
 from pagequarry.plans import inputs
 from pagequarry.session import broadcast_if_small, materialise, scratch_path
+from pagequarry.sources.clustered import ClusteredTable, write_clustered
 from pagequarry.sources.files import page_rows
 from pagequarry.sources.tables import scan, spread
 from pagequarry.streaming import flows
@@ -32,6 +34,7 @@ TEXT = Settings()
 TURNS = Settings(chunk_size=100, chunk_overlap=20)
 VECTORS = Settings(embedding_dimension=64)
 ANN_PROBES = 10
+CLUSTERED_FILES = 16
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -102,8 +105,8 @@ def lexical_hits(spark: SparkSession, folder: str) -> DataFrame:
     ranked = retrieval.rank_chunks(embed(keyed_chunks(documents), encoder), queries, TEXT)
     winners = materialise(ranked, "winners")
     winning = winners.select(document_of(F.col("id")).alias("document_id")).distinct()
-    held = keyed_chunks(documents.join(winning, "document_id", "left_semi"))
-    return retrieval.describe_hits(broadcast_if_small(winners), held)
+    held = keyed_chunks(join_unique(documents, winning, "document_id", "left_semi"))
+    return retrieval.describe_hits(winners, held, written=True)
 
 
 def lexical_topk(spark: SparkSession, folder: str) -> DataFrame:
@@ -142,6 +145,44 @@ def vector_zip(spark: SparkSession, folder: str) -> DataFrame:
     return paired.select("id", "content", F.size("embedding").alias("dimensions"))
 
 
+def retrieval_rounds(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector asks, in rounds of 250; a third of the vectors are one document, and every other
+    query is bound to its own."""
+    third = F.when(F.col("vec_id") % 3 == 0, 0).otherwise(F.col("label") + 1).cast("bigint")
+    table = scan(spark, folder, "embeddings")
+    chunks = table.select(F.col("vec_id").alias("id"), third.alias("document_id"), "embedding")
+    queries = table.select(F.col("vec_id").alias("query_id"), F.when(F.col("vec_id") % 2 == 0, third).alias("document_id"), "embedding")
+    limits = {"max_shipped_bytes": 0, "cell_queries": 250, "cell_chunks": 200}
+    return _shown(retrieval.rank_chunks(chunks, queries, VECTORS, **limits)).select("query_id", "rank", "id", "similarity")
+
+
+def clustered_chunks(spark: SparkSession, folder: str) -> ClusteredTable:
+    """All chunks of the documents, in sorted files with an index."""
+    path = scratch_path(spark, "clustered")
+    chunks = keyed_chunks(inputs.text_documents(spark, folder))
+    write_clustered(chunks, path, ["document_id", "id"], CLUSTERED_FILES)
+    return ClusteredTable(spark, path)
+
+
+def fetch_winners(spark: SparkSession, folder: str) -> DataFrame:
+    """The text of as many winners as there are chunks: chunk i wins for itself and, in rank 2, for
+    the chunk of the next document at its place."""
+    table = clustered_chunks(spark, folder)
+    ids = table.rows().select("id", "document_id", "chunk_index")
+    own = ids.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), "id", F.lit(1.0).alias("similarity"))
+    other = chunk_key(F.col("document_id") + 1, F.col("chunk_index"))
+    ranked = own.unionByName(ids.select(other.alias("query_id"), F.lit(2).alias("rank"), "id", F.lit(0.5).alias("similarity")))
+    return retrieval.describe_hits(ranked, table)
+
+
+def lookup_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The chunks of all documents that are labelled as poor, with what came before in reading
+    order; ids that do not exist give nothing."""
+    poor = scan(spark, folder, "labels").filter("quality = 0").select(F.col("doc_id").alias("document_id"))
+    wanted = poor.unionByName(poor.select((F.col("document_id") + (1 << 30)).alias("document_id")))
+    return catalog.chunks_of_documents(clustered_chunks(spark, folder), wanted).select("document_id", "chunk_index", "page_number", "content")
+
+
 # Answers
 
 
@@ -499,6 +540,9 @@ QUERIES: dict[str, Query] = {
     "retrieval_topk": retrieval_topk,
     "retrieval_doc_filter": retrieval_doc_filter,
     "retrieval_no_match": retrieval_no_match,
+    "retrieval_rounds": retrieval_rounds,
+    "fetch_winners": fetch_winners,
+    "lookup_documents": lookup_documents,
     "vector_zip": vector_zip,
     "chunk_documents": chunks_of_documents,
     "chunk_multipage": chunks_of_conversations,
