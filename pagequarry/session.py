@@ -48,6 +48,17 @@ def ship_package(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
+def small_batches(spark: SparkSession, rows: int = 1_000) -> SparkSession:
+    """Hand texts to Python in batches of so many rows, unless the session names a size of its own:
+    a default batch of long texts takes more memory beside the heap than all else."""
+    if spark.conf.get(_BATCH_SETTING) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_SETTING, str(rows))
+    return spark
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as the session names it.
 
