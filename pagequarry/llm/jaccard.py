@@ -19,12 +19,13 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry.llm.components import components
 from pagequarry.llm.filters import filter_words, known_to, place_of
-from pagequarry.llm.words import chunks, expand, find_words, mixed, shingles, text_buffer
+from pagequarry.llm.words import chunks, expand, find_words, mixed, releasing, shingles, text_buffer
 from pagequarry.session import materialise
 
 SHINGLE = 5
@@ -180,6 +181,7 @@ class CountTree:
 def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Common shingles in order of hash, and how late each comes."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
@@ -210,20 +212,19 @@ def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return names[order], places[order]
 
 
-FEATURES = "doc_id bigint, n_shingles bigint, node bigint, vector binary, keys array<bigint>"
+FEATURES = "doc_id bigint, n_shingles bigint, node bigint, vector binary"
 
 
-def _features(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """Size and signature of every set; point and prefix where a task sees a set for the first time."""
-    shared = docs.sparkSession.sparkContext.broadcast(common)
+def _features(docs: DataFrame) -> DataFrame:
+    """Size and signature of every set; its point where a task sees a set for the first time."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, places = shared.value
         seen: set[int] = set()
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
             for first, last in chunks(offsets):
-                sizes, nodes, vectors, keys = [], [], [], []
+                sizes, nodes, vectors = [], [], []
                 for own in shingle_sets(data, offsets[first : last + 1]):
                     node = signature(own)
                     fresh = len(own) > 0 and node not in seen
@@ -231,18 +232,43 @@ def _features(docs: DataFrame, common: tuple[np.ndarray, np.ndarray]) -> DataFra
                     sizes.append(len(own))
                     nodes.append(node)
                     vectors.append(packed(count_vector(own)) if fresh else None)
-                    keys.append(prefix(own, names, places).view(np.int64) if fresh else None)
-                arrays = [batch.column(0).slice(first, last - first), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(vectors, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "node", "vector", "keys"])
+                arrays = [batch.column(0).slice(first, last - first), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(vectors, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "node", "vector"])
 
     return docs.select("doc_id", "text").mapInArrow(run, FEATURES)
 
 
+def _prefix_keys(docs: DataFrame, common: Broadcast) -> DataFrame:
+    """(key, node) of the prefix of every set, once per task that sees it. Texts are cut a second
+    time for these rather than written with them: they are by far the most that the join moves."""
+
+    @releasing
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, places = common.value
+        seen: set[int] = set()
+        for batch in batches:
+            data, offsets = text_buffer(batch.column(0))
+            for first, last in chunks(offsets):
+                nodes, keys = [], []
+                for own in shingle_sets(data, offsets[first : last + 1]):
+                    node = signature(own)
+                    if len(own) and node not in seen:
+                        seen.add(node)
+                        nodes.append(node)
+                        keys.append(prefix(own, names, places).view(np.int64))
+                if keys:
+                    owner = np.repeat(np.array(nodes), [len(k) for k in keys])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(owner)], ["key", "node"])
+
+    return docs.select("text").mapInArrow(run, "key bigint, node bigint")
+
+
 def _shared_keys(keyed: DataFrame) -> DataFrame:
     """From (key, node): the rows with another node of their key in the same or the next band, each
     with the first node of its key and band, and the one before it. Nodes of a key come by band, so
     the nearest in size is next to each; nothing is held but the last row."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, node, leader, before = (np.zeros(0, np.int64) for _ in range(4))  # the last row
         near = np.zeros(0, bool)  # whether it has one before it
@@ -281,6 +307,7 @@ def _bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     joined = pairs.join(side("a"), "a").join(side("b"), "b")
     near = joined.filter(F.lit(100) * F.least("size_a", "size_b") >= F.lit(PERCENT) * F.greatest("size_a", "size_b"))
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = zip(*(batch.column(c).to_pylist() for c in ("size_a", "vector_a", "size_b", "vector_b")))
@@ -296,6 +323,7 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     word, bit = place_of("doc_id")
     rows = docs.select(word.alias("word"), bit.alias("bit"), "text")
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
@@ -371,6 +399,7 @@ def _left_pairs(rows: DataFrame, nodes: DataFrame) -> DataFrame:
             if may_link(int(size[a]), vectors[a], int(size[b]), vectors[b]):
                 yield int(node[a]), int(node[b])
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[tuple[int, int]] = set()
         held: list[tuple] = []
@@ -410,10 +439,12 @@ def classes(docs: DataFrame) -> DataFrame:
     equal 57-bit hashes within a band of sizes as equal sets. Only doc_id and text are read.
     """
     docs = docs.select("doc_id", "text")
-    features = materialise(_features(docs, _common(docs)), "shingle-features")
-    fresh = features.filter("keys is not null")
+    features = materialise(_features(docs), "shingle-features")
+    fresh = features.filter("vector is not null")
     nodes = materialise(fresh.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("size"), F.max("vector").alias("vector")), "shingle-nodes")
-    keyed = materialise(_shared_keys(fresh.select(F.explode("keys").alias("key"), "node")), "shingle-keys")
+    common = docs.sparkSession.sparkContext.broadcast(_common(docs))
+    keyed = materialise(_shared_keys(_prefix_keys(docs, common)), "shingle-keys")
+    common.unpersist()
     near = keyed.select(F.col("node").alias("a"), F.explode(F.array("leader", "before")).alias("b")).filter("a <> b")
     near = near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     tested = materialise(_bounded(near, nodes), "near-pairs")

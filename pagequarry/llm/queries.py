@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagequarry.llm import decontaminate, jaccard, language, nearest, packing, pii, secrets, sharding, spelling, substrings, turns, urls, warc
+from pagequarry.session import small_batches
 from pagequarry.sources.tables import scan
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,7 +47,7 @@ def op8_secrets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op9_jaccard(spark: SparkSession, folder: str) -> DataFrame:
-    return jaccard.classes(scan(spark, folder, "documents"))
+    return jaccard.classes(scan(small_batches(spark), folder, "documents"))
 
 
 def op10_shards(spark: SparkSession, folder: str) -> DataFrame:
