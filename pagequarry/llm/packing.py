@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from pagequarry.llm.words import chunks, text_buffer
+from pagequarry.llm.words import WHITE, chunks, releasing, text_buffer
 
 WINDOW = 2048
 END_ID = 1
@@ -27,8 +27,8 @@ END_ID = 1
 MOST_OPEN = 4096
 # Bits of a sequence number that count within a task.
 TASK_SHIFT = 40
-# Words whose ids a worker keeps, and as many older ones.
-CACHED_WORDS = 400_000
+# Words whose ids a worker keeps, besides the older ones of these that came again.
+CACHED_WORDS = 500_000
 
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
@@ -53,6 +53,7 @@ class WordEncoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._known: dict[bytes, bytes] = {}
         self._older: dict[bytes, bytes] = {}
+        self._again: set[bytes] = set()
 
     def _learn(self, words: list[bytes]) -> None:
         found = self._tokenizer.encode([w.decode() for w in words], is_pretokenized=True, add_special_tokens=False)
@@ -62,19 +63,54 @@ class WordEncoder:
         self._known.update(zip(words, [ids[a:b] for a, b in zip(ends, ends[1:])]))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        words = [text.split() for text in texts]
-        fresh = set().union(*words) - self._known.keys()
-        for word in fresh & self._older.keys():
-            self._known[word] = self._older[word]
-        new = list(fresh - self._known.keys())
+        words = [text.split() for text in _apart(texts)]
+        fresh = set().union(*words)
+        new = fresh.difference(self._known)
+        self._again.update(fresh.difference(new))
+        kept = [word for word in new if word in self._older]
+        self._known.update(zip(kept, map(self._older.__getitem__, kept)))
+        self._again.update(kept)
+        new.difference_update(kept)
+        new = list(new)
         for first in range(0, len(new), 20_000):
             self._learn(new[first : first + 20_000])
         ids = [b"".join(map(self._known.__getitem__, each)) for each in words]
         if len(self._known) > CACHED_WORDS:
-            self._known, self._older = {}, self._known
+            # Most words come once: only those that came again are kept for the next round.
+            self._older = {word: self._known[word] for word in self._again}
+            self._known, self._again = {}, set()
         return ids
 
 
+def _apart(texts: list[bytes]) -> list[bytes]:
+    """The texts with A to Z in lower case, and a space before the ASCII marks that end a word, where
+    a letter of Latin or a digit is before them. The tokenizer does both itself, so the ids stay; far
+    fewer words are distinct. Texts that may hold a special token in clear are left as they are.
+    """
+    joined = b" " + b" ".join(texts) + b" "
+    if b"<|" in joined:
+        return texts
+    data = _LOWER[np.frombuffer(joined, np.uint8)]
+    mark = _MARK[data]
+    starts = np.flatnonzero(mark[1:] & ~mark[:-1]) + 1
+    ends = np.flatnonzero(mark[:-1] & ~mark[1:]) + 1  # a run of marks ends before a space at last
+    before = data[starts - 1]
+    letter = _ALNUM[before] | _LATIN[before] & (data[starts - 2] == 0xC3)
+    cuts = starts[letter & WHITE[data[ends]]]
+    places = 1 + np.cumsum([0] + [len(text) + 1 for text in texts])
+    places += np.searchsorted(cuts, places)
+    spaced = np.insert(data, cuts, 32).tobytes()
+    return [spaced[a : b - 1] for a, b in zip(places.tolist(), places[1:].tolist())]
+
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_ALNUM = np.array([c < 128 and chr(c).isalnum() for c in range(256)])
+_MARK = np.array([32 < c < 127 and not chr(c).isalnum() for c in range(256)])
+# Second bytes of the letters from U+00C0 to U+00FF: all but the signs for times and division.
+_LATIN = np.array([0x80 <= c <= 0xBF and c not in (0x97, 0xB7) for c in range(256)])
+
+
 @cache
 def shared_encoder(path: str) -> WordEncoder:
     """The encoder of a Python worker, with the words of its earlier tasks."""
@@ -166,6 +202,7 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, en
     """
     path = tokenizer or default_tokenizer()
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [field.split()[0] for field in SCHEMA.split(", ")]
         encoder = shared_encoder(path)
