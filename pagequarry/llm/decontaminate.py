@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.words import NOT_ALNUM, UNSPACED, WHITE, Words, chunks, expand, find_words, shingles, text_buffer
+from pagequarry.llm.words import NOT_ALNUM, UNSPACED, WHITE, chunks, expand, find_words, releasing, shingles, text_buffer, Words
 from pagequarry.session import materialise
 
 K1, B = 1.2, 0.75

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.words import mixed
+from pagequarry.llm.words import mixed, releasing
 from pagequarry.session import materialise
 
 # Least share of a language's trigrams that makes a trigram a member.
@@ -93,6 +93,7 @@ class _Counts:
 def count_trigrams(labelled: DataFrame) -> DataFrame:
     """lang, gram and n: summed within each task before they are shuffled."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, _Counts] = {}
 
@@ -199,6 +200,7 @@ def predict(docs: DataFrame, model: LanguageFilter, *keep: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names)
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(len(names)).to_pylist()
@@ -231,6 +233,7 @@ def known(docs: DataFrame, least: float) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index("text")
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [text or "" for text in batch.column(place).to_pylist()]

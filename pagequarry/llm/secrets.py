@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagequarry.llm.words import chunks, text_buffer
+from pagequarry.llm.words import chunks, releasing, text_buffer
 from pagequarry.session import materialise
 
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -294,6 +294,7 @@ HIT = pa.struct([("start", pa.int64()), ("rank", pa.int32()), ("end", pa.int64()
 def propose(docs: DataFrame) -> DataFrame:
     """doc_id and hits: base spans and other candidates of every whole text."""
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hits = []
@@ -319,6 +320,7 @@ def scan(docs: DataFrame, least_gain: float = LEAST_GAIN) -> DataFrame:
     found = materialise(propose(docs), "secret-hits")
     judged = judge(docs, found)
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -356,6 +358,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", least_gain: float = LEAST_GA
                 at = h.end
         return "".join([*out, text[at:]])
 
+    @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = list(batch.columns)
