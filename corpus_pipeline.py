@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pagequarry.llm import decontaminate, jaccard, language, packing, secrets
-from pagequarry.session import materialise, ship_package
+from pagequarry.session import materialise, ship_package, small_batches
 from pagequarry.sources.tables import scan
 
 # A document whose trigrams are known to no language by this share is not in a known language.
@@ -18,31 +18,31 @@ LEAST_KNOWN = 0.3
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled ones teach; the others go."""
-    ship_package(spark)
+    small_batches(ship_package(spark))
     return language.known(docs, LEAST_KNOWN)
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of the smallest id of every class of near duplicates."""
-    ship_package(spark)
+    small_batches(ship_package(spark))
     return jaccard.keep_one(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    ship_package(spark)
+    small_batches(ship_package(spark))
     return decontaminate.clean(docs, scan(spark, sf_dir, "benchmark"))
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets replaced by a mark."""
-    ship_package(spark)
+    small_batches(ship_package(spark))
     return secrets.redact(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of one length."""
-    ship_package(spark)
+    small_batches(ship_package(spark))
     return packing.pack(docs)
 
 
