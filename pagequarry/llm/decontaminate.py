@@ -338,6 +338,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
     for index in indexes(items):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
+        @releasing
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids = batch.column(0).to_pylist()
@@ -360,6 +361,7 @@ def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
     for index in indexes(items):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
+        @releasing
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 data, offsets = text_buffer(batch.column(place))
