@@ -14,10 +14,10 @@ ANN_LISTS = 100
 ANSWER_MAX_TOKENS = 1024
 ANSWER_TEMPERATURE = 0.1
 ANSWER_MODEL = "llama-3.3-70b-versatile"
-SYSTEM_PROMPT = (
-    "You are a research assistant. Answer the question based only on the provided "
-    "context from research papers. Always cite which part of the context you used."
-)
+
+SYSTEM_PROMPT = "Use only the numbered sources below to answer, and name the sources that an answer rests on."
+# Prompt tokens of one call of a responder, counted as four characters each.
+MAX_CALL_TOKENS = 64_000
 
 # Largest query side, in bytes of vectors, that is shipped to every task. Bigger
 # batches are blocked and shuffled instead (see operators/topk.py).
@@ -39,12 +39,15 @@ class Settings:
     answer_temperature: float = ANSWER_TEMPERATURE
     answer_model: str = ANSWER_MODEL
     system_prompt: str = SYSTEM_PROMPT
+    call_tokens: int = MAX_CALL_TOKENS
 
     def __post_init__(self) -> None:
         if self.chunk_overlap < 0 or self.chunk_size <= 0:
             raise ValueError("chunk_size must be positive and chunk_overlap not negative")
         if self.chunk_overlap >= self.chunk_size:
             raise ValueError("chunk_overlap must be smaller than chunk_size")
+        if self.call_tokens <= 0:
+            raise ValueError("call_tokens must be positive")
         if self.top_k <= 0 or self.ann_lists <= 0 or self.embedding_dimension <= 0:
             raise ValueError("top_k, ann_lists and embedding_dimension must be positive")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pagequarry.config import ANN_LISTS, ANSWER_MODEL, EMBEDDING_DIMENSION, TOP_K
+from pagequarry.config import ANN_LISTS, ANSWER_MAX_TOKENS, ANSWER_MODEL, ANSWER_TEMPERATURE, EMBEDDING_DIMENSION, SYSTEM_PROMPT, TOP_K
 from pagequarry.functions.text import WHITESPACE
 from pagequarry.operators import answering, catalog, retrieval
 from pagequarry.operators.chunking import CHUNK_BITS
@@ -246,6 +246,15 @@ ORACLES: dict[str, str] = {
              (length(prompt) // 4 + 3)::int as total_tokens, '{ANSWER_MODEL}' as model,
              null::int as error_code, null::varchar as error
       from prompts""",
+    "answer_failing": _with(_vector_hits(), VECTOR_PROMPTS) + """
+      select query_id, case when query_id % 10 <> 7 then 'read ' || length(prompt) || ' characters' end as answer,
+             case when query_id % 10 = 7 then 400 end::int as error_code,
+             case when query_id % 10 = 7 then 'not this one' end as error, true as few_attempts
+      from prompts""",
+    "answer_latency": _with(_vector_hits(), VECTOR_PROMPTS) + f"""
+      select query_id, '{ANSWER_MODEL} {ANSWER_TEMPERATURE} {ANSWER_MAX_TOKENS} {len(SYSTEM_PROMPT)} ' || length(prompt) as answer,
+             3 as token_count, true as in_time
+      from prompts""",
     "log_rows": _with(_vector_hits(), VECTOR_PROMPTS) + f"""
       select query_id, query, 'read ' || length(prompt) || ' characters' as answer,
              ids as retrieved_chunk_ids, (query_id * 1000777 // 1000)::int as latency_ms,

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
+from dataclasses import replace
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -247,6 +249,46 @@ def answer_queries(spark: SparkSession, folder: str) -> DataFrame:
     return answered(spark, folder).select("query_id", *[F.col(f"reply.{name}").alias(name) for name in reply])
 
 
+def picky_responder(prompts: pd.Series, settings: Settings) -> pd.DataFrame:
+    """Fails a whole call that holds a question about a vector whose number ends in 7."""
+    if prompts.str.contains(r"vec \d*7\n\nAnswer:$").any():
+        raise ValueError("not this one")
+    return counting_responder(prompts, settings)
+
+
+def answer_failing(spark: SparkSession, folder: str) -> DataFrame:
+    """Answers where every tenth prompt fails its call, sent in calls of 32 or so: no prompt is sent
+    more often than halving needs."""
+    questions = inputs.vector_queries(spark, folder).select("query_id", "query")
+    prompts = answering.prepare_prompts(questions, vector_hits(spark, folder))
+    shape = replace(VECTORS, call_tokens=2_000)
+    replies = answering.answer(prompts, picky_responder, shape)
+    return replies.select("query_id", *[F.col(f"reply.{name}").alias(name) for name in ("answer", "error_code", "error")], (F.col("reply.attempts") <= 12).alias("few_attempts"))
+
+
+DELAY_MS = 3
+
+
+def slow_send(asked: dict) -> dict:
+    """Stands in for a chat service: waits, and says what it was asked."""
+    time.sleep(DELAY_MS / 1000)
+    system, user = asked["messages"]
+    return {
+        "answer": f"{asked['model']} {asked['temperature']} {asked['max_tokens']} {len(system['content'])} {len(user['content'])}",
+        "prompt_tokens": 1,
+        "completion_tokens": 2,
+    }
+
+
+def answer_latency(spark: SparkSession, folder: str) -> DataFrame:
+    """Each question has a latency of its own: its part of the search, set to one second, and the
+    time that the service took for its prompt alone."""
+    questions = inputs.vector_queries(spark, folder).select("query_id", "query")
+    prompts = answering.prepare_prompts(questions, vector_hits(spark, folder)).withColumn("search_us", F.lit(1_000_000))
+    entries = answering.log_rows(answering.responses(answering.answer(prompts, answering.chat_responder(slow_send), VECTORS)))
+    return entries.select("query_id", "answer", "token_count", F.col("latency_ms").between(1_000 + DELAY_MS, 1_000 + DELAY_MS + 1_000).alias("in_time"))
+
+
 def log_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Log entries, with a clock that depends on the query only."""
     start = F.timestamp_seconds(F.lit(inputs.START))
@@ -558,6 +600,8 @@ QUERIES: dict[str, Query] = {
     "query_sources": query_sources,
     "cited_sources": cited_sources,
     "answer_queries": answer_queries,
+    "answer_failing": answer_failing,
+    "answer_latency": answer_latency,
     "log_rows": log_rows,
     "documents_list": documents_list,
     "document_options": document_options,
