@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from pagequarry.config import Settings
 from pagequarry.functions.text import is_blank, strip, windows
-from pagequarry.operators.numbering import running_total
+from pagequarry.operators.joins import join_unique
+from pagequarry.operators.numbering import TASK_BITS, running_total
 
 # A chunk key is the document id followed by this many bits of chunk index.
 CHUNK_BITS = 24
@@ -91,6 +98,64 @@ def number_chunks(documents: DataFrame) -> DataFrame:
     return totals.withColumn("first_chunk_id", F.col("_earlier") + 1).drop("_earlier")
 
 
+_TASKS = "task int, chunks bigint, first bigint, last bigint, rising boolean"
+
+
+def _tasks(documents: DataFrame, settings: Settings) -> list[Row]:
+    """Per task that reads the documents: how many chunks they have, the first and last id, and
+    whether ids rise. Only ids and counts leave the JVM."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, first, last, rising = 0, None, None, True
+        for batch in batches:
+            ids, counts = (batch.column(n) for n in range(2))
+            if batch.num_rows:
+                values = np.concatenate([[] if last is None else [last], ids.to_numpy()]).astype(np.int64)
+                rising = rising and bool((np.diff(values) > 0).all())
+                first = values[0] if first is None else first
+                last = values[-1]
+                total += pc.sum(counts).as_py()
+        if first is not None:
+            columns = [[TaskContext.get().partitionId()], [total], [first], [last], [rising]]
+            types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [part.split()[0] for part in _TASKS.split(", ")])
+
+    counted = documents.select(F.col("document_id").cast("bigint"), F.coalesce(F.size(chunks_of(F.col("pages"), settings)), F.lit(0)).cast("bigint").alias("n"))
+    return sorted(counted.mapInArrow(run, _TASKS).collect(), key=lambda row: row["task"])
+
+
+def chunk_in_order(
+    documents: DataFrame, settings: Settings = Settings(), first: int = 1, keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """Chunks of documents with consecutive ids `first`, `first` + 1, ... in document order.
+
+    Documents that are stored in the order of their ids, which a counting pass checks, get them from
+    one offset per task: no text is moved. Others meet their offsets in a join. `documents` must be
+    read from a table, so that both passes have the same tasks; a row that comes up in another task
+    fails the job. An id that occurs twice counts as out of order.
+    """
+    spark = documents.sparkSession
+    tasks = _tasks(documents, settings)
+    ordered = all(t["rising"] for t in tasks) and all(a["last"] < b["first"] for a, b in zip(tasks, tasks[1:]))
+    if not ordered:
+        counted = number_chunks(count_chunks(documents, settings).select("document_id", "num_chunks"))
+        placed = join_unique(documents, counted.select("document_id", "first_chunk_id"), "document_id")
+        chunks = chunk_documents(placed, settings, ("first_chunk_id", *keep))
+        return chunks.withColumn("id", F.col("first_chunk_id") + F.col("chunk_index") + F.lit(first - 1)).drop("first_chunk_id")
+    before, rows = first, []
+    for t in tasks:
+        rows.append((t["task"], before, t["first"], t["last"]))
+        before += t["chunks"]
+    offsets = spark.createDataFrame(rows, "_task int, _before bigint, _first bigint, _last bigint")
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << TASK_BITS) - 1))
+    chunks = chunk_documents(documents, settings, keep).withColumns({"_task": F.spark_partition_id(), "_place": place})
+    moved = F.raise_error(F.lit("documents were read by other tasks than they were counted by"))
+    key = F.when(F.col("document_id").between(F.col("_first"), F.col("_last")), F.col("_before") + F.col("_place"))
+    # One row per task: the driver knows each of these anyway.
+    placed = chunks.join(F.broadcast(offsets), "_task", "left").withColumn("id", F.coalesce(key, moved.cast("bigint")))
+    return placed.drop("_task", "_place", "_before", "_first", "_last")
+
+
 def chunk_key(document_id: Column, chunk_index: Column) -> Column:
     """A unique chunk id in document and reading order that needs no counting pass.
 

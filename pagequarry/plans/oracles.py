@@ -372,6 +372,14 @@ ORACLES: dict[str, str] = {
     "stream_stats": _with(LOGS) + """
       select count(*)::bigint as total_queries, round(avg(latency_ms), 2) as avg_latency_ms
       from logs""",
+    "stream_model_stats": _with(LOGS) + """
+      select model_used, count(*)::bigint as total_queries, round(avg(latency_ms), 2) as avg_latency_ms
+      from logs group by model_used""",
+    "stream_counters": _with(DOCUMENT_CHUNKS) + """
+      , kept as (select * from chunks where document_id % 3 <> 0)
+      select 2::bigint as batches, (select count(*) from documents)::bigint as documents,
+             (select count(*) from documents)::bigint as pages, (select count(*) from kept)::bigint as chunks,
+             (select count(*) from documents where doc_id not in (select document_id from kept))::bigint as without_text""",
     "stream_rollup": _with(LOGS)
     + _ROLLUP.format(bucket="strftime(date_trunc('day', created_at), '%Y-%m-%dT%H:%M:%S') || '+00:00'")
     + """, sum(token_count)::bigint as token_sum

@@ -16,6 +16,7 @@ from pagequarry.functions.text import iso_timestamp, utc_instant
 from pagequarry.operators import ann, answering, catalog, logs, retrieval
 from pagequarry.operators.chunking import (
     chunk_documents,
+    chunk_in_order,
     chunk_key,
     chunk_page_rows,
     count_chunks,
@@ -62,12 +63,12 @@ def chunk_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def chunk_wide_ids(spark: SparkSession, folder: str) -> DataFrame:
-    """Consecutive chunk ids for document ids beyond the range of chunk keys."""
-    documents = inputs.text_documents(spark, folder)
-    wide = documents.withColumn("document_id", F.col("document_id") * (1 << 33) + (1 << 40))
-    counted = number_chunks(count_chunks(wide, TEXT).select("document_id", "num_chunks"))
-    chunks = chunk_documents(wide.join(counted.select("document_id", "first_chunk_id"), "document_id"), TEXT, ("first_chunk_id",))
-    return chunks.select((F.col("first_chunk_id") + F.col("chunk_index")).alias("id"), "document_id", "chunk_index")
+    """Consecutive chunk ids for document ids beyond the range of chunk keys; texts stay where they
+    are read."""
+    page = F.struct(F.lit(1).alias("page_number"), F.col("text").alias("text"))
+    key = F.col("doc_id") * (1 << 33) + (1 << 40)
+    wide = scan(spark, folder, "documents").select(key.alias("document_id"), F.array(page).alias("pages"))
+    return chunk_in_order(wide, TEXT).select("id", "document_id", "chunk_index")
 
 
 def page_split(spark: SparkSession, folder: str) -> DataFrame:
@@ -569,6 +570,39 @@ def stream_stats(spark: SparkSession, folder: str) -> DataFrame:
     return flows.latest_stats(spark, target)
 
 
+def _in_files(table: DataFrame, count: int) -> str:
+    """A copy of a table in several files, for streams that take one at a time."""
+    path = scratch_path(table.sparkSession, "files")
+    table.repartition(count).write.parquet(path)
+    return path
+
+
+def stream_model_stats(spark: SparkSession, folder: str) -> DataFrame:
+    """Statistics per model from a stream of three batches."""
+    table = scan(spark, folder, "events")
+    stream = flows.follow(spark, _in_files(table, 3), "*.parquet", table.schema, maxFilesPerTrigger=1)
+    target = scratch_path(spark, "stream-stats")
+    flows.live_stats(inputs.shape_logs(stream), target, scratch_path(spark, "progress"), by="model_used").awaitTermination()
+    return flows.latest_stats(spark, target, "model_used")
+
+
+def stream_counters(spark: SparkSession, folder: str) -> DataFrame:
+    """What a stream of two batches says that it has ingested; a third of the texts are blank."""
+    text = F.when(F.col("doc_id") % 3 == 0, F.lit(" \n")).otherwise(F.col("text"))
+    page = F.struct(F.lit(1).alias("page_number"), text.alias("text"))
+    table = scan(spark, folder, "documents").select(F.col("doc_id").alias("document_id"), F.array(page).alias("pages"))
+    stream = flows.follow(spark, _in_files(table, 2), "*.parquet", table.schema, maxFilesPerTrigger=1)
+    counters = flows.Counters("ingested")
+    spark.streams.addListener(counters)
+    try:
+        flows.ingest(stream, scratch_path(spark, "stream-chunks"), scratch_path(spark, "progress"), TEXT, observed="ingested").awaitTermination()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    finally:
+        spark.streams.removeListener(counters)
+    row = {"batches": len(counters.batches), **counters.total()}
+    return spark.createDataFrame([tuple(row.values())], ", ".join(f"{name} bigint" for name in row))
+
+
 def stream_rollup(spark: SparkSession, folder: str) -> DataFrame:
     entries = inputs.shape_logs(_follow(spark, folder, "events"))
     entries = entries.withColumn("created_at", utc_instant(F.col("created_at")))
@@ -632,4 +666,6 @@ QUERIES: dict[str, Query] = {
     "stream_log_append": stream_log_append,
     "stream_stats": stream_stats,
     "stream_rollup": stream_rollup,
+    "stream_model_stats": stream_model_stats,
+    "stream_counters": stream_counters,
 }

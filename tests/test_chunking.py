@@ -141,3 +141,46 @@ def test_form_feed_pages(spark):
     assert [(p["page_number"], p["text"]) for p in pages] == [(1, "a"), (3, "b")]
     rows = page_rows(table, "text").orderBy("page_number").collect()
     assert [(r["page_number"], r["text"]) for r in rows] == [(1, "a"), (3, "b")]
+
+
+PAGES = "document_id bigint, pages array<struct<page_number:int,text:string>>"
+
+
+def stored(spark, path, ids, parts):
+    """Documents in the given order, in so many files."""
+    rows = [(i, [(1, "x" * (1 + 700 * (n % 7))), (2, " ")]) for n, i in enumerate(ids)]
+    for n in range(parts):
+        size = -(-len(rows) // parts)
+        spark.createDataFrame(rows[n * size : (n + 1) * size], PAGES).coalesce(1).write.mode("append").parquet(f"{path}/part={n:02}")
+    return spark.read.schema(PAGES).parquet(path)
+
+
+@pytest.mark.parametrize("ids,ordered", [(list(range(5, 500, 3)), True), ([], True), ([1 << 50, 3, 9, 2], False), ([1, 2, 2, 3], False), ([7], True)])
+def test_consecutive_ids_in_document_order(spark, tmp_path, ids, ordered):
+    from pagequarry.operators.chunking import chunk_in_order
+
+    documents = stored(spark, str(tmp_path / "pages"), ids, 4) if ids else spark.createDataFrame([], PAGES)
+    chunks = chunk_in_order(documents, first=10)
+    plan = chunks._jdf.queryExecution().executedPlan().toString()
+    if ids == sorted(set(ids)):
+        assert all("Broadcast" in line for line in plan.split("\n") if "Exchange" in line), plan
+    got = sorted((r["id"], r["document_id"], r["chunk_index"]) for r in chunks.collect())
+    want = sorted((r["document_id"], r["chunk_index"]) for r in chunk_documents(documents).collect())
+    if len(set(ids)) == len(ids):
+        assert got == [(10 + n, *w) for n, w in enumerate(want)]
+
+
+def test_documents_that_change_their_task_fail_the_job(spark, tmp_path):
+    from pagequarry.operators import chunking
+
+    documents = stored(spark, str(tmp_path / "pages"), list(range(40)), 4)
+    found = chunking._tasks(documents, chunking.Settings())
+    assert [t["chunks"] for t in found] and sum(t["chunks"] for t in found) == chunk_documents(documents).count()
+    chunks = chunking.chunk_in_order(documents)
+    real, chunking._tasks = chunking._tasks, lambda *_: [found[0].asDict() | {"last": 5, "first": 0, "rising": True, "task": 0}]
+    try:
+        with pytest.raises(Exception, match="other tasks"):
+            chunking.chunk_in_order(documents).collect()
+    finally:
+        chunking._tasks = real
+    assert chunks.count() > 0
