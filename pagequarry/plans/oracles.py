@@ -6,6 +6,7 @@ from pagequarry.config import ANN_LISTS, ANSWER_MAX_TOKENS, ANSWER_MODEL, ANSWER
 from pagequarry.functions.text import WHITESPACE
 from pagequarry.operators import answering, catalog, retrieval
 from pagequarry.operators.chunking import CHUNK_BITS
+from pagequarry.plans.lifecycle import PAGES_A_FILE
 from pagequarry.plans.queries import ANN_PROBES, TEXT, TURNS
 
 
@@ -105,6 +106,17 @@ prompts as (
          {PROMPT} as prompt
   from (select *, 'what is near vec ' || query_id as query from hits) group by query_id)"""
 
+# Files of the life cycle: documents are pages, and files of the wrong type are not taken.
+UPLOADS = _chunks(
+    f"""select doc_id // {PAGES_A_FILE} as document_id, (row_number() over (partition by doc_id // {PAGES_A_FILE} order by doc_id))::int as page_number,
+       translate(text, chr(12), ' ') as text from documents""", TEXT
+) + f""",
+    files as (select distinct doc_id // {PAGES_A_FILE} as document_id from documents where doc_id // {PAGES_A_FILE} % 7 <> 3),
+    taken as (
+      select 'upload_' || document_id || '.pdf' as filename, document_id, count(content) as stored_chunks, max(chunk_index) as last_place,
+             max(page_number) as last_page, sum(length(content))::bigint as characters
+      from files left join chunks using (document_id) group by document_id)"""
+
 CATALOGUE = """
 catalogue as (
   select doc_id as id, 'doc_' || doc_id || '.pdf' as filename, source,
@@ -255,6 +267,17 @@ ORACLES: dict[str, str] = {
       select query_id, '{ANSWER_MODEL} {ANSWER_TEMPERATURE} {ANSWER_MAX_TOKENS} {len(SYSTEM_PROMPT)} ' || length(prompt) as answer,
              3 as token_count, true as in_time
       from prompts""",
+    "answer_nothing": _with(_vector_hits(), VECTOR_PROMPTS) + """
+      select query_id, case when query_id % 2 = 0 then '' else 'read ' || length(prompt) || ' characters' end as answer,
+             (length(prompt) // 4 + 3)::int as token_count
+      from prompts""",
+    "retrieval_unscored": f"""
+      select query_id, rank, id, round(score, 4) + 0.0 as similarity from (
+        select q.vec_id as query_id, c.vec_id as id,
+               case when c.label <> 0 then list_cosine_similarity(c.embedding::double[], q.embedding::double[]) end as score,
+               (row_number() over (partition by q.vec_id order by score desc nulls last, c.vec_id))::int as rank
+        from embeddings q join embeddings c on q.label = c.label qualify rank <= {TOP_K})""",
+    "document_lookup": _with(CATALOGUE) + "select id, filename, num_chunks, status from catalogue where id = 7",
     "log_rows": _with(_vector_hits(), VECTOR_PROMPTS) + f"""
       select query_id, query, 'read ' || length(prompt) || ' characters' as answer,
              ids as retrieved_chunk_ids, (query_id * 1000777 // 1000)::int as latency_ms,
@@ -380,6 +403,18 @@ ORACLES: dict[str, str] = {
       select 2::bigint as batches, (select count(*) from documents)::bigint as documents,
              (select count(*) from documents)::bigint as pages, (select count(*) from kept)::bigint as chunks,
              (select count(*) from documents where doc_id not in (select document_id from kept))::bigint as without_text""",
+    "life_after_ingest": _with(UPLOADS) + """
+      select filename, case when stored_chunks > 0 then 'completed' else 'failed' end as status, stored_chunks::int as num_chunks,
+             nullif(stored_chunks, 0) as stored_chunks, nullif(stored_chunks, 0) as places, last_place, last_page, characters
+      from taken""",
+    "life_after_repeat": _with(UPLOADS) + """
+      select filename, 2::bigint as documents, nullif(2 * stored_chunks, 0)::bigint as stored_chunks, true as resolves_to_first
+      from taken""",
+    "life_after_delete": _with(UPLOADS) + """
+      select count(*) filter (not gone) as total_documents, (sum(stored_chunks) filter (not gone))::bigint as total_chunks,
+             count(*) filter (gone) as fewer_documents, coalesce(sum(stored_chunks) filter (gone), 0)::bigint as fewer_chunks,
+             count(*) filter (gone) as deleted, 1 as not_found, 0 as deleted_again, count(*) filter (gone) + 1 as not_found_again
+      from (select *, document_id % 3 = 1 as gone from taken)""",
     "stream_rollup": _with(LOGS)
     + _ROLLUP.format(bucket="strftime(date_trunc('day', created_at), '%Y-%m-%dT%H:%M:%S') || '+00:00'")
     + """, sum(token_count)::bigint as token_sum

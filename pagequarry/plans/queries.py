@@ -26,7 +26,7 @@ from pagequarry.operators.chunking import (
 from pagequarry.operators.encoding import attach_vectors, embed, lexical_encoder
 from pagequarry.operators.joins import join_unique
 from pagequarry.operators.topk import nearest
-from pagequarry.plans import inputs
+from pagequarry.plans import inputs, lifecycle
 from pagequarry.session import broadcast_if_small, materialise, scratch_path
 from pagequarry.sources.clustered import ClusteredTable, write_clustered
 from pagequarry.sources.files import page_rows
@@ -270,6 +270,21 @@ def answer_failing(spark: SparkSession, folder: str) -> DataFrame:
 DELAY_MS = 3
 
 
+def silent_responder(prompts: pd.Series, settings: Settings) -> pd.DataFrame:
+    """Has nothing to say about vectors of an even number."""
+    said = counting_responder(prompts, settings)
+    said.loc[prompts.str.contains(r"vec \d*[02468]\n\nAnswer:$"), "answer"] = None
+    return said
+
+
+def answer_nothing(spark: SparkSession, folder: str) -> DataFrame:
+    """An answer without text is an empty answer, and is logged."""
+    questions = inputs.vector_queries(spark, folder).select("query_id", "query")
+    prompts = answering.prepare_prompts(questions, vector_hits(spark, folder))
+    entries = answering.log_rows(answering.responses(answering.answer(prompts, silent_responder, VECTORS)))
+    return entries.select("query_id", "answer", "token_count")
+
+
 def slow_send(asked: dict) -> dict:
     """Stands in for a chat service: waits, and says what it was asked."""
     time.sleep(DELAY_MS / 1000)
@@ -441,6 +456,22 @@ def log_dangling(spark: SparkSession, folder: str) -> DataFrame:
     return logs.dangling(inputs.event_logs(spark, folder), chunks)
 
 
+def unscored(spark: SparkSession, folder: str) -> DataFrame:
+    """Vectors of label 0 are zeros here, and every query is bound to its own label: those of label 0
+    find rows without a score, in the order of their ids."""
+    own = F.transform("embedding", lambda x: F.when(F.col("label") == 0, F.lit(0.0)).otherwise(x).cast("float"))
+    table = scan(spark, folder, "embeddings").withColumn("embedding", own)
+    chunks = table.select(F.col("vec_id").alias("id"), F.col("label").cast("bigint").alias("document_id"), "embedding")
+    queries = chunks.withColumnRenamed("id", "query_id")
+    return _shown(retrieval.rank_chunks(chunks, queries, VECTORS)).select("query_id", "rank", "id", "similarity")
+
+
+def document_lookup(spark: SparkSession, folder: str) -> DataFrame:
+    """One document of the catalogue."""
+    found = catalog.document_by_id(inputs.catalogue(spark, folder), 7)
+    return found.select("id", "filename", "num_chunks", "status")
+
+
 # Display
 
 
@@ -636,6 +667,9 @@ QUERIES: dict[str, Query] = {
     "answer_queries": answer_queries,
     "answer_failing": answer_failing,
     "answer_latency": answer_latency,
+    "answer_nothing": answer_nothing,
+    "retrieval_unscored": unscored,
+    "document_lookup": document_lookup,
     "log_rows": log_rows,
     "documents_list": documents_list,
     "document_options": document_options,
@@ -668,4 +702,7 @@ QUERIES: dict[str, Query] = {
     "stream_rollup": stream_rollup,
     "stream_model_stats": stream_model_stats,
     "stream_counters": stream_counters,
+    "life_after_ingest": lifecycle.after_ingest,
+    "life_after_repeat": lifecycle.after_repeat,
+    "life_after_delete": lifecycle.after_delete,
 }
