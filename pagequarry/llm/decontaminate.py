@@ -36,6 +36,8 @@ BLOCK_ITEMS = 16
 # Items of fewer words are too short for shares: they must be there whole.
 LEAST_ITEM_WORDS = 5
 LEAST_STRIDE = 64
+# Bytes of texts whose words and passages are held at a time.
+TEXT_BYTES = 1 << 18
 # Bytes of item text that are indexed and sent at a time.
 ROUND_BYTES = 8 << 20
 
@@ -344,7 +346,7 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
                 ids = batch.column(0).to_pylist()
                 data, offsets = text_buffer(batch.column(1))
                 rows = []
-                for first, last in chunks(offsets):
+                for first, last in chunks(offsets, TEXT_BYTES):
                     rows += [(ids[first + text], *rest) for text, *rest in shared.value.find(data, offsets[first : last + 1], threshold)]
                 columns = list(zip(*rows)) or [()] * 5
                 kinds = [pa.int64()] * 2 + [pa.float64()] * 3
@@ -366,7 +368,7 @@ def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
             for batch in batches:
                 data, offsets = text_buffer(batch.column(place))
                 kept = np.ones(batch.num_rows, bool)
-                for first, last in chunks(offsets):
+                for first, last in chunks(offsets, TEXT_BYTES):
                     kept[[first + text for text, *_ in shared.value.find(data, offsets[first : last + 1], threshold)]] = False
                 yield batch.filter(pa.array(kept))
 
