@@ -46,6 +46,8 @@ LEAST_GROUPS = 256
 HASH_BITS, BANDS = 57, 63
 # A count that did not fit.
 UNBOUNDED = 1 << 40
+# Bytes of texts whose shingles are held at a time.
+TEXT_BYTES = 1 << 20
 # Rows of one class that are searched in one task.
 BLOCK = 4096
 
@@ -194,7 +196,7 @@ def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
         for batch in batches:
             data, offsets = text_buffer(batch.column(0))
-            for first, last in chunks(offsets):
+            for first, last in chunks(offsets, TEXT_BYTES):
                 sets = shingle_sets(data, offsets[first : last + 1])
                 held += sets
                 size += sum(map(len, sets))
@@ -223,7 +225,7 @@ def _features(docs: DataFrame) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
-            for first, last in chunks(offsets):
+            for first, last in chunks(offsets, TEXT_BYTES):
                 sizes, nodes, vectors = [], [], []
                 for own in shingle_sets(data, offsets[first : last + 1]):
                     node = signature(own)
@@ -248,7 +250,7 @@ def _prefix_keys(docs: DataFrame, common: Broadcast) -> DataFrame:
         seen: set[int] = set()
         for batch in batches:
             data, offsets = text_buffer(batch.column(0))
-            for first, last in chunks(offsets):
+            for first, last in chunks(offsets, TEXT_BYTES):
                 nodes, keys = [], []
                 for own in shingle_sets(data, offsets[first : last + 1]):
                     node = signature(own)
@@ -330,7 +332,7 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
             word, bit = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             wanted = pa.array((shared.value[word] >> bit & 1).astype(bool))
             data, offsets = text_buffer(batch.column(2).filter(wanted))
-            for first, last in chunks(offsets):
+            for first, last in chunks(offsets, TEXT_BYTES):
                 found = {signature(s): s for s in shingle_sets(data, offsets[first : last + 1])}
                 fresh = [k for k in found if k not in seen]
                 seen.update(fresh)
