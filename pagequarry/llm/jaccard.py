@@ -469,7 +469,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows without an id stay; rows of one id stay or go together. Only rows that a filter of fixed
     size takes for removed ones are shuffled.
     """
-    gone = materialise(classes(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "near-copies")
-    maybe = known_to(gone, "_gone", "doc_id")
-    kept = docs.filter(maybe).join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    name = "gone" + "_" * max(map(len, docs.columns))  # like no column of docs
+    gone = materialise(classes(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct(), "near-copies")
+    maybe = known_to(gone, name, "doc_id")
+    kept = docs.filter(maybe).join(gone, F.col("doc_id") == F.col(name), "left_anti")
     return docs.filter(~maybe).unionByName(kept)

@@ -74,6 +74,13 @@ def test_tricky_and_empty(tricky, nothing):
     assert kept.columns == tricky.columns and {r.doc_id for r in kept.collect()} == want | {None}
 
 
+def test_keep_one_with_any_column_names(spark):
+    rows = [(n, "one two three four five six", 1, 2) for n in range(3)] + [(None, "x", 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _gone int, gone_______ int")
+    kept = jaccard.keep_one(docs)
+    assert kept.columns == docs.columns and sorted(map(str, (r.doc_id for r in kept.collect()))) == ["0", "None"]
+
+
 @pytest.mark.parametrize("seed,block,common", [(0, 4096, 1e-3), (1, 16, 1.0), (2, 7, 0.2)])
 def test_families(spark, monkeypatch, seed, block, common):
     monkeypatch.setattr(jaccard, "BLOCK", block)
