@@ -1,14 +1,16 @@
 """Language identification with bit-sliced Bloom filters of character trigrams.
 
-Training counts trigrams per language over all labelled rows outside the held-out fold. A trigram
-is a member of a language when it makes up at least MIN_SHARE of that language's trigrams, so a
-language has at most 1 / MIN_SHARE members and the model has a known size. One lookup returns the
-bits of all languages that hold a trigram; a text's hits per language, less those expected from
-false positives, decide.
+Training counts trigrams per language over all labelled rows outside the held-out fold. Members of
+a language are its most frequent trigrams: those that make up MIN_SHARE of it and more, and further
+ones until the members hold HELD_SHARE of all its trigrams, as a script of many characters needs.
+One lookup returns the bits of all languages that hold a trigram; a text's hits per language, less
+those expected from false positives and as a part of what new text of that language would have,
+decide.
 """
 
 from __future__ import annotations
 
+import math
 import sys
 import unicodedata
 from collections.abc import Iterator
@@ -22,8 +24,13 @@ from pyspark.sql import functions as F
 from pagequarry.llm.words import mixed, releasing
 from pagequarry.session import materialise
 
-# Least share of a language's trigrams that makes a trigram a member.
+# A share of a language's trigrams that always makes a trigram a member, the share that all members
+# hold together, and how many members the model has room for, in each language.
 MIN_SHARE = 2e-5
+HELD_SHARE = 0.98
+MOST_MEMBERS = 4_000_000
+# A language is expected to know at least this share of new text in it.
+LEAST_EXPECTED = 0.25
 HASHES = 3
 # Slots per member of the largest language.
 SLOTS_PER_MEMBER = 16
@@ -123,9 +130,12 @@ def count_trigrams(labelled: DataFrame) -> DataFrame:
 
 
 class LanguageFilter:
-    """Slots of language bits, 64 languages to a plane."""
+    """Slots of language bits, 64 languages to a plane.
 
-    def __init__(self, members: dict[str, np.ndarray]) -> None:
+    `expected` has the share of trigrams that a language's members hold in new text, 1 by default.
+    """
+
+    def __init__(self, members: dict[str, np.ndarray], expected: dict[str, float] | None = None) -> None:
         self.languages = sorted(members)
         most = max((len(ids) for ids in members.values()), default=0)
         self.size = 1 << max(10, (SLOTS_PER_MEMBER * most).bit_length())
@@ -134,6 +144,7 @@ class LanguageFilter:
         width = 8 * self.kind.itemsize
         self.planes = [np.zeros(self.size, self.kind) for _ in range(-(-count // width))]
         self.rates = np.zeros(count)
+        self.expected = np.array([max(LEAST_EXPECTED, (expected or {}).get(lang, 1.0)) for lang in self.languages])
         for k, lang in enumerate(self.languages):
             plane, bit = self.planes[k // width], self.kind.type(1 << k % width)
             for slots in self._slots(members[lang]):
@@ -148,7 +159,8 @@ class LanguageFilter:
         return [((first + np.uint64(k) * step) & np.uint64(self.size - 1)).astype(np.int64) for k in range(HASHES)]
 
     def shares(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Letters of each text, and for each language the share of its trigrams that belong."""
+        """Letters of each text, and for each language the share of its trigrams that belong, as a
+        part of the expected one."""
         ids, bounds = trigrams(texts)
         letters = np.diff(bounds)
         slots = self._slots(ids)
@@ -161,7 +173,7 @@ class LanguageFilter:
                 hits = np.concatenate([[0], np.cumsum(bits >> self.kind.type(k) & self.kind.type(1), dtype=np.int64)])
                 out[:, p * self.width + k] = hits[bounds[1:]] - hits[bounds[:-1]]
         out /= np.maximum(letters, 1)[:, None]
-        return letters, np.clip((out - self.rates) / (1 - self.rates), 0, 1)
+        return letters, np.clip((out - self.rates) / (1 - self.rates) / self.expected, 0, 1)
 
     def decide(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         if not self.languages:
@@ -172,16 +184,56 @@ class LanguageFilter:
         return names, np.where(letters > 0, shares.max(axis=1), 0.0)
 
 
-def fit(labelled: DataFrame, min_share: float = MIN_SHARE) -> LanguageFilter:
-    """Train on every row with a text and a lang."""
+def least_counts(counted: DataFrame, min_share: float, held_share: float, most: int) -> dict[str, tuple[int, int]]:
+    """For each language how often its members occur at least, and how many trigrams it has in all.
+
+    Counts are taken together by quarter powers of two: some 250 rows a language reach the driver.
+    """
+    size = F.floor(4 * F.log2("n")).alias("size")
+    steps = counted.groupBy("lang", size).agg(
+        F.min("n").alias("least"), F.sum("n").alias("n"), F.count("*").alias("grams")
+    )
+    of: dict[str, list] = {}
+    for step in steps.collect():
+        of.setdefault(step["lang"], []).append(step)
+    found = {}
+    for lang, own in of.items():
+        own.sort(key=lambda step: -step["size"])
+        total, held, grams, least = sum(step["n"] for step in own), 0, 0, own[0]["least"]
+        for step in own:
+            grams += step["grams"]
+            if held >= held_share * total or grams > most:
+                break
+            held, least = held + step["n"], step["least"]
+        always = max(1, math.ceil(min_share * total))  # 1 / min_share trigrams at most
+        found[lang] = min(least, always), total
+    return found
+
+
+def fit(labelled: DataFrame, min_share: float = MIN_SHARE, held_share: float = HELD_SHARE, most: int = MOST_MEMBERS) -> LanguageFilter:
+    """Train on every row with a text and a lang.
+
+    The expected share of a language counts each occurrence of a trigram as if it were new text:
+    known if the others alone make a member. A language of more than `most` members keeps the most
+    frequent ones, and is expected to know less.
+    """
+    spark = labelled.sparkSession
     counted = materialise(count_trigrams(labelled.filter("text is not null and lang is not null")), "trigrams")
-    totals = {r.lang: r.n for r in counted.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    members = {}
-    for lang, total in totals.items():
-        # at most 1 / min_share rows
-        rows = counted.filter((F.col("lang") == lang) & (F.col("n") >= F.lit(min_share * total))).select("gram").toArrow()
-        members[lang] = np.sort(rows.column(0).to_numpy())
-    return LanguageFilter(members)
+    least = least_counts(counted, min_share, held_share, most)
+    if not least:
+        return LanguageFilter({})
+    limits = F.broadcast(spark.createDataFrame([(lang, cut) for lang, (cut, _) in least.items()], "lang string, cut bigint"))
+    rows = counted.join(limits, "lang").filter("n >= cut").select("lang", "gram", "n").toArrow()
+    names, grams, counts = (rows.column(c).combine_chunks() for c in ("lang", "gram", "n"))
+    names = names.dictionary_encode()
+    codes, grams, counts = names.indices.to_numpy(), grams.to_numpy(), counts.to_numpy()
+    members, expected = {}, {}
+    for code, lang in enumerate(names.dictionary.to_pylist()):
+        cut, total = least[lang]
+        own = codes == code
+        members[lang] = np.sort(grams[own])
+        expected[lang] = float(counts[own][counts[own] > cut].sum() / total)
+    return LanguageFilter(members, expected)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -86,3 +86,40 @@ def test_labels_of_the_held_out_fold_do_not_matter(spark, folder, name):
     changed = docs.withColumn(name, F.when(language.held_out(F.col("doc_id")), F.lit("xx")).otherwise(F.col(name)))
     order = lambda f: sorted(map(tuple, f.collect()))
     assert order(language.identify(changed)) == order(language.identify(docs))
+
+
+def many_characters(rng, length):
+    """Text of 3,000 characters, common ones far more often."""
+    points = 0x4E00 + np.minimum(rng.zipf(1.25, length) - 1, 2999)
+    return "".join(map(chr, points))
+
+
+def test_a_language_of_many_characters_is_known_to_the_same_degree(spark):
+    rng = np.random.default_rng(5)
+    words = ["there", "and", "then", "we", "go", "again", "some", "long", "path", "report", "of", "year", "others"]
+    rows = [(n, many_characters(rng, 3000), "zh") for n in range(400)]
+    rows += [(1000 + n, " ".join(rng.choice(words, 400)), "en") for n in range(100)]
+    rows += [(2000, "", "zh"), (2001, None, "en"), (2002, "x", None)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    training = language.training_rows(frame)
+    counts = Counter(g for n, text, lang in rows if lang == "zh" and fold(n) for g in grams(text))
+    total = sum(counts.values())
+    cut, held = language.least_counts(language.count_trigrams(training.filter("text is not null and lang is not null")), language.MIN_SHARE, language.HELD_SHARE, language.MOST_MEMBERS)["zh"]
+    assert held == total and sum(n for n in counts.values() if n >= cut) >= 0.9 * total
+    assert sum(n for n in counts.values() if n >= language.MIN_SHARE * total) < 0.9 * total
+    model = language.fit(training)
+    expected = model.expected[model.languages.index("zh")]
+    assert abs(expected - max(language.LEAST_EXPECTED, sum(n for n in counts.values() if n > cut) / total)) < 1e-9
+    answers = [r for r in language.identify(frame).collect() if r.doc_id < 2000]
+    assert all(r.lang_pred == ("zh" if r.doc_id < 1000 else "en") for r in answers)
+    assert np.mean([r.score for r in answers if r.held_out and r.doc_id < 1000]) > 0.9
+    assert language.known(frame, 0.3).filter("doc_id < 2000").count() == 500
+    small = language.fit(training, most=50_000)
+    assert len(small.planes[0]) < len(model.planes[0]) and small.expected.min() < expected
+    assert {small.decide([text])[0][0] for n, text, lang in rows[:20]} == {"zh"}
+
+
+def test_limits_of_few_counts(spark):
+    frame = spark.createDataFrame([("a", 1, 7), ("a", 2, 1), ("b", 3, 1), ("c", 4, 1 << 40)], "lang string, gram bigint, n bigint")
+    assert language.least_counts(frame, 2e-5, 0.98, 100) == {"a": (1, 8), "b": (1, 1), "c": (-(-(1 << 40) // 50_000), 1 << 40)}
+    assert language.least_counts(frame.limit(0), 2e-5, 0.98, 100) == {}
