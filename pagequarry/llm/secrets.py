@@ -3,11 +3,12 @@
 The credentials that the base patterns find are labelled by their kind. For each kind a prefix tree
 of their character classes is folded into a probabilistic automaton: two states are merged while
 their outgoing and final frequencies, and those of what follows, agree within a Hoeffding bound.
-Every candidate token is then scored by how much likelier it is under an automaton than under
-independent characters. That has a low ceiling where a format uses most characters, so a candidate
-is also held against the labelled values of the kind and against ordinary text, as pairs of
-characters in the rest of the documents: it is added to the spans when its gain is high, or when it is no less
-likely than labelled values can be and much likelier than as ordinary text.
+Every token outside the base spans is then scored: how likely it is under an automaton, next to
+labelled values of the kind and to ordinary text, as pairs of characters in the rest of the
+documents. It is added to the spans when it is no less likely than labelled values can be, and so
+much likelier than as ordinary text as secrets are rarer than tokens. Long tokens of letters and
+digits stand out by themselves: for these the rarity does not count, and a high gain per character
+over independent ones is enough.
 """
 
 from __future__ import annotations
@@ -34,6 +35,9 @@ PATTERNS = {
 }
 KINDS = (*PATTERNS, "format")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+# All tokens: a dot is part of one only between other characters of it.
+TOKEN = re.compile(r"[A-Za-z0-9+/_=-]+(?:\.[A-Za-z0-9+/_=-]+)*")
+LEAST_TOKEN = 6
 HAS_DIGIT, HAS_LETTER = re.compile("[0-9]"), re.compile("[A-Za-z]")
 # The automaton of a kind is fitted on so many distinct values, those of the smallest hash, none
 # longer than LONGEST_SAMPLE.
@@ -55,6 +59,8 @@ PLACES = {c: n for n, c in enumerate(SYMBOLS)}
 OTHER = len(SYMBOLS)
 _CODES = np.full(256, OTHER, np.int64)
 _CODES[np.frombuffer(SYMBOLS.encode(), np.uint8)] = np.arange(OTHER)
+# Tokens up to this length are scored together, longer ones each for itself.
+LONG_TOKEN = 1000
 # Weight of a character's own frequency among those that follow another one.
 PRIOR_PAIRS = 5.0
 
@@ -166,6 +172,27 @@ class Automaton:
             else:
                 kept.append(tree)
 
+    def tables(self) -> tuple[np.ndarray, np.ndarray]:
+        """By state and place in SYMBOLS: the following state, and the gain of that character."""
+        states, place = [self.start], {id(self.start): 0}
+        for state in states:
+            for child, _ in state.next.values():
+                if id(child) not in place:
+                    place[id(child)] = len(states)
+                    states.append(child)
+        after, gains = np.zeros((len(states), OTHER), np.int32), np.zeros((len(states), OTHER))
+        for n, state in enumerate(states):
+            for at, char in enumerate(SYMBOLS):
+                child, gains[n, at] = self._step(state, char)
+                after[n, at] = place[id(child)]
+        return after, gains
+
+    def _step(self, state: _State, char: str) -> tuple[_State, float]:
+        symbol, size = CLASSES.get(char, (char, 1))
+        after, n = state.next.get(symbol, (None, 0))
+        spare = SMOOTHING * state.visits + 1
+        return after or self.start, math.log((n / size * ALPHABET + spare) / (state.visits + spare))
+
     def gain(self, value: str) -> float:
         """Mean gain per character, in nats, over independent characters.
 
@@ -174,11 +201,8 @@ class Automaton:
         """
         state, total = self.start, 0.0
         for char in value:
-            symbol, size = CLASSES.get(char, (char, 1))
-            after, n = state.next.get(symbol, (None, 0))
-            spare = SMOOTHING * state.visits + 1
-            total += math.log((n / size * ALPHABET + spare) / (state.visits + spare))
-            state = after or self.start
+            state, more = self._step(state, char)
+            total += more
         return total / max(1, len(value))
 
 
@@ -190,6 +214,7 @@ class Ordinary:
 
     def __init__(self, pairs: np.ndarray) -> None:
         inside = pairs[:, :OTHER].astype(np.float64)
+        self.words = float(inside[OTHER].sum())
         alone = inside.sum(axis=0) + 1
         alone /= alone.sum()
         own = (inside + PRIOR_PAIRS * alone) / (inside.sum(axis=1, keepdims=True) + PRIOR_PAIRS)
@@ -249,27 +274,136 @@ def ordinary(docs: DataFrame, found: DataFrame) -> Ordinary:
 
 
 class Judge(NamedTuple):
-    """Automata by kind, the gain that its format has at least, and ordinary text."""
+    """Automata by kind, the gain that its format has at least, ordinary text, and the logarithm of
+    how much likelier than that a token has to be."""
 
     models: dict[str, Automaton]
     floors: dict[str, float]
     plain: Ordinary
+    odds: float
+    tables: dict[str, tuple[np.ndarray, np.ndarray]]
+
+    def _fits(self, gains: dict[str, float], value: str, odds: float) -> bool:
+        fits = [g for kind, g in gains.items() if g >= self.floors[kind]]
+        return bool(fits) and len(value) * (max(fits) - math.log(ALPHABET)) >= self.plain.likelihood(value) + odds
 
     def secret(self, value: str, least_gain: float) -> bool:
+        """Of a long token of letters and digits."""
         gains = {kind: m.gain(value) for kind, m in self.models.items()}
-        if max(gains.values(), default=0.0) >= least_gain:
-            return True
-        fits = [g for kind, g in gains.items() if g >= self.floors[kind]]
-        return bool(fits) and len(value) * (max(fits) - math.log(ALPHABET)) >= self.plain.likelihood(value) + LEAST_ODDS
+        return max(gains.values(), default=0.0) >= least_gain or self._fits(gains, value, LEAST_ODDS)
+
+    def likely(self, value: str) -> bool:
+        """Of any token."""
+        return self._fits({kind: m.gain(value) for kind, m in self.models.items()}, value, self.odds)
+
+    def near(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The tokens that `likely` may hold for; the sums differ by rounding only.
+
+        A token in capitals may be more ordinary than this takes it for, never less.
+        """
+        if not len(starts) or not self.models:
+            return np.zeros(0, np.int64)
+        sizes = ends - starts
+        short, longer = np.flatnonzero(sizes <= LONG_TOKEN), np.flatnonzero(sizes > LONG_TOKEN)
+        short = short[np.argsort(-sizes[short], kind="stable")]
+        starts, sizes = starts[short], sizes[short]
+        logs = np.array(self.plain.logs)
+        usual = np.zeros(len(short))
+        gains = {kind: np.zeros(len(short)) for kind in self.models}
+        states = {kind: np.zeros(len(short), np.int32) for kind in self.models}
+        before = np.full(len(short), OTHER)
+        for step in range(int(sizes.max(initial=0))):
+            count = int(np.searchsorted(-sizes, -step, "left"))  # tokens longer than step
+            at = codes[starts[:count] + step]
+            usual[:count] += logs[before[:count], at]
+            before[:count] = at
+            for kind, (after, gain) in self.tables.items():
+                state = states[kind][:count]
+                gains[kind][:count] += gain[state, at]
+                states[kind][:count] = after[state, at]
+        slack = 1e-6 * sizes
+        good = np.zeros(len(short), bool)
+        for kind, own in gains.items():
+            good |= (own + slack >= self.floors[kind] * sizes) & (own - sizes * math.log(ALPHABET) + slack >= usual + self.odds)
+        return np.sort(np.concatenate([short[good], longer]))
 
 
 def judge(docs: DataFrame, found: DataFrame) -> Judge:
+    """Fitted on all texts and what was found in them.
+
+    Any token has to be likelier than ordinary text by LEAST_ODDS more than what tokens outnumber
+    labelled values by: if ordinary text were as the pairs say, there would be one false span for
+    a thousand labelled ones.
+    """
     models, floors = {}, {}
     for kind, values in labelled(found).items():
         models[kind] = Automaton(values)
         gains = np.array([models[kind].gain(v) for v in values])
         floors[kind] = float(min(gains.min(), gains.mean() - DEVIATIONS * gains.std()))
-    return Judge(models, floors, ordinary(docs, found))
+    plain = ordinary(docs, found)
+    known = found.agg(F.sum(F.size(F.filter("hits", lambda h: h["rank"] < 3))).alias("n")).first()["n"] or 0
+    odds = LEAST_ODDS + math.log(max(1.0, plain.words / max(1, known)))
+    return Judge(models, floors, plain, odds, {kind: m.tables() for kind, m in models.items()})
+
+
+_DOT = ord(".")
+
+
+def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of the bytes, and starts and ends of all tokens of LEAST_TOKEN and more, within the
+    texts data[offsets[i]:offsets[i + 1]]; places count from offsets[0]."""
+    data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+    codes = _CODES[data]
+    inside = np.zeros(len(data) + 2, bool)
+    inside[1:-1] = (codes != OTHER) & (data != _DOT)
+    breaks = np.zeros(len(data) + 1, bool)
+    breaks[offsets] = True
+    dots = np.flatnonzero(data == _DOT)
+    dots = dots[~breaks[dots] & ~breaks[dots + 1] & inside[dots] & inside[dots + 2]]
+    inside[dots + 1] = True
+    here = inside[1:-1]
+    starts = np.flatnonzero(here & (~inside[:-2] | breaks[:-1]))
+    ends = np.flatnonzero(here & (~inside[2:] | breaks[1:])) + 1
+    enough = ends - starts >= LEAST_TOKEN
+    return codes, starts[enough], ends[enough]
+
+
+def proposals(column: pa.Array, judged: Judge) -> Iterator[list[tuple[int, int]]]:
+    """For every text the tokens, as code points, that may be secrets."""
+    data, offsets = text_buffer(column)
+    for first, last in chunks(offsets):
+        bounds = offsets[first : last + 1]
+        codes, starts, ends = tokens(data, bounds)
+        near = judged.near(codes, starts, ends)
+        found: list[list[tuple[int, int]]] = [[] for _ in range(first, last)]
+        if len(near):
+            own = data[bounds[0] : bounds[-1]]
+            points = np.concatenate([[0], np.cumsum((own & 0xC0) != 0x80)])
+            begin = bounds - bounds[0]
+            text = np.searchsorted(begin, starts[near], "right") - 1
+            base = points[begin[text]]
+            for t, a, b in zip(text.tolist(), (points[starts[near]] - base).tolist(), (points[ends[near]] - base).tolist()):
+                found[t].append((a, b))
+        yield from found
+
+
+def _free(spans: list[tuple[int, int]], hits: list[Hit]) -> Iterator[tuple[int, int]]:
+    """The spans that touch no hit; both in order of start."""
+    k, reach = 0, 0
+    for a, b in spans:
+        while k < len(hits) and hits[k].start < b:
+            reach = max(reach, hits[k].end)
+            k += 1
+        if reach <= a:
+            yield a, b
+
+
+def formats(text: str, base: list[Hit], spans: list[tuple[int, int]], judged: Judge, least_gain: float) -> list[Hit]:
+    """What the automata add to the base spans of a text; `spans` are its proposals. Of a token and
+    a part of it the token stays."""
+    whole = [Hit(a, 3, b, text[a:b]) for a, b in _free(spans, base) if judged.likely(text[a:b])]
+    parts = [h for h in candidates(text, base) if judged.secret(h.value, least_gain)]
+    return sorted([*whole, *(Hit(a, 3, b, text[a:b]) for a, b in _free([(h.start, h.end) for h in parts], whole))])
 
 
 def labelled(found: DataFrame, samples: int = SAMPLES_PER_KIND, longest: int = LONGEST_SAMPLE) -> dict[str, list[str]]:
@@ -317,39 +451,39 @@ def scan(docs: DataFrame, least_gain: float = LEAST_GAIN) -> DataFrame:
     Positions are code points, the end exclusive. A null or empty text has no spans; a null doc_id
     stays null; repeated rows are answered each time; no rows give no rows.
     """
-    found = materialise(propose(docs), "secret-hits")
-    judged = judge(docs, found)
+    judged = judge(docs, materialise(propose(docs).filter("size(hits) > 0"), "secret-hits"))
 
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, hits in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                hits = [Hit(**h) for h in hits]
-                base = [h for h in hits if h.rank < 3]
-                gains = [best_gain(judged.models, h.value) for h in hits]
-                kept = [h for h in hits if h.rank < 3 or judged.secret(h.value, least_gain)]
+            for doc_id, text, spans in zip(batch.column(0).to_pylist(), batch.column(1), proposals(batch.column(1), judged)):
+                text = text.as_py() or ""
+                base = base_hits(text)
+                added = formats(text, base, spans, judged, least_gain)
+                gains = [best_gain(judged.models, h.value) for h in (*base, *candidates(text, base), *added)]
                 counts = [sum(h.rank == k for h in base) for k in range(3)]
-                rows.append((doc_id, *counts, hashlib.sha256(_spelled(base).encode()).hexdigest(), _spelled(kept), max(gains, default=None)))
+                rows.append((doc_id, *counts, hashlib.sha256(_spelled(base).encode()).hexdigest(), _spelled([*base, *added]), max(gains, default=None)))
             columns = list(zip(*rows)) or [()] * 7
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "top_gain"])
 
     schema = "doc_id bigint, n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, top_gain double"
-    return found.mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", least_gain: float = LEAST_GAIN) -> DataFrame:
     """The rows of docs with every secret replaced by `mark`; n_chars, if there, follows the text.
 
-    The automata come from the docs themselves. A null text stays null.
+    The automata come from the docs themselves. A null text stays null, an empty one empty; repeated
+    rows are changed alike; other columns are passed on, and no rows give no rows.
     """
     judged = judge(docs, materialise(propose(docs).filter("size(hits) > 0"), "secret-hits"))
     names, schema = docs.columns, docs.schema
 
-    def cleaned(text: str) -> str:
+    def cleaned(text: str, spans: list[tuple[int, int]]) -> str:
         base = base_hits(text)
-        hits = sorted([*base, *(h for h in candidates(text, base) if judged.secret(h.value, least_gain))])
+        hits = sorted([*base, *formats(text, base, spans, judged, least_gain)])
         out, at = [], 0
         for h in hits:
             start = h.end - len(h.value) if h.rank == 0 else h.start
@@ -364,7 +498,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", least_gain: float = LEAST_GA
             columns = list(batch.columns)
             place = names.index("text")
             old = columns[place].to_pylist()
-            new = [t if t is None else cleaned(t) for t in old]
+            new = [t if t is None else cleaned(t, spans) for t, spans in zip(old, proposals(columns[place], judged))]
             columns[place] = pa.array(new, columns[place].type)
             if "n_chars" in names:
                 size = names.index("n_chars")

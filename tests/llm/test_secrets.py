@@ -1,7 +1,10 @@
 import hashlib
+import math
 import random
 import re
 
+import pyarrow as pa
+
 from pagequarry.llm import secrets
 from pagequarry.llm.queries import QUERIES
 
@@ -100,3 +103,80 @@ def test_unlabelled_tokens_of_wide_formats_are_added_and_redacted(spark):
         assert not missed, (name, missed)
         assert all(v not in clean[1000 + n] for n, v in enumerate(new))
         assert [v for n, v in enumerate(ordinary) if spans[2000 + n]] == [], name
+
+
+def plain_formats(text, judged):
+    """Every token scored one by one, by a walk over the automata's states."""
+    base = secrets.base_hits(text)
+    touches = lambda a, b, spans: any(x < b and y > a for x, y in spans)
+    taken = [(h.start, h.end) for h in base]
+
+    def scores(value):
+        for kind, model in judged.models.items():
+            state, total = model.start, 0.0
+            for char in value:
+                symbol, size = secrets.CLASSES.get(char, (char, 1))
+                after, n = state.next.get(symbol, (None, 0))
+                spare = secrets.SMOOTHING * state.visits + 1
+                total += math.log((n / size * secrets.ALPHABET + spare) / (state.visits + spare))
+                state = after or model.start
+            yield kind, total / len(value)
+
+    def passes(value, odds, least_gain):
+        own = dict(scores(value))
+        fits = [g for kind, g in own.items() if g >= judged.floors[kind]]
+        likely = bool(fits) and len(value) * (max(fits) - math.log(secrets.ALPHABET)) >= judged.plain.likelihood(value) + odds
+        return likely or max(own.values(), default=0.0) >= least_gain
+
+    every = [m.span() for m in re.finditer(r"[A-Za-z0-9+/_=-]+(?:\.[A-Za-z0-9+/_=-]+)*", text) if len(m[0]) >= 6]
+    whole = [(a, b) for a, b in every if not touches(a, b, taken) and passes(text[a:b], judged.odds, math.inf)]
+    long = [m.span() for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
+    long = [(a, b) for a, b in long if not touches(a, b, taken) and passes(text[a:b], secrets.LEAST_ODDS, secrets.LEAST_GAIN)]
+    added = whole + [(a, b) for a, b in long if not touches(a, b, whole)]
+    return ",".join(f"{secrets.KINDS[h[1]]}:{h[0]}:{h[2]}" for h in sorted([*((h.start, h.rank, h.end) for h in base), *((a, 3, b) for a, b in added)]))
+
+
+def against_plain_scorer(frame):
+    found = {r.doc_id: r.spans for r in secrets.scan(frame).collect()}
+    judged = secrets.judge(frame, secrets.propose(frame))
+    assert found == {r.doc_id: plain_formats(r.text or "", judged) for r in frame.collect()}
+    return found, judged
+
+
+def test_all_tokens_against_a_plain_scorer(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    found, judged = against_plain_scorer(docs)
+    texts = [r.text or "" for r in docs.collect()]
+    scored = sum(len(secrets.tokens(*secrets.text_buffer(pa.array([t])))[1]) for t in texts)
+    assert scored == sum(len(m[0]) >= 6 for t in texts for m in secrets.TOKEN.finditer(t)) > 1000
+    assert not any("format" in spans for spans in found.values())
+
+
+def test_short_and_dotted_tokens_of_learned_formats(spark):
+    """Shorter than any labelled value, of digits and small letters, and with dots; words stay."""
+    rng = random.Random(12)
+    words = [w for w in "there and then we go again some long path to the file report of a year for all others went home times with deadlines faced decade".split()]
+    prose = lambda n: " ".join(rng.choice([w, w.title()]) for w in rng.choices(words, k=n))
+    key = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    rows = [(n, f"{prose(60)}. token={key(32) if n % 2 else f'{key(16)}.{key(16)}'} {prose(30)} in 2024, é at 10.30, v1.2.3.") for n in range(150)]
+    rows += [(1000 + n, f"{prose(5)} é\U0001f600 {key(18)}. {prose(4)}") for n in range(30)]
+    rows += [(2000, "x" * 5000 + "." + "y" * 6), (2001, None), (2002, ""), (2003, "." * 50), (2004, ("ab" * 700 + " ") * 3), (2005, prose(3) + f" {key(16)}.{key(16)}.. {key(2)}")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found, judged = against_plain_scorer(frame)
+    texts = dict(rows)
+    caught = [n for n in range(1000, 1030) if found[n].startswith("format:") and not re.search("[0-9a-f]{18}", secrets_gone(texts[n], found[n]))]
+    assert len(caught) >= 24, found
+    assert found[2005].startswith("format:") and all("format" not in found[n] for n in (*range(150), 2000, 2001, 2002, 2003, 2004))
+
+
+def secrets_gone(text, spans):
+    for span in reversed(spans.split(",")):
+        _, a, b = span.split(":")
+        text = text[: int(a)] + text[int(b) :]
+    return text
+
+
+def test_nothing_labelled_adds_nothing(spark):
+    rows = [(1, "a9f8e7d6c5b4a3f2 qqqqqqqqqqqqqqqqqqqqq1 zzzzzzzzzz"), (2, None)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r.spans for r in secrets.scan(frame).collect()} == {""}
