@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from pagequarry.llm.filters import known_to
 from pagequarry.llm.words import chunks, expand, find_words, mixed, shingles, text_buffer
+from pagequarry.operators.joins import LEAST_HEAVY, MOST_HEAVY, join_unique
 from pagequarry.session import materialise
 
 WINDOW = 35
@@ -101,9 +102,16 @@ def _repeated(rows: DataFrame, by: list[str]) -> DataFrame:
     Rows that weigh more than one are counted, and need no answer.
 
     Runs are counted within each task before they are shuffled, so one that is everywhere is cheap.
+    Rows of the heaviest repeated runs are known by a list of these; of the others only those go to
+    the join that a filter lets through.
     """
-    counted = rows.groupBy("run").agg(F.sum("weight").alias("_weight")).filter("_weight > 1").select("run")
-    return rows.filter("weight = 1").join(counted, "run").groupBy(*by).agg(F.collect_set("place").alias("alive"))
+    counted = rows.groupBy("run").agg(F.sum("weight").alias("_weight"), F.count("*").alias("_rows")).filter("_weight > 1")
+    counted = materialise(counted.select("run", "_rows"), "substring-repeated")
+    found = counted.filter(F.col("_rows") >= LEAST_HEAVY).orderBy(F.desc("_rows"), "run").limit(MOST_HEAVY)
+    heavy = F.col("run").isin([r.run for r in found.collect()])
+    light = rows.filter("weight = 1").filter(~heavy).filter(known_to(counted, "run", "run"))
+    alive = light.join(counted.filter(~heavy).select("run"), "run", "left_semi").unionByName(rows.filter("weight = 1").filter(heavy))
+    return alive.groupBy(*by).agg(F.collect_set("place").alias("alive"))
 
 
 def _stretches(alive: np.ndarray, start: np.ndarray, text: np.ndarray, window: int) -> Iterator[tuple[int, int, int]]:
@@ -253,7 +261,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     windows = alive.select("content", F.transform("alive", lambda p: p + F.col("first")).alias("alive"))
     windows = windows.groupBy("content").agg(F.flatten(F.collect_list("alive")).alias("windows"))
     twice = stretches.filter("weight > 1").select("content", F.lit(None).cast("array<int>").alias("windows")).distinct()
-    found = held.select(*KEY, "start", "content", (F.octet_length("words") / 8).cast("int").alias("size")).join(windows.unionByName(twice), "content")
+    lost = materialise(windows.unionByName(twice), "substring-windows")
+    found = join_unique(held.select(*KEY, "start", "content", (F.octet_length("words") / 8).cast("int").alias("size")), lost, "content")
     covered = found.groupBy(*KEY).agg(F.collect_set(F.struct("start", "size", "windows")).alias("covered"))
     cut = _cut(candidates.select(*KEY, "text").join(covered, KEY), window).dropDuplicates(KEY)
     return described.select("doc_id", *KEY, "n_words", "whole").join(cut, KEY, "left").select(

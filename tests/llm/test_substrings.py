@@ -84,3 +84,14 @@ def test_words_and_hashes(monkeypatch):
         assert by_word.setdefault(word, h) == h
     assert len(set(by_word.values())) == len(by_word)
     w._tables.cache_clear()
+
+
+def test_heavy_runs_agree(spark, tricky, monkeypatch):
+    """Runs of two rows and more answered by their list, and stretches joined by a salt or by key."""
+    from pagequarry.operators import joins
+
+    rows = [(r.doc_id, r.text) for r in tricky.select("doc_id", "text").collect()]
+    monkeypatch.setattr(substrings, "LEAST_HEAVY", 2)
+    monkeypatch.setattr(substrings, "MOST_HEAVY", 5)
+    monkeypatch.setattr(substrings, "join_unique", lambda a, b, on: joins.join_unique(a, b, on, least_heavy=2, most_bytes=0))
+    assert answers(substrings.remove_repeats(tricky)) == brute(rows, 35)
