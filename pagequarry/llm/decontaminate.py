@@ -10,8 +10,9 @@ threshold, and the items of the others are scored. Items that are found count wh
 question and their answer overlap with the passage. All passages of a batch go through each of
 these steps together.
 
-Items of few words, or with a part without words, are found as whole runs of words instead, with the
-symbols between them where a part consists of these.
+Items of few words, or with a part without words, are postings of the same kind. They count where all
+their terms are in a passage and stand there as one run; the symbols are terms as well where a part
+consists of these.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ from pagequarry.session import materialise
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5
+# The share of an item that all its terms make up, but for rounding.
+ALL_TERMS = 1 - 1e-6
 LEAST_OVERLAP = 0.5
 OVERLAP_WORDS = 3
 BLOCK_ITEMS = 16
@@ -45,8 +48,6 @@ ROUND_BYTES = 8 << 20
 _OWN = "".join(f"{chr(a)}-{chr(b)}" for a, b in UNSPACED)
 PIECE = re.compile(rf"[{_OWN}]|[^\s{_OWN}]+")
 SENTENCE_END = re.compile(r"(?<=[.?!:])\s+|(?<=[\u3002\uff1f\uff01\uff1a])\s*")
-# The first words of a run by which it is looked up.
-KEY_WORDS = 4
 
 
 def _found(data: np.ndarray, offsets: np.ndarray, symbols: bool = False) -> Words:
@@ -76,39 +77,22 @@ def _grams(hashes: np.ndarray) -> tuple[np.ndarray, int]:
     return shingles(hashes, length), length
 
 
-class Runs:
-    """Items that are found as whole runs of words."""
+def _holds(words: np.ndarray, run: np.ndarray) -> bool:
+    at = np.arange(len(words) - len(run) + 1) if len(words) >= len(run) else np.zeros(0, np.int64)
+    for k, word in enumerate(run):
+        at = at[words[at + k] == word]
+        if not len(at):
+            return False
+    return bool(len(at))
 
-    def __init__(self, items: list[tuple[int, str]], symbols: bool) -> None:
-        self.symbols = symbols
-        words = _words([text for _, text in items], symbols)
-        bounds = zip(words.firsts[:-1], words.firsts[1:])
-        held = [(i, words.hashes[a:b]) for (i, _), (a, b) in zip(items, bounds) if b > a]
-        self.ids, self.runs = [i for i, _ in held], [h for _, h in held]
-        self.sizes = np.array([len(h) for h in self.runs], np.int64)
-        self.tables = []
-        for length in range(1, KEY_WORDS + 1):
-            own = np.flatnonzero(np.minimum(self.sizes, KEY_WORDS) == length)
-            if len(own):
-                keys = np.concatenate([shingles(self.runs[k][:length], length) for k in own])
-                order = np.argsort(keys, kind="stable")
-                self.tables.append((length, keys[order], own[order]))
-
-    def find(self, words: Words) -> list[tuple[int, int]]:
-        """Texts and the items that they hold."""
-        found: set[tuple[int, int]] = set()
-        for length, keys, items in self.tables:
-            here = shingles(words.hashes, length)
-            first = np.searchsorted(keys, here)
-            at = np.flatnonzero(keys[np.minimum(first, len(keys) - 1)] == here)
-            owner, place = expand(first[at], np.searchsorted(keys, here[at], "right") - first[at])
-            at, item = at[owner], items[place]
-            text = np.searchsorted(words.firsts, at, "right") - 1
-            whole = at + self.sizes[item] <= words.firsts[text + 1]
-            for a, t, i in zip(at[whole].tolist(), text[whole].tolist(), item[whole].tolist()):
-                if (t, i) not in found and (self.sizes[i] <= length or np.array_equal(words.hashes[a : a + self.sizes[i]], self.runs[i])):
-                    found.add((t, i))
-        return sorted(found)
+
+def _counts_of(frequency: tuple[np.ndarray, np.ndarray], terms: np.ndarray) -> np.ndarray:
+    """In how many items each term is; none for terms that are not listed."""
+    names, counts = frequency
+    if not len(names):
+        return np.zeros(len(terms))
+    place = np.minimum(np.searchsorted(names, terms), len(names) - 1)
+    return np.where(names[place] == terms, counts[place], 0.0)
 
 
 class Found(NamedTuple):
@@ -120,17 +104,31 @@ class Found(NamedTuple):
 
 
 class Index:
-    """Block-max postings of some items, with statistics over all items."""
+    """Block-max postings of some items, with statistics over all items that are found by shares.
+
+    Those marked `whole` are found as runs of all their terms; `symbols` are terms if asked for.
+    """
 
-    def __init__(self, items: list[tuple[int, str]], frequency: tuple[np.ndarray, np.ndarray], count: int, mean_words: float) -> None:
+    def __init__(
+        self,
+        items: list[tuple[int, str]],
+        frequency: tuple[np.ndarray, np.ndarray],
+        count: int,
+        mean_words: float,
+        whole: np.ndarray | None = None,
+        symbols: bool = False,
+    ) -> None:
         self.ids = [i for i, _ in items]
+        self.symbols = symbols
+        self.whole = np.zeros(len(items), bool) if whole is None else np.asarray(whole, bool)
         self.parts = []
         for _, text in items:
             words = _words(list(question_and_answer(text)))
             cut = words.firsts[1]
             self.parts.append([_grams(h) for h in (words.hashes[:cut], words.hashes[cut:])])
-        words = _words([text for _, text in items])
+        words = _words([text for _, text in items], symbols)
         sizes = np.diff(words.firsts)
+        self.runs = {int(n): words.hashes[words.firsts[n] : words.firsts[n + 1]] for n in np.flatnonzero(self.whole)}
         # An item is scored in windows of twice its stride. Passages are these windows, or hold them.
         self.strides = np.maximum(LEAST_STRIDE, sizes)
         most = int(self.strides.max(initial=LEAST_STRIDE))
@@ -139,9 +137,9 @@ class Index:
         self.terms, term = np.unique(words.hashes, return_inverse=True)
         pairs, times = np.unique(term * len(items) + owner, return_counts=True)
         term, owner = pairs // max(1, len(items)), pairs % max(1, len(items))
-        held = frequency[1][np.searchsorted(frequency[0], self.terms)]
+        held = _counts_of(frequency, self.terms)
         rarity = np.log(1 + (count - held + 0.5) / (held + 0.5))
-        weights = rarity[term] * times * (K1 + 1) / (times + K1 * (1 - B + B * sizes[owner] / mean_words))
+        weights = rarity[term] * times * (K1 + 1) / (times + K1 * (1 - B + B * sizes[owner] / (mean_words or 1.0)))
         weights = weights / np.bincount(owner, weights, len(items))[owner]
         order = np.argsort(owner, kind="stable")
         self.own_term, self.own_weight = term[order], weights[order]
@@ -205,12 +203,12 @@ class Index:
         slot = owner[who] * BLOCK_ITEMS + self.slots[posting]
         cells, cell = np.unique(slot, return_inverse=True)
         scores = np.bincount(cell, self.weights[posting], len(cells))
-        good = scores >= slack
-        pair = cells[good] // BLOCK_ITEMS
-        return names[group[pair]], block[pair] * BLOCK_ITEMS + cells[good] % BLOCK_ITEMS, scores[good]
+        item = block[cells // BLOCK_ITEMS] * BLOCK_ITEMS + cells % BLOCK_ITEMS
+        good = scores >= np.where(self.whole[item], ALL_TERMS, slack)
+        return names[group[cells[good] // BLOCK_ITEMS]], item[good], scores[good]
 
     def find(self, data: np.ndarray, offsets: np.ndarray, threshold: float = THRESHOLD, least: float = LEAST_OVERLAP) -> list[Found]:
-        return self.find_in(_found(data, offsets), threshold, least)
+        return self.find_in(_found(data, offsets, self.symbols), threshold, least)
 
     def windows(self, item: int, first: int, text_first: int, text_end: int, score: float) -> Iterator[tuple[int, int, float | None]]:
         """First word, end and, if known, score of the item's windows in the passage from `first`."""
@@ -234,6 +232,12 @@ class Index:
         best: dict[tuple[int, int], Found] = {}
         for p, item, reached in zip(*self.search(passage, term, threshold)):
             text = int(of_text[p])
+            if self.whole[item]:
+                if (text, int(item)) not in best:
+                    first = int(first_word[p])
+                    if _holds(words.hashes[first : min(first + 2 * self.stride, int(words.firsts[text + 1]))], self.runs[int(item)]):
+                        best[text, int(item)] = Found(text, int(item), 1.0, 1.0, 1.0)
+                continue
             mine = slice(self.own_first[item], self.own_first[item + 1])
             for start, end, score in self.windows(int(item), int(first_word[p]), int(words.firsts[text]), int(words.firsts[text + 1]), float(reached)):
                 own = words.hashes[start:end]
@@ -250,21 +254,18 @@ class Index:
 
 
 class Round(NamedTuple):
-    """What is searched for at a time: indexes of items of similar length, and runs."""
+    """What is searched for at a time: indexes of items of similar length."""
 
     indexes: list[Index]
-    runs: list[Runs]
 
     def find(self, data: np.ndarray, offsets: np.ndarray, threshold: float) -> list[tuple[int, int, float, float, float]]:
         """Texts, item ids, scores and both overlaps."""
         found = []
-        if self.indexes or not all(r.symbols for r in self.runs):
-            words = _found(data, offsets)
-        for index in self.indexes:
-            found += [(f.text, index.ids[f.item], *f[2:]) for f in index.find_in(words, threshold)]
-        for runs in self.runs:
-            held = runs.find(_found(data, offsets, True) if runs.symbols else words)
-            found += [(text, runs.ids[item], 1.0, 1.0, 1.0) for text, item in held]
+        for symbols in (False, True):
+            own = [index for index in self.indexes if index.symbols == symbols]
+            words = _found(data, offsets, symbols) if own else None
+            for index in own:
+                found += [(f.text, index.ids[f.item], *f[2:]) for f in index.find_in(words, threshold)]
         return found
 
 
@@ -287,23 +288,31 @@ def _ways(texts: list[str]) -> list[int | None]:
     return ways
 
 
-def indexes(items: DataFrame) -> list[Round]:
-    """Indexes of the items (item_id, text), in rounds of bounded size, with common statistics.
+def indexes(items: DataFrame, least_words: int = 1) -> tuple[int, Iterator[Round]]:
+    """How many rounds of bounded size the items (item_id, text) make, and these one by one: indexes
+    with common statistics.
 
-    Items without a text, or of one letter or digit, are not searched for.
+    Items without a text, of one letter or digit, or of fewer than `least_words` words or symbols are
+    not searched for.
     """
     rows = materialise(items.filter("text is not null").select("item_id", "text"), "benchmark-items")
     held = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     rounds = max(1, -(-held // ROUND_BYTES))
 
-    def part(k: int) -> list[list[tuple[int, str]]]:
+    def part(k: int) -> tuple[list[tuple[int, str]], list[int | None]]:
         found = rows.filter(F.pmod(F.xxhash64("text"), F.lit(rounds)) == k).orderBy("item_id", "text").collect()
-        ways = _ways([r.text for r in found])
-        return [[(r.item_id, r.text) for r, w in zip(found, ways) if w == way] for way in (SHARES, WHOLE, SYMBOLS)]
+        texts = [r.text for r in found]
+        ways = _ways(texts)
+        if least_words > 1:
+            words, symbols = (np.diff(_words(texts, s).firsts) for s in (False, True))
+            ways = [w if (m if w == SYMBOLS else n) >= least_words else None for w, n, m in zip(ways, words, symbols)]
+        return [(r.item_id, r.text) for r in found], ways
 
     terms, held, count, total = np.zeros(0, np.uint64), np.zeros(0), 0, 0
-    parts = [part(0)] if rounds == 1 else (part(k) for k in range(rounds))
-    for own, *_ in parts:
+    kept = part(0) if rounds == 1 else None
+    for k in range(rounds):
+        some, ways = kept or part(k)
+        own = [item for item, way in zip(some, ways) if way == SHARES]
         words = _words([text for _, text in own])
         sizes = np.diff(words.firsts)
         owner = np.repeat(np.arange(len(own)), sizes)
@@ -315,17 +324,26 @@ def indexes(items: DataFrame) -> list[Round]:
         held = np.bincount(place, add, len(terms))
         count, total = count + len(own), total + int(sizes.sum())
     mean = total / max(1, count)
-    again = parts if rounds == 1 else (part(k) for k in range(rounds))
 
-    def round_of(own: list[tuple[int, str]], whole: list[tuple[int, str]], symbols: list[tuple[int, str]]) -> Round:
-        sizes = np.diff(_words([text for _, text in own]).firsts)
+    def group(some: list[tuple[int, str]], ways: list[int | None], symbols: bool) -> list[Index]:
+        own = [n for n, way in enumerate(ways) if way is not None and (way == SYMBOLS) == symbols]
+        sizes = np.diff(_words([some[n][1] for n in own], symbols).firsts)
         # Strides within a factor of two, so that passages stay near the windows of each item.
         level = np.ceil(np.log2(np.maximum(1, sizes / LEAST_STRIDE)))
-        groups = [[own[n] for n in np.flatnonzero(level == k)] for k in np.unique(level)]
-        runs = [Runs(some, way == SYMBOLS) for way, some in ((WHOLE, whole), (SYMBOLS, symbols)) if some]
-        return Round([Index(g, (terms, held), count, mean) for g in groups], runs)
+        built = []
+        for k in np.unique(level):
+            these = [own[n] for n in np.flatnonzero(level == k)]
+            built.append(Index([some[n] for n in these], (terms, held), count, mean, np.array([ways[n] != SHARES for n in these]), symbols))
+        return built
+
+    def one_by_one() -> Iterator[Round]:
+        for k in range(rounds):
+            some, ways = kept or part(k)
+            built = [*group(some, ways, False), *group(some, ways, True)]
+            if built:
+                yield Round(built)
 
-    return [round_of(*own) for own in again if any(own)]
+    return rounds, one_by_one()
 
 
 def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -334,10 +352,10 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
     A null or empty text holds no item; a null doc_id stays null; repeated rows are answered each
     time; no documents or no items give no rows. Other columns are not read.
     """
-    found = None
+    found, (rounds, every) = None, indexes(items)
     schema = "doc_id bigint, item_id bigint, score double, question_overlap double, answer_overlap double"
     names = [part.split()[0] for part in schema.split(", ")]
-    for index in indexes(items):
+    for index in every:
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         @releasing
@@ -353,14 +371,22 @@ def leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
         part = docs.select("doc_id", "text").mapInArrow(run, schema)
+        if rounds > 1:  # one index alive at a time
+            part = materialise(part, "leaks")
+            shared.unpersist()
         found = part if found is None else found.unionByName(part)
     return found if found is not None else docs.sparkSession.createDataFrame([], schema)
 
 
-def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, all columns, that hold no item."""
+def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, least_words: int = 1) -> DataFrame:
+    """The rows of docs, all columns, that hold no item of `least_words` words and more.
+
+    A row with a null or empty text stays; repeated rows stay or go alike; without items all rows
+    stay, and no rows give no rows. Other columns are passed on, whatever their names.
+    """
     place, schema = docs.columns.index("text"), docs.schema
-    for index in indexes(items):
+    rounds, every = indexes(items, least_words)
+    for index in every:
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         @releasing
@@ -373,4 +399,7 @@ def clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> Da
                 yield batch.filter(pa.array(kept))
 
         docs = docs.mapInArrow(run, schema)
+        if rounds > 1:
+            docs = materialise(docs, "without-leaks")
+            shared.unpersist()
     return docs

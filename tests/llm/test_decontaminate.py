@@ -155,3 +155,25 @@ def test_other_items_and_rounds_do_not_matter(spark, monkeypatch):
     assert not {f for f in both if f[1] < 10 and f[0] % 6 > 3}
     monkeypatch.setattr(decontaminate, "ROUND_BYTES", 1500)
     assert found(short + long) == both
+
+
+def test_short_items_and_the_words_that_remove(spark):
+    frame = lambda rows, c: spark.createDataFrame(list(enumerate(rows)), f"{c} bigint, text string")
+    texts = ["the cat sat", "of the cat, of the dog", "so the answer is four", "the answer is maybe four", None, "", "x " * 300 + "The Cat"]
+    docs, items = frame(texts, "doc_id"), frame(["the", "the cat", "the answer is four", "+"], "item_id")
+    rows = decontaminate.leaks(docs, items).collect()
+    assert sorted((r.doc_id, r.item_id) for r in rows) == [(0, 0), (0, 1), (1, 0), (1, 1), (2, 0), (2, 2), (3, 0), (6, 0), (6, 1)]
+    assert sorted(r.doc_id for r in decontaminate.clean(docs, items, least_words=2).collect()) == [3, 4, 5]
+    assert sorted(r.doc_id for r in decontaminate.clean(docs, items).collect()) == [4, 5]
+
+
+def test_long_runs_over_passages(spark):
+    """Items with a part of symbols, as long as several passages, in very long texts."""
+    rng = random.Random(6)
+    filler = " ".join(f"w{rng.randrange(900)}" for _ in range(300_000))
+    item = " ".join(f"k{n}" for n in range(90)) + ". ) ; }"
+    texts = [f"{filler} {item} {filler}", filler, item.replace("k44", "k45"), f"{' '.join(filler.split()[:70])} {item}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, item), (2, "a b"), (3, ") ; }")], "item_id bigint, text string")
+    rows = decontaminate.leaks(docs, items).collect()
+    assert sorted((r.doc_id, r.item_id) for r in rows) == [(0, 1), (0, 3), (2, 3), (3, 1), (3, 3)]
