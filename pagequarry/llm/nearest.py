@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ K = 5
 SCALE = 256
 SHARD_ROWS = 8192
 LEAF_ROWS = 128
+# What a scaled component is held within.
+LARGEST = np.finfo(np.float64).max
 # Bytes of query vectors that are sent at a time.
 BLOCK_BYTES = 16 << 20
 
@@ -39,7 +42,9 @@ def whole_vectors(ids: pa.Array, vectors: pa.Array, scale: int = SCALE) -> dict[
         rows = np.flatnonzero(there & (sizes == size))
         matrix = values[offsets[rows][:, None] + np.arange(size)]
         good = np.isfinite(matrix).all(axis=1)
-        found[int(size)] = numbers[rows[good]], np.floor(scale * matrix[good])
+        with np.errstate(over="ignore"):
+            scaled = np.floor(scale * matrix[good])
+        found[int(size)] = numbers[rows[good]], np.clip(scaled, -LARGEST, LARGEST)
     return found
 
 
@@ -73,8 +78,13 @@ class Tree:
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
         """The largest score that each leaf's box allows each query."""
-        reach = np.maximum(queries, 0) @ self.high.T + np.minimum(queries, 0) @ self.low.T
-        return reach * (1 + np.sign(reach) * 1e-12) if np.abs(reach).max(initial=0) >= 2.0**53 else reach
+        above, below = np.maximum(queries, 0), np.minimum(queries, 0)
+        with np.errstate(over="ignore", invalid="ignore"):
+            reach = above @ self.high.T + below @ self.low.T
+            size = above @ np.abs(self.high).T - below @ np.abs(self.low).T
+        # Beyond what doubles hold exactly, terms may cancel: the slack follows their sizes.
+        reach = reach + 1e-12 * size if not size.max(initial=0) < 2.0**53 else reach
+        return np.where(np.isnan(reach), np.inf, reach)
 
 
 class Best:
@@ -116,8 +126,8 @@ def search_shard(tree: Tree, numbers: np.ndarray, queries: np.ndarray, best: Bes
             best.offer(rows, ids, _product(queries[rows], tree.vectors[a:b]), ids != numbers[rows][:, None])
 
 
-def _search(vectors: DataFrame, queries: dict[int, tuple[np.ndarray, np.ndarray]], k: int, scale: int) -> DataFrame:
-    shared = vectors.sparkSession.sparkContext.broadcast(queries)
+def _search(vectors: DataFrame, shared: Broadcast, k: int, scale: int) -> DataFrame:
+    """The k best rows of each task for queries by dimension, which `shared` holds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked = shared.value
@@ -140,7 +150,8 @@ def _search(vectors: DataFrame, queries: dict[int, tuple[np.ndarray, np.ndarray]
 def top_k(vectors: DataFrame, asked: Column, k: int = K, scale: int = SCALE) -> DataFrame:
     """query_id, rank, vec_id and score of the k best rows for every row that `asked` selects.
 
-    Components become floor(scale * x); scores are exact integers, held within 64 bits. A vector
+    Components become floor(scale * x), held within the range of doubles; scores are exact integers,
+    held within 64 bits. A vector
     that is null or holds a null or non-finite component, and a row without an id, takes no part;
     vectors are compared with those of their own length. A query is never compared with rows of its
     own id. Repeated candidate rows are all ranked; a repeated query row is answered once, and two
@@ -154,7 +165,11 @@ def top_k(vectors: DataFrame, asked: Column, k: int = K, scale: int = SCALE) ->
     for block in range(blocks):
         table = queries.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).toArrow().combine_chunks()
         sent = whole_vectors(_flat(table.column(0)), _flat(table.column(1)), scale) if table.num_rows else {}
-        part = _search(rows, sent, k, scale).withColumn("_query", F.struct(F.lit(block), "_query"))
+        shared = vectors.sparkSession.sparkContext.broadcast(sent)
+        part = _search(rows, shared, k, scale).withColumn("_query", F.struct(F.lit(block), "_query"))
+        if blocks > 1:  # one block of queries alive at a time
+            part = materialise(part, "top-k-found")
+            shared.unpersist()
         found = part if found is None else found.unionByName(part)
     order = Window.partitionBy("query_id", "_query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

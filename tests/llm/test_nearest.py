@@ -42,6 +42,20 @@ def test_large_components_stay_exact(spark):
     assert answers(nearest.top_k(frame, F.col("vec_id") % 50 == 0)) == brute(rows)
 
 
+def test_components_beyond_doubles(spark):
+    """Scaled components and scores have ends; sums whose terms cancel are exact before."""
+    rows = [(0, [1e307, 1.0]), (1, [1e307, 0.0]), (2, [-1e307, 0.0]), (3, [0.0, 2.0]), (50, [1e9, -1e9]), (51, [1e9, 1e9]), (52, [-1e9, -1e9])]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = answers(nearest.top_k(frame, F.col("vec_id") % 50 == 0))
+    ends = lambda s: max(-(2**63), min(2**63 - 1, s))
+    held = {i: [max(-int(nearest.LARGEST), min(int(nearest.LARGEST), math.floor(x) * 256)) for x in v] for i, v in rows}
+    want = []
+    for q in (0, 50):
+        scored = sorted((-ends(sum(a * b for a, b in zip(held[q], held[j]))), j) for j in held if j != q)
+        want += [(q, n + 1, j, -s) for n, (s, j) in enumerate(scored[:5])]
+    assert got == sorted(want)
+
+
 def test_pruning_skips_leaves(monkeypatch):
     rng = np.random.default_rng(1)
     vectors = np.floor(rng.normal(size=(4000, 3)) * 256)
