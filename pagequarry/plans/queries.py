@@ -27,7 +27,7 @@ from pagequarry.operators.encoding import attach_vectors, embed, lexical_encoder
 from pagequarry.operators.joins import join_unique
 from pagequarry.operators.topk import nearest
 from pagequarry.plans import inputs, lifecycle
-from pagequarry.session import broadcast_if_small, materialise, scratch_path
+from pagequarry.session import broadcast_if_small, materialise, row_bytes, scratch_path
 from pagequarry.sources.clustered import ClusteredTable, write_clustered
 from pagequarry.sources.files import page_rows
 from pagequarry.sources.tables import scan, spread
@@ -38,6 +38,8 @@ TURNS = Settings(chunk_size=100, chunk_overlap=20)
 VECTORS = Settings(embedding_dimension=64)
 ANN_PROBES = 10
 CLUSTERED_FILES = 16
+# The least rows, and about the bytes, of a file that a stream takes.
+LEAST_FILE_ROWS, STREAM_FILE_BYTES = 100, 32 * 1024 * 1024
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -572,7 +574,9 @@ def ann_kmeans_nearest(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _follow(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    return flows.follow(spark, folder, f"{table}.parquet", scan(spark, folder, table).schema)
+    """A table as a stream, whether it is one file or a folder of files."""
+    # A stream takes a single file only where a pattern names it.
+    return flows.follow(spark, f"{folder}/[{table[0]}]{table[1:]}.parquet", "*.parquet", scan(spark, folder, table).schema)
 
 
 def stream_ingest(spark: SparkSession, folder: str) -> DataFrame:
@@ -601,17 +605,21 @@ def stream_stats(spark: SparkSession, folder: str) -> DataFrame:
     return flows.latest_stats(spark, target)
 
 
-def _in_files(table: DataFrame, count: int) -> str:
-    """A copy of a table in several files, for streams that take one at a time."""
+def _in_files(table: DataFrame, batches: int) -> tuple[str, int]:
+    """A copy of a table in files of bounded size, for streams that take an equal part of them at a
+    time, and how many files are one part."""
     path = scratch_path(table.sparkSession, "files")
-    table.repartition(count).write.parquet(path)
-    return path
+    rows, size = table.agg(F.count("*"), F.coalesce(F.sum(row_bytes(table)), F.lit(0))).first()
+    each = max(1, min(-(-size // (batches * STREAM_FILE_BYTES)), rows // (batches * LEAST_FILE_ROWS)))
+    table.repartition(batches * each).write.parquet(path)
+    return path, each
 
 
 def stream_model_stats(spark: SparkSession, folder: str) -> DataFrame:
     """Statistics per model from a stream of three batches."""
     table = scan(spark, folder, "events")
-    stream = flows.follow(spark, _in_files(table, 3), "*.parquet", table.schema, maxFilesPerTrigger=1)
+    path, files = _in_files(table, 3)
+    stream = flows.follow(spark, path, "*.parquet", table.schema, maxFilesPerTrigger=files)
     target = scratch_path(spark, "stream-stats")
     flows.live_stats(inputs.shape_logs(stream), target, scratch_path(spark, "progress"), by="model_used").awaitTermination()
     return flows.latest_stats(spark, target, "model_used")
@@ -622,7 +630,8 @@ def stream_counters(spark: SparkSession, folder: str) -> DataFrame:
     text = F.when(F.col("doc_id") % 3 == 0, F.lit(" \n")).otherwise(F.col("text"))
     page = F.struct(F.lit(1).alias("page_number"), text.alias("text"))
     table = scan(spark, folder, "documents").select(F.col("doc_id").alias("document_id"), F.array(page).alias("pages"))
-    stream = flows.follow(spark, _in_files(table, 2), "*.parquet", table.schema, maxFilesPerTrigger=1)
+    path, files = _in_files(table, 2)
+    stream = flows.follow(spark, path, "*.parquet", table.schema, maxFilesPerTrigger=files)
     counters = flows.Counters("ingested")
     spark.streams.addListener(counters)
     try:

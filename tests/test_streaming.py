@@ -91,3 +91,42 @@ def test_uploads_are_ingested_as_they_arrive_and_a_replay_changes_nothing(spark,
     last = store._stored("documents").agg(F.max("part")).first()[0]
     store.ingest(read_files(spark, str(folder / "c.pdf")), plain_text, part=last)
     assert sorted(map(tuple, store.chunks().select("id", "document_id", "content").collect())) == before
+
+
+def test_a_table_is_followed_as_a_file_and_as_a_folder_of_files(spark, tmp_path):
+    from pagequarry.plans import queries
+
+    table = spark.createDataFrame([(n, f"text {n}", "en", "src1", 6) for n in range(9)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    table.repartition(3).write.parquet(str(tmp_path / "folder" / "documents.parquet"))
+    table.coalesce(1).write.parquet(str(tmp_path / "made"))
+    (tmp_path / "file").mkdir()
+    next((tmp_path / "made").glob("*.parquet")).rename(tmp_path / "file" / "documents.parquet")
+    for folder in ("folder", "file"):
+        assert queries.stream_ingest(spark, str(tmp_path / folder)).count() == 9, folder
+
+
+def test_a_larger_table_makes_more_files_a_batch_not_larger_ones(spark, tmp_path, monkeypatch):
+    from pagequarry.plans import queries
+
+    table = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x "), 500).alias("text"))
+    assert queries._in_files(table.limit(10), 2)[1] == 1
+    monkeypatch.setattr(queries, "STREAM_FILE_BYTES", 100_000)
+    path, each = queries._in_files(table, 2)
+    assert each == 15 and len(spark.read.parquet(path).inputFiles()) == 2 * each
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+    counted = queries.stream_counters(spark, str(tmp_path)).first().asDict()
+    assert (counted["batches"], counted["documents"], counted["without_text"]) == (2, 3000, 1000)
+
+
+def test_more_uploads_make_larger_batches_not_more(spark, tmp_path, monkeypatch):
+    from pagequarry.plans import lifecycle
+
+    table = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("some text").alias("text"))
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+    for name, value in (("PAGES_A_FILE", 2), ("FILES_A_BATCH", 1), ("MOST_BATCHES", 3)):
+        monkeypatch.setattr(lifecycle, name, value)
+    store = DocumentStore(spark, str(tmp_path / "store"))
+    lifecycle._arrive(store, str(tmp_path))
+    assert store._stored("documents").select("part").distinct().count() == 3
+    # Every seventh file is of the wrong type.
+    assert store.documents().count() == sum(n % 7 != 3 for n in range(20))
