@@ -98,30 +98,44 @@ def number_chunks(documents: DataFrame) -> DataFrame:
     return totals.withColumn("first_chunk_id", F.col("_earlier") + 1).drop("_earlier")
 
 
+# Runs of rising ids that a task may have; each is a row on the driver and in a broadcast table.
+MOST_RUNS = 64
 _TASKS = "task int, chunks bigint, first bigint, last bigint, rising boolean"
 
 
 def _tasks(documents: DataFrame, settings: Settings) -> list[Row]:
-    """Per task that reads the documents: how many chunks they have, the first and last id, and
-    whether ids rise. Only ids and counts leave the JVM."""
+    """Per task that reads the documents and run of rising ids in it, of which it has one per file or
+    so: how many chunks they have, the first and last id. A task of more than MOST_RUNS runs is one
+    that is not rising. Only ids and counts leave the JVM."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, first, last, rising = 0, None, None, True
+        runs: list[list[int]] = []  # chunks, first, last
+        total = 0
         for batch in batches:
-            ids, counts = (batch.column(n) for n in range(2))
-            if batch.num_rows:
-                values = np.concatenate([[] if last is None else [last], ids.to_numpy()]).astype(np.int64)
-                rising = rising and bool((np.diff(values) > 0).all())
-                first = values[0] if first is None else first
-                last = values[-1]
-                total += pc.sum(counts).as_py()
-        if first is not None:
-            columns = [[TaskContext.get().partitionId()], [total], [first], [last], [rising]]
+            if not batch.num_rows:
+                continue
+            ids, counts = (batch.column(n).to_numpy().astype(np.int64) for n in range(2))
+            total += int(counts.sum())
+            starts = np.r_[0, np.flatnonzero(np.diff(ids) <= 0) + 1]
+            if len(runs) + len(starts) > MOST_RUNS + 1:
+                runs = [[0, int(ids[0]), int(ids[-1])]] * (MOST_RUNS + 1)
+                continue
+            sums = np.add.reduceat(counts, starts)
+            for first, last, size in zip(ids[starts].tolist(), ids[np.r_[starts[1:] - 1, len(ids) - 1]].tolist(), sums.tolist()):
+                if runs and runs[-1][2] < first:
+                    runs[-1] = [runs[-1][0] + size, runs[-1][1], last]
+                else:
+                    runs.append([size, first, last])
+        rising = len(runs) <= MOST_RUNS
+        runs = runs if rising else [[total, runs[0][1], runs[-1][2]]]
+        if runs:
+            task = TaskContext.get().partitionId()
+            columns = [[task] * len(runs), *zip(*runs), [rising] * len(runs)]
             types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [part.split()[0] for part in _TASKS.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], [part.split()[0] for part in _TASKS.split(", ")])
 
     counted = documents.select(F.col("document_id").cast("bigint"), F.coalesce(F.size(chunks_of(F.col("pages"), settings)), F.lit(0)).cast("bigint").alias("n"))
-    return sorted(counted.mapInArrow(run, _TASKS).collect(), key=lambda row: row["task"])
+    return sorted(counted.mapInArrow(run, _TASKS).collect(), key=lambda row: row["task"])  # runs stay in order
 
 
 def chunk_in_order(
@@ -129,31 +143,38 @@ def chunk_in_order(
 ) -> DataFrame:
     """Chunks of documents with consecutive ids `first`, `first` + 1, ... in document order.
 
-    Documents that are stored in the order of their ids, which a counting pass checks, get them from
-    one offset per task: no text is moved. Others meet their offsets in a join. `documents` must be
+    Documents whose files are in the order of their ids, which a counting pass checks, get them from
+    one offset per task and file: no text is moved, in whatever order the files are read. Others meet their offsets in a join. `documents` must be
     read from a table, so that both passes have the same tasks; a row that comes up in another task
     fails the job. An id that occurs twice counts as out of order.
     """
     spark = documents.sparkSession
     tasks = _tasks(documents, settings)
-    ordered = all(t["rising"] for t in tasks) and all(a["last"] < b["first"] for a, b in zip(tasks, tasks[1:]))
+    runs = sorted(tasks, key=lambda run: run["first"])
+    ordered = all(t["rising"] for t in tasks) and all(a["last"] < b["first"] for a, b in zip(runs, runs[1:]))
     if not ordered:
         counted = number_chunks(count_chunks(documents, settings).select("document_id", "num_chunks"))
         placed = join_unique(documents, counted.select("document_id", "first_chunk_id"), "document_id")
         chunks = chunk_documents(placed, settings, ("first_chunk_id", *keep))
         return chunks.withColumn("id", F.col("first_chunk_id") + F.col("chunk_index") + F.lit(first - 1)).drop("first_chunk_id")
-    before, rows = first, []
+    earlier: dict[int, int] = {}
+    inside = []  # chunks of earlier runs of the same task
     for t in tasks:
-        rows.append((t["task"], before, t["first"], t["last"]))
+        inside.append(earlier.get(t["task"], 0))
+        earlier[t["task"]] = inside[-1] + t["chunks"]
+    before, rows = first, []
+    for t, skipped in sorted(zip(tasks, inside), key=lambda pair: pair[0]["first"]):
+        rows.append((t["task"], before - skipped, t["first"], t["last"]))
         before += t["chunks"]
-    offsets = spark.createDataFrame(rows, "_task int, _before bigint, _first bigint, _last bigint")
+    offsets = spark.createDataFrame(rows, "_run_task int, _before bigint, _first bigint, _last bigint")
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << TASK_BITS) - 1))
     chunks = chunk_documents(documents, settings, keep).withColumns({"_task": F.spark_partition_id(), "_place": place})
     moved = F.raise_error(F.lit("documents were read by other tasks than they were counted by"))
-    key = F.when(F.col("document_id").between(F.col("_first"), F.col("_last")), F.col("_before") + F.col("_place"))
-    # One row per task: the driver knows each of these anyway.
-    placed = chunks.join(F.broadcast(offsets), "_task", "left").withColumn("id", F.coalesce(key, moved.cast("bigint")))
-    return placed.drop("_task", "_place", "_before", "_first", "_last")
+    key = F.col("_before") + F.col("_place")
+    # A row per task and file: the driver knows each of these anyway. Runs do not overlap.
+    own = (F.col("_task") == F.col("_run_task")) & F.col("document_id").between(F.col("_first"), F.col("_last"))
+    placed = chunks.join(F.broadcast(offsets), own, "left").withColumn("id", F.coalesce(key, moved.cast("bigint")))
+    return placed.drop("_task", "_run_task", "_place", "_before", "_first", "_last")
 
 
 def chunk_key(document_id: Column, chunk_index: Column) -> Column:

@@ -184,3 +184,23 @@ def test_documents_that_change_their_task_fail_the_job(spark, tmp_path):
     finally:
         chunking._tasks = real
     assert chunks.count() > 0
+
+
+@pytest.mark.parametrize("parts", [4, 40])
+def test_files_that_are_read_in_another_order_keep_document_order(spark, tmp_path, parts):
+    """Spark reads the largest files first, and several small ones in one task."""
+    from pagequarry.operators.chunking import chunk_in_order
+
+    path, ids = str(tmp_path / "pages"), list(range(5, 500, 3))
+    size = -(-len(ids) // parts)
+    for n in range(parts):  # each file is larger than the one before it
+        rows = [(i, [(1, "".join(chr(97 + (i * k * k) % 26) for k in range(50 * (n + 1))))]) for i in ids[n * size : (n + 1) * size]]
+        if rows:
+            spark.createDataFrame(rows, PAGES).coalesce(1).write.mode("append").parquet(f"{path}/part={n:02}")
+    documents = spark.read.schema(PAGES).parquet(path)
+    chunks = chunk_in_order(documents, first=10)
+    plan = chunks._jdf.queryExecution().executedPlan().toString()
+    assert all("Broadcast" in line for line in plan.split("\n") if "Exchange" in line), plan
+    got = sorted((r["id"], r["document_id"], r["chunk_index"]) for r in chunks.collect())
+    want = sorted((r["document_id"], r["chunk_index"]) for r in chunk_documents(documents).collect())
+    assert got == [(10 + n, *w) for n, w in enumerate(want)]
