@@ -5,10 +5,10 @@ against a matrix of queries and emit only the best k per query; one window then
 these partial lists. There are two ways to bring queries and chunks together:
 
 * shipped: a query side of checked size goes to every task, the chunks are not shuffled;
-* in rounds: a larger query side is written in blocks, and each block goes to every task in a round
-  of its own. The vectors are never shuffled, whatever their groups hold. A block first meets one
-  cell of the chunks, which is kept; the k-th score found there is a floor below which no task
-  reports anything when the block meets them all. One block is alive at a time.
+* in cells: a larger query side is cut into blocks and the chunks into slices by the hash of their id,
+  so that no group fills one slice. Blocks and slices meet by a shuffle; the driver sees counts only.
+  A task holds the queries of its block and reads the slice batch by batch. Rounds of blocks run one
+  after another, and the chunks are computed once for all of them.
 
 Ranking is by (similarity descending, id ascending) on scores summed left to right in double
 precision, so the result does not depend on batches, blocks or the linear algebra library.
@@ -16,25 +16,30 @@ precision, so the result does not depend on batches, blocks or the linear algebr
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagequarry.config import MAX_BROADCAST_ROWS, MAX_SHIPPED_BYTES
-from pagequarry.session import materialise, scratch_path
+from pagequarry.session import broadcast_if_small, materialise, scratch_path
 
-# Bytes of vectors of the cell of chunks from which floors are taken.
-CELL_CHUNK_BYTES = 192 * 1024 * 1024
+# The least bytes of vectors of a slice of the chunks.
+CELL_CHUNK_BYTES = 4 * 1024 * 1024
+# Blocks of queries of one round; more come only where a block would pass what may be shipped.
+MOST_BLOCKS = 16
 # Most group values pushed down to the chunk scan as an IN list.
 MAX_PUSHED_GROUPS = 1_000
 
-_SCORES_PER_STEP = 4_000_000
+# Pairs that are scored at once, and queries of these: a block of scores is of bounded size whatever
+# the number of queries and rows.
+_SCORES_PER_STEP, _QUERIES_PER_STEP = 4_000_000, 2_048
 _PAIRS_PER_STEP = 4_096
 # Stands for "no score" inside a task: below every cosine, above the excluded pairs at -inf.
 _NO_LENGTH = -2.0
@@ -103,29 +108,49 @@ def _distinct_rows(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Leaders:
-    """The best k (score, id) per query seen so far."""
+    """The best k (score, id) per query seen so far, best first."""
 
-    def __init__(self, queries: int, k: int, floor: np.ndarray | None = None) -> None:
+    def __init__(self, queries: int, k: int) -> None:
         self.k = k
-        self.query = np.empty(0, np.int64)
-        self.score = np.empty(0, np.float64)
-        self.id = np.empty(0, np.int64)
-        # What a score has to reach; given floors are k-th scores of some of the rows.
-        self.floor = np.full(queries, -np.inf) if floor is None else floor.copy()
+        self._held = np.zeros(queries, np.int64)
+        self._score = np.empty((queries, k), np.float64)
+        self._id = np.empty((queries, k), np.int64)
+        # What a score has to reach.
+        self.floor = np.full(queries, -np.inf)
+
+    def _filled(self) -> np.ndarray:
+        return np.arange(self.k) < self._held[:, None]
+
+    @property
+    def query(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self._held)), self._held)
+
+    @property
+    def score(self) -> np.ndarray:
+        return self._score[self._filled()]
+
+    @property
+    def id(self) -> np.ndarray:
+        return self._id[self._filled()]
 
     def add(self, query: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
-        query = np.concatenate([self.query, query])
-        score = np.concatenate([self.score, score])
-        ids = np.concatenate([self.id, ids])
+        """Costs what the queries that have new rows hold, whatever all others do."""
+        touched = np.unique(query)
+        filled = np.arange(self.k) < self._held[touched][:, None]
+        query = np.concatenate([np.repeat(touched, self._held[touched]), query])
+        score = np.concatenate([self._score[touched][filled], score])
+        ids = np.concatenate([self._id[touched][filled], ids])
         order = np.lexsort((ids, -score, query))
         query, score, ids = query[order], score[order], ids[order]
-        starts = np.flatnonzero(np.r_[True, query[1:] != query[:-1]]) if len(query) else []
+        starts = np.flatnonzero(np.r_[True, query[1:] != query[:-1]]) if len(query) else np.empty(0, np.int64)
         sizes = np.diff(np.r_[starts, len(query)]).astype(np.int64)
         place = np.arange(len(query)) - np.repeat(starts, sizes)
         keep = place < self.k
-        self.query, self.score, self.id = query[keep], score[keep], ids[keep]
+        self._score[query[keep], place[keep]] = score[keep]
+        self._id[query[keep], place[keep]] = ids[keep]
+        self._held[touched] = np.minimum(sizes, self.k)
         full = place == self.k - 1
-        self.floor[query[full]] = np.maximum(self.floor[query[full]], score[full])
+        self.floor[query[full]] = score[full]
 
 
 @dataclass
@@ -134,41 +159,47 @@ class QuerySide:
 
     ids: pa.Array
     vectors: np.ndarray
-    groups: list[list[int] | None] | None = None
+    groups: pa.Array | None = None
     only: pa.Array | None = None
-    floors: np.ndarray | None = None
     table: VectorTable = field(init=False)
 
     def __post_init__(self) -> None:
         # Queries that ask the same thing are answered once and written out for each.
-        seen: dict[tuple, int] = {}
-        firsts, owner = [], []
-        only = self.only.to_pylist() if self.only is not None else [None] * len(self.ids)
-        for n in range(len(self.ids)):
-            group = self.groups[n] if self.groups is not None else None
-            key = (self.vectors[n].tobytes(), None if group is None else tuple(group), only[n])
-            if key not in seen:
-                seen[key] = len(firsts)
+        count = len(self.ids)
+        only = self.only if self.only is not None else pa.nulls(count, pa.int64())
+        limited, value = only.is_valid().to_numpy(zero_copy_only=False), only.fill_null(0).to_numpy()
+        if self.groups is not None:
+            bound = self.groups.is_valid().to_numpy(zero_copy_only=False)
+            listed, owner = pc.fill_null(self.groups.flatten(), -(1 << 63)).to_numpy(), pc.list_parent_indices(self.groups).to_numpy()
+            ends = np.searchsorted(owner, np.arange(count + 1))
+        else:
+            bound, listed, ends = np.zeros(count, bool), np.empty(0, np.int64), np.zeros(count + 1, np.int64)
+        seen: dict[bytes, int] = {}
+        firsts, owners = [], []
+        for n in range(count):
+            parts = (self.vectors[n], listed[ends[n] : ends[n + 1]], np.array([bound[n], limited[n], value[n]], np.int64))
+            key = hashlib.blake2b(b"".join(part.tobytes() for part in parts), digest_size=20).digest()
+            place = seen.setdefault(key, len(firsts))
+            if place == len(firsts):
                 firsts.append(n)
-            owner.append(seen[key])
-        self.asked_by = np.argsort(owner, kind="stable")
-        self.asked_count = np.bincount(owner, minlength=len(firsts)).astype(np.int64)
+            owners.append(place)
+        self.asked_by = np.argsort(owners, kind="stable")
+        self.asked_count = np.bincount(owners, minlength=len(firsts)).astype(np.int64)
         self.asked_start = np.cumsum(self.asked_count) - self.asked_count
+        firsts = np.array(firsts, np.int64)
         self.table = VectorTable(self.vectors[firsts])
-        filters = [only[n] for n in firsts]
-        self.filtered = np.array([value is not None for value in filters], dtype=bool)
-        self.filter = np.array([value if value is not None else 0 for value in filters], np.int64)
-        self.everywhere = []
-        self.by_group: dict[int, list[int]] = {}
-        for place, n in enumerate(firsts):
-            group = self.groups[n] if self.groups is not None else None
-            if group is None:
-                self.everywhere.append(place)
-            else:
-                for value in set(group):
-                    self.by_group.setdefault(value, []).append(place)
-        self.everywhere = np.array(self.everywhere, np.int64)
-        self.floor = self.floors[firsts] if self.floors is not None else None
+        self.filtered, self.filter = limited[firsts], value[firsts]
+        self.everywhere = np.flatnonzero(~bound[firsts])
+        # The places of the queries of every group, one after another.
+        sizes = np.diff(ends)[firsts]
+        place = np.repeat(np.arange(len(firsts), dtype=np.int32), sizes)
+        group = listed[np.repeat(ends[firsts], sizes) + np.arange(len(place)) - np.repeat(np.cumsum(sizes) - sizes, sizes)]
+        order = np.lexsort((place, group))
+        group, place = group[order], place[order]
+        fresh = np.r_[True, (group[1:] != group[:-1]) | (place[1:] != place[:-1])] if len(group) else np.empty(0, bool)
+        self.group_places = place[fresh]
+        values, starts = np.unique(group[fresh], return_index=True)
+        self.by_group = {v: (a, b) for v, a, b in zip(values.tolist(), starts.tolist(), [*starts[1:].tolist(), int(fresh.sum())])}
 
     def parts(self, groups: np.ndarray | None) -> Iterator[tuple[np.ndarray | None, np.ndarray]]:
         """Which rows of a batch meet which queries."""
@@ -180,17 +211,20 @@ class QuerySide:
         values, starts = np.unique(groups[order], return_index=True)
         for value, rows in zip(values.tolist(), np.split(order, starts[1:])):
             if value in self.by_group:
-                yield rows, np.array(self.by_group[value], np.int64)
+                first, last = self.by_group[value]
+                yield rows, self.group_places[first:last].astype(np.int64)
 
     def scan(self, leaders: Leaders, rows: np.ndarray, ids: np.ndarray,
              groups: np.ndarray | None, only: np.ndarray | None) -> None:
         unit, none = unit_rows(rows)
         for picked, queries in self.parts(groups):
             picked = np.arange(len(rows)) if picked is None else picked
-            step = max(256, _SCORES_PER_STEP // len(queries))
-            for at in range(0, len(picked), step):
-                block = picked[at : at + step]
-                self._score(leaders, queries, block, rows, unit[block], none[block], ids, only)
+            for first in range(0, len(queries), _QUERIES_PER_STEP):
+                asked = queries[first : first + _QUERIES_PER_STEP]
+                step = max(256, _SCORES_PER_STEP // len(asked))
+                for at in range(0, len(picked), step):
+                    block = picked[at : at + step]
+                    self._score(leaders, asked, block, rows, unit[block], none[block], ids, only)
 
     def _score(self, leaders, queries, block, rows, unit, none, ids, only) -> None:
         scores = self.table.estimate(queries, unit, none)
@@ -240,9 +274,8 @@ def _query_side(table: pa.Table, dimension: int, grouped: bool) -> QuerySide:
     return QuerySide(
         ids=column("query_id"),
         vectors=matrix(column("embedding"), dimension),
-        groups=column("groups").to_pylist() if grouped else None,
+        groups=column("groups") if grouped else None,
         only=column("only"),
-        floors=column("floor").to_numpy() if "floor" in table.column_names else None,
     )
 
 
@@ -297,8 +330,8 @@ def nearest(
     chunk) and `only` (bigint: meet only chunks whose `only` column is equal; NULL means every
     chunk). Both restrictions apply before the limit.
 
-    A query side of more than `max_shipped_bytes` goes in rounds of about `cell_queries` queries,
-    with floors from about `cell_chunks` chunks.
+    A query side of more than `max_shipped_bytes` meets the chunks in cells: blocks of `cell_queries`
+    queries or more, by slices of `cell_chunks` chunks or more.
     """
     names = queries.columns
     optional = lambda name, kind: (
@@ -328,23 +361,24 @@ def nearest(
     )
     # One more row than may be shipped tells whether the whole side fits.
     room = max_shipped_bytes // (4 * dimension + 64)
-    head = asked.limit(room + 1).toArrow()
-    if head.num_rows <= room:
-        partial, _ = _shipped(chunks, held, head, k, dimension, group, output, arrow_output)
+    head = asked.limit(room + 1)
+    count, listed = head.agg(F.count("*"), F.coalesce(F.sum(F.greatest(F.size("groups"), F.lit(0))), F.lit(0))).first()
+    if count <= room and count * (4 * dimension + 64) + 8 * listed <= max_shipped_bytes:
+        partial = _shipped(chunks, held, head.toArrow(), k, dimension, group, output, arrow_output)
         ranked = best_per_query(partial, k)
-        small = head.num_rows * k <= MAX_BROADCAST_ROWS
+        small = count * k <= MAX_BROADCAST_ROWS
     else:
         cell_chunks = cell_chunks or max(1, CELL_CHUNK_BYTES // (4 * dimension))
-        cell_queries = cell_queries or max(1, MAX_SHIPPED_BYTES // (4 * dimension + 64))
-        partial = _in_rounds(chunks, held, asked, k, dimension, group, output, arrow_output, cell_chunks, cell_queries)
+        cell_queries = cell_queries or MAX_SHIPPED_BYTES // (4 * dimension + 64)
+        partial = _in_cells(chunks, held, asked, k, dimension, group, output, arrow_output, cell_chunks, cell_queries)
         ranked = best_per_query(partial, k)
         small = False
     result = ranked.select("query_id", "rank", "id", "similarity")
     return F.broadcast(result) if small else result
 
 
-def _shipped(chunks, held, head, k, dimension, group, output, arrow_output) -> tuple[DataFrame, Broadcast]:
-    """The best rows of every task, and what was shipped for it."""
+def _shipped(chunks, held, head, k, dimension, group, output, arrow_output) -> DataFrame:
+    """The best rows of every task."""
     groups = head.column("groups").to_pylist()
     if group and all(value is not None for value in groups):
         wanted = sorted({value for part in groups for value in part})
@@ -358,54 +392,79 @@ def _shipped(chunks, held, head, k, dimension, group, output, arrow_output) -> t
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         side = _query_side(payload.value, dimension, grouped)
-        leaders = Leaders(len(side.table.rows), k, side.floor)
+        leaders = Leaders(len(side.table.rows), k)
         for batch in batches:
             _scan_batch(side, leaders, batch, dimension)
         yield from side.written(leaders, arrow_output).to_batches(max_chunksize=10_000)
 
-    return chunks.select(*held).mapInArrow(score, output), payload
+    return chunks.select(*held).mapInArrow(score, output)
 
 
-def _in_rounds(chunks, held, asked, k, dimension, group, output, arrow_output, cell_chunks, cell_queries) -> DataFrame:
-    """The best rows of every round, written one round after another.
+def _in_cells(chunks, held, asked, k, dimension, group, output, arrow_output, cell_chunks, cell_queries) -> DataFrame:
+    """The best rows of every cell, a block of queries and a slice of the chunks, written one round of
+    blocks after another.
 
-    Queries are written in the order of their groups, so that a block touches few groups, and cut
-    by position, so that a group or a repeated query fills as many blocks as it needs.
+    Queries are placed in the order of their groups, so that a block touches few groups, and cut by
+    position, so that a group or a repeated query fills as many blocks as it needs. Blocks hold
+    `cell_queries` queries; where these are more than MOST_BLOCKS blocks, they hold more, up to the
+    bytes that may be shipped. A chunk goes only to the blocks that ask for its group.
     """
     spark = chunks.sparkSession
-    kept = materialise(asked, "asked").withColumn("first", F.array_min("groups")).withColumn("row", F.monotonically_increasing_id())
-    count, rows = kept.count(), chunks.count()
-    blocks = max(1, -(-count // cell_queries))
-    folder = scratch_path(spark, "query-blocks")
+    cores = spark.sparkContext.defaultParallelism
+    kept = materialise(asked.withColumn("first", F.array_min("groups")), "asked").withColumn("row", F.monotonically_increasing_id())
+    table = materialise(chunks.select(*held), "held")  # encoded once, whatever the number of rounds
+    count, listed = kept.agg(F.count("*"), F.coalesce(F.sum(F.greatest(F.size("groups"), F.lit(0))), F.lit(0))).first()
+    fitting = max(1, MAX_SHIPPED_BYTES // (4 * dimension + 64 + 8 * listed // max(1, count)))
+    blocks = max(1, -(-count // min(fitting, max(cell_queries, -(-count // MOST_BLOCKS)))))
     dealt = kept.repartitionByRange(blocks, "first", "row").drop("first", "row").withColumn("block", F.spark_partition_id())
-    dealt.write.partitionBy("block").parquet(folder)
-    dealt = spark.read.schema(dealt.schema).parquet(folder)
-    cell = None
-    if rows > cell_chunks:
-        drawn = F.pmod(F.xxhash64("id", F.lit("cell")), F.lit(-(-rows // cell_chunks))) == 0
-        cell = materialise(chunks.select(*held).filter(drawn), "first-cell")
+    dealt = materialise(dealt, "query-blocks")
+    a_round = min(blocks, MOST_BLOCKS)
+    slices = max(1, min(-(-table.count() // cell_chunks), -(-2 * cores // a_round)))
+
+    everywhere = dealt.filter(F.col("groups").isNull()) if group else dealt
+    open_blocks = materialise(everywhere.select("block").distinct(), "open-blocks")
+    copies = table.crossJoin(F.broadcast(open_blocks))  # a row per block
+    if group:
+        wanted = dealt.select("block", F.explode("groups").alias("group")).distinct().join(F.broadcast(open_blocks), "block", "left_anti")
+        wanted = materialise(wanted, "wanted-groups")
+        copies = copies.unionByName(table.join(broadcast_if_small(wanted), "group"))
+    place = lambda number: (F.col("block") * slices + number).cast("int").alias("cell")
+    queries = dealt.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    asks = queries.select(place(F.col("slice")), F.lit(0).alias("side"), "query_id", "embedding", "groups", "only", "block")
+    names = [name for name in table.columns if name != "embedding"]
+    hold = copies.select(
+        place(F.pmod(F.xxhash64("id"), F.lit(slices))), F.lit(1).alias("side"), "embedding", "block",
+        *[F.col(name).alias(f"held_{name}") for name in names],
+    )
+    both = asks.unionByName(hold, allowMissingColumns=True)
+    grouped = group is not None
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, asking, side, leaders = None, [], None, None
+        for batch in batches:
+            own = batch.column("cell").to_numpy().astype(np.int64) * 2 + batch.column("side").to_numpy()
+            starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else []
+            for first, last in zip(starts, [*starts[1:], len(own)]):
+                part, (number, held_side) = batch.slice(first, last - first), divmod(int(own[first]), 2)
+                if number != cell:
+                    if side is not None:
+                        yield from side.written(leaders, arrow_output).to_batches(max_chunksize=10_000)
+                    cell, asking, side = number, [], None
+                if not held_side:
+                    asking.append(part.select(["query_id", "embedding", "groups", "only"]))
+                    continue
+                if side is None:
+                    side, asking = _query_side(pa.Table.from_batches(asking), dimension, grouped), []
+                    leaders = Leaders(len(side.table.rows), k)
+                part = part.select(["embedding", *[f"held_{name}" for name in names]]).rename_columns(["embedding", *names])
+                _scan_batch(side, leaders, part, dimension)
+        if side is not None:
+            yield from side.written(leaders, arrow_output).to_batches(max_chunksize=10_000)
+
     target = scratch_path(spark, "rounds")
     spark.createDataFrame([], output).write.parquet(f"{target}/round=-1")
-    for block in [r["block"] for r in dealt.select("block").distinct().orderBy("block").collect()]:
-        head = dealt.filter(F.col("block") == block).drop("block").toArrow()
-        if cell is not None:
-            head = head.append_column("floor", _floors(cell, head, k, dimension, group))
-        partial, shipped = _shipped(chunks, held, head, k, dimension, group, output, arrow_output)
-        best_per_query(partial, k).drop("rank").write.parquet(f"{target}/round={block}")
-        shipped.unpersist()
+    for first in range(0, blocks, a_round):
+        now = both.filter(F.col("block").between(first, first + a_round - 1)).drop("block")
+        placed = now.repartitionById(a_round * slices, F.col("cell") - first * slices).sortWithinPartitions("cell", "side")
+        placed.mapInArrow(score, output).write.parquet(f"{target}/round={first}")
     return spark.read.schema(output).parquet(target)
-
-
-def _floors(cell: DataFrame, head: pa.Table, k: int, dimension: int, group: str | None) -> pa.Array:
-    """The k-th score of every query of a block in the first cell, where k rows have one. Queries
-    go by their place, as an id may stand for several."""
-    schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("id", T.LongType()), T.StructField("similarity", T.DoubleType())])
-    arrow = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("similarity", pa.float64())])
-    placed = head.set_column(head.column_names.index("query_id"), "query_id", pa.array(np.arange(head.num_rows)))
-    held = [F.col(name) for name in cell.columns]
-    partial, shipped = _shipped(cell, held, placed, k, dimension, "group" if group else None, schema, arrow)
-    found = best_per_query(partial, k).filter((F.col("rank") == k) & F.col("similarity").isNotNull()).select("query_id", "similarity").toArrow()
-    shipped.unpersist()
-    floor = np.full(head.num_rows, -np.inf)
-    floor[found.column("query_id").to_numpy()] = found.column("similarity").to_numpy()
-    return pa.array(floor)

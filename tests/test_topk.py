@@ -154,3 +154,37 @@ def test_no_cross_join_and_no_unused_column(spark, tmp_path):
     assert "content" not in text.split("ReadSchema")[-1]
     assert "PushedFilters: [In(document_id, [2])]" in text or "EqualTo(document_id,2)" in text
     assert "WindowGroupLimit" in text
+
+
+def test_a_large_query_side_never_passes_through_the_driver(spark, monkeypatch):
+    """Blocks, groups and repeats of queries meet the chunks by a shuffle, in few rounds."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from pagequarry.operators import topk
+
+    random = np.random.default_rng(5)
+    held = [(n, n % 9, random.integers(-2, 3, DIM).astype(float).tolist()) for n in range(300)]
+    asked = [(n, [None, [n % 9], [0, n % 11], []][n % 4], 0 if n % 10 == 0 else None, random.integers(-2, 3, DIM).astype(float).tolist()) for n in range(200)]
+    want = without_empty(brute(held, asked, 3))
+    monkeypatch.setattr(topk, "MOST_BLOCKS", 4)
+    monkeypatch.setattr(DataFrame, "toArrow", lambda self: pytest.fail("collected"))
+    assert run(spark, held, asked, 3, **{**BLOCKED, "cell_queries": 2}) == want
+
+
+def test_scores_are_made_in_blocks_of_bounded_size(monkeypatch):
+    import pyarrow as pa
+
+    from pagequarry.operators import topk
+
+    sizes = []
+    real = topk.VectorTable.estimate
+    monkeypatch.setattr(topk.VectorTable, "estimate", lambda self, chosen, unit, none: sizes.append(len(chosen) * len(unit)) or real(self, chosen, unit, none))
+    random = np.random.default_rng(9)
+    queries, rows = random.normal(size=(60_000, 2)).astype(np.float32), random.normal(size=(600, 2)).astype(np.float32)
+    side = topk.QuerySide(ids=pa.array(range(60_000)), vectors=queries)
+    leaders = topk.Leaders(len(side.table.rows), 2)
+    side.scan(leaders, rows, np.arange(600), None, None)
+    assert max(sizes) <= topk._SCORES_PER_STEP
+    scores = topk.unit_rows(queries[:50])[0] @ topk.unit_rows(rows)[0].T
+    assert np.allclose(np.sort(scores, axis=1)[:, -1:-3:-1].ravel(), leaders.score[:100], atol=1e-6)
+    assert leaders.query[:100].tolist() == [n // 2 for n in range(100)]
