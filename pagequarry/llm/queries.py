@@ -27,7 +27,7 @@ def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_substrings(spark: SparkSession, folder: str) -> DataFrame:
-    return substrings.remove_repeats(scan(spark, folder, "documents"))
+    return substrings.remove_repeats(scan(small_batches(spark), folder, "documents"))
 
 
 def op5_fixity(spark: SparkSession, folder: str) -> DataFrame:

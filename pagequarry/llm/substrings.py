@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry.llm.filters import known_to
-from pagequarry.llm.words import chunks, expand, find_words, mixed, shingles, text_buffer
+from pagequarry.llm.words import chunks, expand, find_words, mixed, releasing, shingles, text_buffer
 from pagequarry.operators.joins import LEAST_HEAVY, MOST_HEAVY, join_unique
 from pagequarry.session import materialise
 
@@ -94,7 +94,7 @@ def _described(docs: DataFrame, window: int) -> DataFrame:
                     ["doc_id", *KEY, "n_words", "whole", "runs", "places"],
                 )
 
-    return docs.mapInArrow(run, "doc_id bigint, _a bigint, _b int, n_words bigint, whole string, runs array<bigint>, places array<int>")
+    return docs.mapInArrow(releasing(run), "doc_id bigint, _a bigint, _b int, n_words bigint, whole string, runs array<bigint>, places array<int>")
 
 
 def _repeated(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -157,7 +157,7 @@ def _candidates(docs: DataFrame, window: int) -> DataFrame:
                 columns = [batch.column(c).slice(first, last - first) for c in (*KEY, "text")]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(found, pa.list_(STRETCH))], [*KEY, "text", "stretches"])
 
-    return docs.select(*KEY, "text", "alive").mapInArrow(run, "_a bigint, _b int, text string, stretches array<struct<start: int, content: bigint, words: binary>>")
+    return docs.select(*KEY, "text", "alive").mapInArrow(releasing(run), "_a bigint, _b int, text string, stretches array<struct<start: int, content: bigint, words: binary>>")
 
 
 def _gathered(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -180,7 +180,7 @@ def _runs_of(stretches: DataFrame, length: int, window: int) -> DataFrame:
             of = lambda name: batch.column(name).take(pa.array(text))
             yield pa.RecordBatch.from_arrays([of("content"), of("first"), pa.array(runs), pa.array(place - firsts[text], pa.int32()), of("weight")], ["content", "first", "run", "place", "weight"])
 
-    return stretches.mapInArrow(run, "content bigint, first int, run bigint, place int, weight bigint")
+    return stretches.mapInArrow(releasing(run), "content bigint, first int, run bigint, place int, weight bigint")
 
 
 def _narrowed(stretches: DataFrame, length: int, window: int) -> DataFrame:
@@ -202,7 +202,7 @@ def _narrowed(stretches: DataFrame, length: int, window: int) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(columns, ["content", "first", "weight", "words"])
 
-    return stretches.mapInArrow(run, "content bigint, first int, weight bigint, words binary")
+    return stretches.mapInArrow(releasing(run), "content bigint, first int, weight bigint, words binary")
 
 
 def _cut(candidates: DataFrame, window: int) -> DataFrame:
@@ -225,7 +225,7 @@ def _cut(candidates: DataFrame, window: int) -> DataFrame:
                 kept.append(hashlib.sha256(b" ".join(w for w, o in zip(words, out.tolist()) if not o)).hexdigest())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in KEY), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], [*KEY, "n_removed", "kept_sha256"])
 
-    return candidates.select(*KEY, "text", "covered").mapInArrow(run, "_a bigint, _b int, n_removed bigint, kept_sha256 string")
+    return candidates.select(*KEY, "text", "covered").mapInArrow(releasing(run), "_a bigint, _b int, n_removed bigint, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -95,3 +95,20 @@ def test_heavy_runs_agree(spark, tricky, monkeypatch):
     monkeypatch.setattr(substrings, "MOST_HEAVY", 5)
     monkeypatch.setattr(substrings, "join_unique", lambda a, b, on: joins.join_unique(a, b, on, least_heavy=2, most_bytes=0))
     assert answers(substrings.remove_repeats(tricky)) == brute(rows, 35)
+
+
+def test_texts_go_to_python_in_small_batches(spark, tmp_path):
+    """A default batch of long texts, in every worker, passed the memory of an executor."""
+    from pagequarry.llm import queries
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.unset(name)
+    try:
+        text = " ".join(f"w{n}" for n in range(40))
+        spark.createDataFrame([(1, text), (2, text + " x"), (3, None)], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+        got = {r["doc_id"]: r["n_removed"] for r in queries.op4_substrings(spark, str(tmp_path)).collect()}
+        assert got == {1: 40, 2: 40, 3: 0}
+        assert int(spark.conf.get(name)) <= 1000
+    finally:
+        spark.conf.set(name, before)
