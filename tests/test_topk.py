@@ -188,3 +188,43 @@ def test_scores_are_made_in_blocks_of_bounded_size(monkeypatch):
     scores = topk.unit_rows(queries[:50])[0] @ topk.unit_rows(rows)[0].T
     assert np.allclose(np.sort(scores, axis=1)[:, -1:-3:-1].ravel(), leaders.score[:100], atol=1e-6)
     assert leaders.query[:100].tolist() == [n // 2 for n in range(100)]
+
+
+def test_sparse_queries_fill_few_blocks(spark, monkeypatch):
+    """A block is as large as the components that are not zero allow, and the chunks are copied to few blocks."""
+    from pagequarry.operators import topk
+
+    tables, real = {}, topk.materialise
+    monkeypatch.setattr(topk, "materialise", lambda df, label: tables.setdefault(label, real(df, label)))
+    component = F.expr("transform(sequence(0, 383), i -> float(if(i % 64 = id % 64, 1 + i % 3, 0)))")
+    queries = spark.range(30_000).select(F.col("id").alias("query_id"), component.alias("embedding"))
+    random = np.random.default_rng(13)
+    held = [(n, 0, random.integers(0, 3, 384).astype(float).tolist()) for n in range(20)]
+    got = nearest(spark.createDataFrame(held, HELD), queries, 2, 384, max_shipped_bytes=0, cell_chunks=8)
+    answers = {}
+    for row in got.groupBy(F.col("query_id") % 64, "rank").agg(F.collect_set(F.struct("id", "similarity")), F.count("*")).collect():
+        answers.setdefault(row[0], {})[row["rank"]] = row[2]
+    first = [(r["query_id"], None, None, r["embedding"]) for r in queries.limit(64).collect()]
+    for query, hits in brute(held, first, 2).items():
+        assert {rank: [tuple(hit) for hit in found] for rank, found in answers[query].items()} == {1: [hits[0]], 2: [hits[1]]}
+    assert got.count() == 60_000
+    assert tables["query-blocks"].select("block").distinct().count() == 1
+
+
+def test_sparse_and_whole_queries_have_the_same_best(monkeypatch):
+    import pyarrow as pa
+
+    from pagequarry.operators import topk
+
+    random = np.random.default_rng(17)
+    queries = np.where(random.random((500, 40)) < 0.1, random.integers(-2, 3, (500, 40)), 0).astype(np.float32)
+    queries[3], queries[4, 5], queries[6, 7], queries[8] = 0, np.nan, -0.0, queries[9]
+    rows = random.integers(-1, 2, (300, 40)).astype(np.float32)
+    found = []
+    for vectors in (queries, topk.Rows.stacked([topk.Rows.of(queries[:200]), topk.Rows.of(queries[200:200]), topk.Rows.of(queries[200:])])):
+        side = topk.QuerySide(ids=pa.array(range(500)), vectors=vectors)
+        leaders = topk.Leaders(len(side.table.rows), 4)
+        side.scan(leaders, rows, np.arange(300), None, None)
+        schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("similarity", pa.float64())])
+        found.append(sorted(map(str, side.written(leaders, schema).to_pylist())))
+    assert len(found[0]) == 2000 and found[0] == found[1]
