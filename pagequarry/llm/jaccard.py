@@ -8,14 +8,15 @@ counts per group are a point; the overlap of two sets is at most the sum of the
 Documents under a shingle are first held against the one before them and the first of their band,
 which joins groups of copies in linear work. Where a shingle still holds several classes, an R-tree
 of the points finds the pairs that are left: its boxes keep the greatest counts and the smallest
-set, which bounds the overlap with everything inside. Shingles that belong to one large class are
-searched together, not one by one. Every surviving pair is verified on the whole sets.
+set, which bounds the overlap with everything inside; a few documents are compared without a tree.
+Shingles that belong to one large class are searched together, not one by one. Every surviving pair is verified on the whole sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +32,11 @@ from pagequarry.session import materialise
 SHINGLE = 5
 # 100 * intersection >= PERCENT * union makes a link.
 PERCENT = 75
-# A shingle in this share of the documents is common: it comes late in the order of shingles, and
-# is known to all tasks. There are at most (mean set size) / COMMON_SHARE such shingles.
-COMMON_SHARE = 1e-3
-LEAST_COMMON = 16
+# A shingle in this share of the documents, and in so many, is common: it comes late in the order of
+# shingles, and is known to all tasks. Of more than MOST_COMMON such shingles the rarer ones count as
+# rare. What is not common meets under one key in as many documents as it has.
+COMMON_SHARE = 1e-6
+LEAST_COMMON, MOST_COMMON = 16, 1 << 20
 # Shingles a task counts at a time, and the count from which it passes one on. The counts only
 # choose the order, so small ones may be lost.
 COUNTED, LEAST_COUNT = 1 << 22, 3
@@ -48,21 +50,47 @@ HASH_BITS, BANDS = 57, 63
 UNBOUNDED = 1 << 40
 # Bytes of texts whose shingles are held at a time.
 TEXT_BYTES = 1 << 20
-# Rows of one class that are searched in one task.
-BLOCK = 4096
+# Rows of one class that are searched in one task, and the rows of a cell that needs no tree.
+BLOCK, FEW = 4096, 64
+# Places of a filter of common shingles, by the high bits of their hashes.
+KNOWN_BITS = 22
+# Counts that are compared at a time.
+COMPARED = 1 << 20
+# Prefix keys that a task sends at a time, and about how many a task receives.
+KEYS = 1 << 20
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """The sorted distinct shingles of every text; one for all words where these are too few."""
+class Sets(NamedTuple):
+    """The sorted distinct shingles of several texts, one after another, and the first of each text."""
+
+    values: np.ndarray
+    firsts: np.ndarray
+
+    @property
+    def sizes(self) -> np.ndarray:
+        return np.diff(self.firsts)
+
+    def take(self, rows: np.ndarray) -> Sets:
+        sizes = self.sizes[rows]
+        return Sets(self.values[expand(self.firsts[rows], sizes)[1]], np.append(0, np.cumsum(sizes)))
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> Sets:
+    """The shingles of every text; one for all words where these are too few."""
     words = find_words(data, offsets, lower=True)
-    every = shingles(words.hashes, SHINGLE)
-    found = []
-    for a, b in zip(words.firsts[:-1].tolist(), words.firsts[1:].tolist()):
-        if b - a >= SHINGLE:
-            found.append(np.unique(every[a : b - SHINGLE + 1]))
-        else:
-            found.append(shingles(words.hashes[a:b], b - a) if b > a else every[:0])
-    return found
+    counts = np.diff(words.firsts)
+    sizes = np.where(counts >= SHINGLE, counts - SHINGLE + 1, np.minimum(counts, 1))
+    firsts = np.append(0, np.cumsum(sizes))
+    every = np.append(shingles(words.hashes, SHINGLE), np.zeros(min(SHINGLE - 1, len(words.hashes)), np.uint64))
+    values = every[expand(words.firsts[:-1], sizes)[1]]
+    for n in np.flatnonzero((counts > 0) & (counts < SHINGLE)).tolist():
+        values[firsts[n]] = shingles(words.hashes[words.firsts[n] : words.firsts[n + 1]], int(counts[n]))[0]
+    for a, b in zip(firsts[:-1].tolist(), firsts[1:].tolist()):
+        values[a:b].sort()
+    fresh = np.ones(len(values), bool)
+    fresh[1:] = values[1:] != values[:-1]
+    fresh[firsts[:-1][sizes > 0]] = True
+    return Sets(values[fresh], np.append(0, np.cumsum(fresh))[firsts])
 
 
 @cache
@@ -74,51 +102,133 @@ def band_edges() -> np.ndarray:
     return np.array(edges)
 
 
-def signature(shingle_set: np.ndarray) -> int:
-    """The band of a set's size, and under it a hash of the set."""
-    total = mixed(shingle_set ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64)
-    own = int(mixed(np.array([total + np.uint64(len(shingle_set))]))[0]) >> (64 - HASH_BITS)
-    return int(np.searchsorted(band_edges(), len(shingle_set), "right")) << HASH_BITS | own
+def signatures(sets: Sets) -> np.ndarray:
+    """The band of each set's size, and under it a hash of the set."""
+    sizes = sets.sizes
+    sums = np.append(np.uint64(0), np.cumsum(mixed(sets.values ^ np.uint64(0xA5A5A5A5A5A5A5A5))))
+    totals = sums[sets.firsts[1:]] - sums[sets.firsts[:-1]]
+    own = mixed(totals + sizes.astype(np.uint64)) >> np.uint64(64 - HASH_BITS)
+    return np.searchsorted(band_edges(), sizes, "right") << HASH_BITS | own.view(np.int64)
+
+
+def unseen(nodes: np.ndarray, sizes: np.ndarray, seen: set[int]) -> np.ndarray:
+    """The places of the nodes that were not seen yet, which are from now on; of sets that hold anything."""
+    fresh = []
+    for n in np.flatnonzero(sizes).tolist():
+        node = int(nodes[n])
+        if node not in seen:
+            seen.add(node)
+            fresh.append(n)
+    return np.array(fresh, np.int64)
 
 
 def band(node: str) -> Column:
     return F.shiftright(node, HASH_BITS)
 
 
+def groups_of(sizes: np.ndarray) -> np.ndarray:
+    """A power of two of groups, a quarter as many as shingles at least."""
+    return np.maximum(LEAST_GROUPS, 1 << np.frexp(sizes // 4)[1].astype(np.int64))
+
+
+def count_vectors(sets: Sets, groups: int) -> np.ndarray:
+    """Shingles per group, a row for each set."""
+    rows = len(sets.firsts) - 1
+    place = np.repeat(np.arange(rows) * groups, sets.sizes) + (sets.values & np.uint64(groups - 1)).astype(np.int64)
+    return np.bincount(place, minlength=rows * groups).reshape(rows, groups)
+
+
 def count_vector(shingle_set: np.ndarray) -> np.ndarray:
-    """Shingles per group; a power of two of groups, a quarter as many as shingles at least."""
-    groups = max(LEAST_GROUPS, 1 << (len(shingle_set) // 4).bit_length())
-    return np.bincount((shingle_set & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
+    size = len(shingle_set)
+    return count_vectors(Sets(shingle_set, np.array([0, size])), int(groups_of(np.array([size]))[0]))[0]
 
 
-def folded(vector: np.ndarray, groups: int) -> np.ndarray:
-    return vector.reshape(-1, groups).sum(axis=0) if len(vector) > groups else vector
+def folded(vectors: np.ndarray, groups: int) -> np.ndarray:
+    own = vectors.shape[-1]
+    return vectors.reshape(*vectors.shape[:-1], own // groups, groups).sum(axis=-2) if own > groups else vectors
 
 
-def packed(vector: np.ndarray) -> bytes:
+def _halves(vectors: np.ndarray) -> np.ndarray:
     """Four bits a group; what does not fit is read as more than any overlap."""
-    small = np.minimum(vector, 15).astype(np.uint8)
-    return (small[::2] | small[1::2] << np.uint8(4)).tobytes()
+    small = np.minimum(vectors, 15).astype(np.uint8)
+    return small[..., ::2] | small[..., 1::2] << np.uint8(4)
+
+
+def packed(vector: np.ndarray) -> bytes:
+    return _halves(vector).tobytes()
+
 
+def packed_sets(sets: Sets) -> list[bytes]:
+    """The packed count vector of every set."""
+    groups, out = groups_of(sets.sizes), [b""] * (len(sets.firsts) - 1)
+    for number in np.unique(groups).tolist():
+        rows = np.flatnonzero(groups == number)
+        for at in range(0, len(rows), max(1, COMPARED // number)):
+            some = rows[at : at + max(1, COMPARED // number)]
+            for n, vector in zip(some.tolist(), _halves(count_vectors(sets.take(some), number))):
+                out[n] = vector.tobytes()
+    return out
 
-def unpacked(value: bytes) -> np.ndarray:
-    pairs = np.frombuffer(value, np.uint8)
-    counts = np.empty(2 * len(pairs), np.int64)
-    counts[::2], counts[1::2] = pairs & 15, pairs >> 4
+
+def unpacked(value: bytes | np.ndarray) -> np.ndarray:
+    pairs = np.frombuffer(value, np.uint8) if isinstance(value, bytes) else value
+    counts = np.empty((*pairs.shape[:-1], 2 * pairs.shape[-1]), np.int64)
+    counts[..., ::2], counts[..., 1::2] = pairs & 15, pairs >> 4
     counts[counts == 15] = UNBOUNDED
     return counts
 
 
-def prefix(shingle_set: np.ndarray, common: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """The first shingles in the common order: rare before common, and then by hash."""
-    size = len(shingle_set) - -(-PERCENT * len(shingle_set) // 100) + 1
-    if len(common) and len(shingle_set):
-        at = np.searchsorted(common, shingle_set)
-        at[at == len(common)] = 0
-        late = np.where(common[at] == shingle_set, places[at], 0)
-        if late.any():
-            shingle_set = shingle_set[np.lexsort((shingle_set, late))]
-    return shingle_set[:size]
+class Vectors:
+    """A column of packed count vectors; rows are handed out unpacked."""
+
+    def __init__(self, column: pa.Array) -> None:
+        column = column.cast(pa.large_binary())
+        _, offsets, data = column.buffers()
+        self.starts = np.frombuffer(offsets, np.int64, len(column) + 1, column.offset * 8)
+        self.data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        self.groups = 2 * np.diff(self.starts)
+
+    def __getitem__(self, rows: np.ndarray) -> np.ndarray:
+        """Rows that have the same number of groups."""
+        size = int(self.groups[rows[0]]) // 2
+        return unpacked(self.data[self.starts[rows][:, None] + np.arange(size)])
+
+    def points(self, groups: int) -> np.ndarray:
+        out = np.empty((len(self.groups), groups), np.int64)
+        for number in np.unique(self.groups).tolist():
+            rows, step = np.flatnonzero(self.groups == number), max(1, COMPARED // number)
+            for at in range(0, len(rows), step):
+                out[rows[at : at + step]] = folded(self[rows[at : at + step]], groups)
+        return out
+
+
+def late_places(values: np.ndarray, common: np.ndarray, places: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """How late each shingle comes; 0 for those that are not common."""
+    late = np.zeros(len(values), np.int64)
+    maybe = np.flatnonzero(known[values >> np.uint64(64 - KNOWN_BITS)])
+    at = np.searchsorted(common, values[maybe])
+    at[at == len(common)] = 0
+    same = common[at] == values[maybe] if len(maybe) else np.zeros(0, bool)
+    late[maybe[same]] = places[at[same]]
+    return late
+
+
+def prefixes(sets: Sets, late: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first shingles of each set in the common order, rare before common and then by hash, with
+    the number of their set."""
+    sizes = sets.sizes
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    taken = np.where(sizes > 0, sizes - -(-PERCENT * sizes // 100) + 1, 0)
+    early = late == 0
+    before = np.append(0, np.cumsum(early))
+    rare = np.diff(before[sets.firsts])
+    keep = early & (before[:-1] - before[sets.firsts[:-1]][owner] < taken[owner])
+    missing = np.maximum(taken - rare, 0)
+    rest = np.flatnonzero(~early & (missing[owner] > 0))
+    rest = rest[np.lexsort((sets.values[rest], late[rest], owner[rest]))]
+    own = owner[rest]
+    keep[rest[np.arange(len(rest)) - np.searchsorted(own, own) < missing[own]]] = True
+    return owner[keep], sets.values[keep]
 
 
 def overlap_needed(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -126,9 +236,22 @@ def overlap_needed(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return -(-PERCENT * (n + m) // (100 + PERCENT))
 
 
-def may_link(n: int, one: np.ndarray, m: int, two: np.ndarray) -> bool:
-    groups = min(len(one), len(two))
-    return int(np.minimum(folded(one, groups), folded(two, groups)).sum()) >= overlap_needed(n, m)
+def may_link(n: np.ndarray, one: np.ndarray, m: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Whether count vectors of sets of sizes n and m allow a link, of one pair or a row for each."""
+    groups = min(one.shape[-1], two.shape[-1])
+    return np.minimum(folded(one, groups), folded(two, groups)).sum(axis=-1) >= overlap_needed(n, m)
+
+
+def may_links(n: np.ndarray, one: Vectors, m: np.ndarray, two: Vectors, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the pairs (row a of one, row b of two) may be links."""
+    good = np.zeros(len(a), bool)
+    kinds, kind = np.unique(np.stack([one.groups[a], two.groups[b]]), axis=1, return_inverse=True)
+    for number, widest in enumerate(kinds.max(axis=0).tolist() if len(a) else []):
+        rows, step = np.flatnonzero(kind == number), max(1, COMPARED // widest)
+        for at in range(0, len(rows), step):
+            some = rows[at : at + step]
+            good[some] = may_link(n[a[some]], one[a[some]], m[b[some]], two[b[some]])
+    return good
 
 
 class CountTree:
@@ -180,127 +303,143 @@ class CountTree:
         return queries[good], boxes[good]
 
 
-def _common(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Common shingles in order of hash, and how late each comes."""
-
-    @releasing
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
-
-        def rows() -> pa.RecordBatch:
-            names, counts = np.unique(np.concatenate([*held, np.zeros(0, np.uint64)]), return_counts=True)
-            often = counts >= LEAST_COUNT
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(names[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], ["shingle", "n"])
-
-        for batch in batches:
-            data, offsets = text_buffer(batch.column(0))
-            for first, last in chunks(offsets, TEXT_BYTES):
-                sets = shingle_sets(data, offsets[first : last + 1])
-                held += sets
-                size += sum(map(len, sets))
-                if size > COUNTED:
-                    yield rows()
-                    size = 0
-        yield rows()
-
-    counted = docs.select("text").mapInArrow(run, "shingle bigint, n bigint").groupBy("shingle").agg(F.sum("n").alias("n"))
-    least = max(LEAST_COMMON, COMMON_SHARE * docs.count())
-    found = counted.filter(F.col("n") >= F.lit(least)).toArrow()
+def _common(counted: DataFrame, documents: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Common shingles in order of hash, how late each comes, and a filter of their high bits."""
+    least = max(LEAST_COMMON, COMMON_SHARE * documents)
+    often = materialise(counted.groupBy("shingle").agg(F.sum("n").alias("n")).filter(F.col("n") >= F.lit(least)), "common-shingles")
+    # The least count above which there are not too many.
+    total = 0
+    for row in often.groupBy("n").count().orderBy(F.desc("n")).collect():
+        total += row["count"]
+        if total > MOST_COMMON:
+            often = often.filter(F.col("n") > row["n"])
+            break
+    found = often.toArrow()
     names = found.column("shingle").to_numpy().view(np.uint64)
     places = np.floor(np.log2(np.maximum(found.column("n").to_numpy(), 1))).astype(np.int64)
     order = np.argsort(names)
-    return names[order], places[order]
+    known = np.zeros(1 << KNOWN_BITS, bool)
+    known[names >> np.uint64(64 - KNOWN_BITS)] = True
+    return names[order], places[order], known
 
 
-FEATURES = "doc_id bigint, n_shingles bigint, node bigint, vector binary"
+FEATURES = "doc_id bigint, n_shingles bigint, node bigint, vector binary, shingle bigint, n bigint"
 
 
 def _features(docs: DataFrame) -> DataFrame:
-    """Size and signature of every set; its point where a task sees a set for the first time."""
+    """Size and signature of every set; its point where a task sees a set for the first time. Beside
+    these, in rows of their own, shingles and how often a task has seen them."""
+    empty = lambda kind, rows: pa.nulls(rows, kind)
+    names = ["doc_id", "n_shingles", "node", "vector", "shingle", "n"]
 
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        held: list[np.ndarray] = []
+        size = 0
+
+        def counts() -> pa.RecordBatch:
+            every = np.concatenate([*held, np.zeros(0, np.uint64)])
+            held.clear()
+            every.sort()
+            ends = np.flatnonzero(np.append(every[1:] != every[:-1], len(every) > 0))
+            times = np.diff(ends, prepend=-1)
+            often = times >= LEAST_COUNT
+            shingle, n = every[ends[often]].view(np.int64), times[often]
+            arrays = [*(empty(pa.int64(), len(n)) for _ in range(3)), empty(pa.binary(), len(n)), pa.array(shingle), pa.array(n)]
+            return pa.RecordBatch.from_arrays(arrays, names)
+
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
             for first, last in chunks(offsets, TEXT_BYTES):
-                sizes, nodes, vectors = [], [], []
-                for own in shingle_sets(data, offsets[first : last + 1]):
-                    node = signature(own)
-                    fresh = len(own) > 0 and node not in seen
-                    seen.add(node)
-                    sizes.append(len(own))
-                    nodes.append(node)
-                    vectors.append(packed(count_vector(own)) if fresh else None)
-                arrays = [batch.column(0).slice(first, last - first), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(vectors, pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "node", "vector"])
+                sets = shingle_sets(data, offsets[first : last + 1])
+                nodes = signatures(sets)
+                fresh = unseen(nodes, sets.sizes, seen)
+                vectors = np.full(last - first, None, object)
+                vectors[fresh] = packed_sets(sets.take(fresh))
+                arrays = [batch.column(0).slice(first, last - first), pa.array(sets.sizes), pa.array(nodes), pa.array(vectors, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*arrays, *(empty(pa.int64(), last - first) for _ in range(2))], names)
+                held.append(sets.values)
+                size += len(sets.values)
+                if size > COUNTED:
+                    yield counts()
+                    size = 0
+        yield counts()
 
     return docs.select("doc_id", "text").mapInArrow(run, FEATURES)
 
 
-def _prefix_keys(docs: DataFrame, common: Broadcast) -> DataFrame:
-    """(key, node) of the prefix of every set, once per task that sees it. Texts are cut a second
-    time for these rather than written with them: they are by far the most that the join moves."""
+def _prefix_keys(docs: DataFrame, common: Broadcast, parts: int) -> DataFrame:
+    """Keys and nodes of the prefix of every set, once per task that sees it, packed: a row holds what a
+    task has found for one of the parts. Texts are cut a second time for these rather than written
+    with them: they are by far the most that the join moves."""
 
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, places = common.value
         seen: set[int] = set()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def rows() -> pa.RecordBatch:
+            key, node = (np.concatenate(c) for c in zip(*held))
+            held.clear()
+            part = (key % np.uint64(parts)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            key, node, part = key[order], node[order], part[order]
+            firsts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+            bounds = list(zip(firsts.tolist(), [*firsts[1:].tolist(), len(part)]))
+            columns = ([c[a:b].tobytes() for a, b in bounds] for c in (key, node))
+            return pa.RecordBatch.from_arrays([pa.array(part[firsts]), *(pa.array(c, pa.binary()) for c in columns)], ["part", "keys", "nodes"])
+
         for batch in batches:
             data, offsets = text_buffer(batch.column(0))
             for first, last in chunks(offsets, TEXT_BYTES):
-                nodes, keys = [], []
-                for own in shingle_sets(data, offsets[first : last + 1]):
-                    node = signature(own)
-                    if len(own) and node not in seen:
-                        seen.add(node)
-                        nodes.append(node)
-                        keys.append(prefix(own, names, places).view(np.int64))
-                if keys:
-                    owner = np.repeat(np.array(nodes), [len(k) for k in keys])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(owner)], ["key", "node"])
+                sets = shingle_sets(data, offsets[first : last + 1])
+                nodes = signatures(sets)
+                fresh = unseen(nodes, sets.sizes, seen)
+                sets = sets.take(fresh)
+                owner, keys = prefixes(sets, late_places(sets.values, *common.value))
+                held.append((keys, nodes[fresh][owner]))
+                size += len(keys)
+                if size > KEYS:
+                    yield rows()
+                    size = 0
+        if held:
+            yield rows()
 
-    return docs.select("text").mapInArrow(run, "key bigint, node bigint")
+    return docs.select("text").mapInArrow(run, "part int, keys binary, nodes binary")
 
 
-def _shared_keys(keyed: DataFrame) -> DataFrame:
-    """From (key, node): the rows with another node of their key in the same or the next band, each
-    with the first node of its key and band, and the one before it. Nodes of a key come by band, so
-    the nearest in size is next to each; nothing is held but the last row."""
+def _shared_keys(keyed: DataFrame, parts: int) -> DataFrame:
+    """The keys with another node of theirs in the same or the next band: (key, node), each with the
+    first node of its key and band, and the one before it. Nodes of a key come by band, so the nearest
+    in size is next to each. A task holds the keys of its part, of which there are as many parts as needed."""
 
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, node, leader, before = (np.zeros(0, np.int64) for _ in range(4))  # the last row
-        near = np.zeros(0, bool)  # whether it has one before it
-
-        def rows(*columns: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "node", "leader", "before"])
-
-        for batch in batches:
-            held = len(key)
-            key, node = (np.concatenate([one, c.to_numpy()]) for one, c in zip((key, node), batch.columns))
-            fresh = np.ones(len(key), bool)
-            fresh[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-            key, node = key[fresh], node[fresh]
-            if not len(key):
-                continue
-            same = key[1:] == key[:-1]
-            away = np.diff(node >> HASH_BITS)
-            near = np.concatenate([near if held else [False], same & (away <= 1)])
-            start = np.concatenate([[True], ~same | (away > 0)])
-            first = node.copy()
-            first[:held] = leader
-            leader = first[np.maximum.accumulate(np.where(start, np.arange(len(key)), 0))]
-            before = np.where(near, np.concatenate([before if held else node[:1], node[:-1]]), node)
-            kept = near[:-1] | near[1:]
-            yield rows(*(c[:-1][kept] for c in (key, node, leader, before)))
-            key, node, leader, before, near = (c[-1:] for c in (key, node, leader, before, near))
-        yield rows(*(c[near] for c in (key, node, leader, before)))
-
-    ordered = keyed.repartition("key").sortWithinPartitions("key", "node")
-    return ordered.mapInArrow(run, "key bigint, node bigint, leader bigint, before bigint")
+        held = [tuple(b"".join(batch.column(c).to_pylist()) for c in ("keys", "nodes")) for batch in batches]
+        key, node = (np.frombuffer(b"".join(c), np.int64) for c in zip(*held)) if held else (np.zeros(0, np.int64),) * 2
+        held.clear()
+        order = np.argsort(key)
+        same = np.diff(key[order]) == 0
+        order = order[np.append(same, False) | np.append(False, same)] if len(order) else order
+        order = order[np.lexsort((node[order], key[order]))]
+        key, node = key[order], node[order]
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+        key, node = key[fresh], node[fresh]
+        same, away = key[1:] == key[:-1], np.diff(node >> HASH_BITS)
+        near = np.append(same & (away <= 1), False)  # whether one comes after it
+        after = np.append(False, near[:-1])[: len(key)]
+        start = np.append(True, ~same | (away > 0))[: len(key)]
+        leader = node[np.maximum.accumulate(np.where(start, np.arange(len(key)), 0))] if len(key) else node
+        before = np.where(after, np.append(0, node[:-1])[: len(key)], node)
+        kept = near[: len(key)] | after
+        for at in range(0, len(key), KEYS):
+            rows = [pa.array(c[at : at + KEYS][kept[at : at + KEYS]]) for c in (key, node, leader, before)]
+            yield pa.RecordBatch.from_arrays(rows, ["key", "node", "leader", "before"])
+
+    return keyed.repartitionById(parts, F.col("part")).mapInArrow(run, "key bigint, node bigint, leader bigint, before bigint")
 
 
 def _bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -312,8 +451,9 @@ def _bounded(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("size_a", "vector_a", "size_b", "vector_b")))
-            good = pa.array([may_link(n, unpacked(v), m, unpacked(w)) for n, v, m, w in rows], pa.bool_())
+            n, m = (batch.column(c).to_numpy() for c in ("size_a", "size_b"))
+            row = np.arange(batch.num_rows)
+            good = pa.array(may_links(n, Vectors(batch.column("vector_a")), m, Vectors(batch.column("vector_b")), row, row))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], ["a", "b"])
 
     return near.mapInArrow(run, "a bigint, b bigint")
@@ -333,11 +473,12 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
             wanted = pa.array((shared.value[word] >> bit & 1).astype(bool))
             data, offsets = text_buffer(batch.column(2).filter(wanted))
             for first, last in chunks(offsets, TEXT_BYTES):
-                found = {signature(s): s for s in shingle_sets(data, offsets[first : last + 1])}
-                fresh = [k for k in found if k not in seen]
-                seen.update(fresh)
-                lists = pa.array([found[k].view(np.int64) for k in fresh], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(fresh, pa.int64()), lists], ["node", "shingles"])
+                sets = shingle_sets(data, offsets[first : last + 1])
+                nodes = signatures(sets)
+                fresh = unseen(nodes, sets.sizes, seen)
+                sets = sets.take(fresh)
+                lists = pa.ListArray.from_arrays(pa.array(sets.firsts, pa.int32()), pa.array(sets.values.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[fresh]), lists], ["node", "shingles"])
 
     return rows.mapInArrow(run, "node bigint, shingles array<bigint>")
 
@@ -386,45 +527,54 @@ def _left_pairs(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     cells = _blocks(rows).select(F.xxhash64("main", "upper", "cell.i", "cell.j").alias("cell"), "node", "class", "asks", (band("node") == F.col("upper")).alias("high"))
     full = cells.join(nodes.select("node", "size", "vector"), "node")
 
-    def group(held: list[tuple]) -> Iterator[tuple[int, int]]:
-        node, label, asks, high, size = (np.array([h[k] for h in held]) for k in range(5))
-        if not asks.any() or (label == label[0]).all():
-            return
-        vectors = [unpacked(h[5]) for h in held]
-        points = np.array([folded(v, DIMENSIONS) for v in vectors])
-        who = np.flatnonzero(asks)
-        queries, found = CountTree(points, size).search(points[who], size[who])
-        queries = who[queries]
-        # Two nodes of the lower band meet where it is the upper one.
-        keep = (label[queries] != label[found]) & (~asks[found] | (node[queries] < node[found])) & (high[queries] | high[found])
-        for a, b in zip(queries[keep].tolist(), found[keep].tolist()):
-            if may_link(int(size[a]), vectors[a], int(size[b]), vectors[b]):
-                yield int(node[a]), int(node[b])
+    def met(points: np.ndarray, size: np.ndarray, firsts: np.ndarray, asks: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (a row that asks, another of its cell): all of a cell of few rows, else those that its tree lets through."""
+        counts = np.diff(firsts)
+        few = np.flatnonzero(np.repeat(counts <= FEW, counts) & asks)
+        cell = np.searchsorted(firsts, few, "right") - 1
+        step = max(1, COMPARED // FEW // DIMENSIONS)
+        for at in range(0, len(few), step):
+            owner, rows = expand(firsts[cell[at : at + step]], counts[cell[at : at + step]])
+            yield CountTree._kept(points, size, few[at : at + step][owner], rows, points, size, size)
+        for first, last in zip(firsts[:-1][counts > FEW].tolist(), firsts[1:][counts > FEW].tolist()):
+            who = np.flatnonzero(asks[first:last])
+            queries, rows = CountTree(points[first:last], size[first:last]).search(points[first:last][who], size[first:last][who])
+            yield first + who[queries], first + rows
 
     @releasing
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[tuple[int, int]] = set()
-        held: list[tuple] = []
+        held: list[pa.RecordBatch] = []
         cell = None
 
-        def rows_of(pairs: Iterator[tuple[int, int]]) -> pa.RecordBatch:
-            fresh = list({(max(p), min(p)) for p in pairs} - done)
-            if len(done) > 1 << 18:
-                done.clear()
-            done.update(fresh)
-            a, b = zip(*fresh) if fresh else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
+        def pairs() -> Iterator[pa.RecordBatch]:
+            whole = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            if not whole.num_rows:
+                return
+            cells, node, label, asks, high, size = (whole.column(c).to_numpy() for c in ("cell", "node", "class", "asks", "high", "size"))
+            vectors = Vectors(whole.column("vector").combine_chunks())
+            firsts = np.append(np.flatnonzero(np.append(True, cells[1:] != cells[:-1])), len(cells))
+            for queries, found in met(vectors.points(DIMENSIONS), size, firsts, asks):
+                # Two nodes of the lower band meet where it is the upper one.
+                keep = (label[queries] != label[found]) & (~asks[found] | (node[queries] < node[found])) & (high[queries] | high[found])
+                queries, found = queries[keep], found[keep]
+                good = may_links(size, vectors, size, vectors, queries, found)
+                a, b = node[queries[good]], node[found[good]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
+
+        # Cells come whole, as many as a batch holds.
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("cell", "node", "class", "asks", "high", "size", "vector")]
-            for row in zip(*columns):
-                if row[0] != cell and held:
-                    yield rows_of(group(held))
-                    held = []
-                cell = row[0]
-                held.append(row[1:])
+            if not batch.num_rows:
+                continue
+            cells = batch.column("cell").to_numpy()
+            start = int(np.searchsorted(cells, cells[-1]))
+            if start or (held and cell != cells[-1]):
+                held.append(batch.slice(0, start))
+                yield from pairs()
+            held.append(batch.slice(start))
+            cell = cells[-1]
         if held:
-            yield rows_of(group(held))
+            yield from pairs()
 
     ordered = full.repartition("cell").sortWithinPartitions("cell")
     return ordered.mapInArrow(run, "a bigint, b bigint").distinct()
@@ -441,11 +591,14 @@ def classes(docs: DataFrame) -> DataFrame:
     equal 57-bit hashes within a band of sizes as equal sets. Only doc_id and text are read.
     """
     docs = docs.select("doc_id", "text")
-    features = materialise(_features(docs), "shingle-features")
+    counted = materialise(_features(docs), "shingle-features")
+    features = counted.filter("shingle is null").select("doc_id", "n_shingles", "node", "vector")
     fresh = features.filter("vector is not null")
     nodes = materialise(fresh.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("size"), F.max("vector").alias("vector")), "shingle-nodes")
-    common = docs.sparkSession.sparkContext.broadcast(_common(docs))
-    keyed = materialise(_shared_keys(_prefix_keys(docs, common)), "shingle-keys")
+    common = docs.sparkSession.sparkContext.broadcast(_common(counted.filter("shingle is not null").select("shingle", "n"), features.count()))
+    keys = features.agg(F.coalesce(F.sum(F.expr(f"n_shingles * {100 - PERCENT} div 100 + 1")), F.lit(0))).first()[0]
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-keys // KEYS))
+    keyed = materialise(_shared_keys(_prefix_keys(docs, common, parts), parts), "shingle-keys")
     common.unpersist()
     near = keyed.select(F.col("node").alias("a"), F.explode(F.array("leader", "before")).alias("b")).filter("a <> b")
     near = near.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()

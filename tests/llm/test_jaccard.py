@@ -128,3 +128,67 @@ def test_components(spark):
         low, high = sorted((find(a), find(b)))
         root[high] = low
     assert got == {x: find(x) for pair in links for x in pair if find(x) != x}
+
+
+def test_passages_of_a_few_documents_come_late(spark):
+    """Whatever the number of documents: under a shingle that is not common all that have it are compared."""
+    passage = " ".join(f"p{n}" for n in range(30))
+    rows = [(n, f"a{n} b{n} c{n} d{n} e{n} f{n}") for n in range(18_000)]
+    rows += [(20_000 + n, " ".join(f"u{n}x{k}" for k in range(20)) + " " + passage) for n in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(1)
+    found = jaccard._features(docs)
+    counted = found.filter("shingle is not null").select("shingle", "n")
+    assert found.filter("shingle is null").count() == len(rows)
+    common = jaccard._common(counted, len(rows))
+    data, offsets = jaccard.text_buffer(jaccard.pa.array([passage]))
+    assert common[0].tolist() == jaccard.shingle_sets(data, offsets).values.tolist()
+    shared = spark.sparkContext.broadcast(common)
+    keys = jaccard._shared_keys(jaccard._prefix_keys(docs, shared, 3), 3)
+    assert keys.count() == 0
+
+
+def test_most_common_shingles_are_bounded(spark, monkeypatch):
+    counted = spark.createDataFrame([(n, 16 + n // 10) for n in range(100)], "shingle bigint, n bigint")
+    monkeypatch.setattr(jaccard, "MOST_COMMON", 35)
+    assert sorted(jaccard._common(counted, 100)[0].tolist()) == list(range(70, 100))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_prefixes(seed):
+    rng = np.random.default_rng(seed)
+    base = np.unique(rng.integers(0, 2**64, 900, dtype=np.uint64))
+    common = base[rng.random(len(base)) < 0.6]
+    places = rng.integers(4, 8, len(common))
+    late = dict(zip(common.tolist(), places.tolist()))
+    known = np.zeros(1 << jaccard.KNOWN_BITS, bool)
+    known[common >> np.uint64(64 - jaccard.KNOWN_BITS)] = True
+    parts = [np.sort(rng.choice(base, n, replace=False)) for n in (0, 1, 2, 3, 4, 5, 0, 17, 400, 800)]
+    sets = jaccard.Sets(np.concatenate(parts), np.append(0, np.cumsum([len(p) for p in parts])))
+    owner, keys = jaccard.prefixes(sets, jaccard.late_places(sets.values, common, places, known))
+    for n, own in enumerate(parts):
+        want = sorted(own.tolist(), key=lambda x: (late.get(x, 0), x))[: len(own) // 4 + 1]
+        assert sorted(keys[owner == n].tolist()) == sorted(want)
+
+
+def test_vectors_of_a_column():
+    rng = np.random.default_rng(4)
+    parts = [np.unique(rng.integers(0, 2**63, n).astype(np.uint64)) for n in (1, 900, 1100, 9000, 40)]
+    parts += [np.unique(np.arange(40, dtype=np.uint64) * np.uint64(4096)), np.sort(np.append(parts[1][9:], parts[0]))]
+    sets = jaccard.Sets(np.concatenate(parts), np.append(0, np.cumsum([len(p) for p in parts])))
+    packed = jaccard.packed_sets(sets)
+    assert packed == [jaccard.packed(jaccard.count_vector(p)) for p in parts]
+    column = jaccard.Vectors(jaccard.pa.array([b"", *packed], jaccard.pa.binary()).slice(1))
+    single = [jaccard.unpacked(p) for p in packed]
+    assert column.points(32).tolist() == [jaccard.folded(v, 32).tolist() for v in single]
+    a, b = (x.ravel() for x in np.indices((len(parts), len(parts))))
+    want = [bool(jaccard.may_link(len(parts[x]), single[x], len(parts[y]), single[y])) for x, y in zip(a, b)]
+    assert jaccard.may_links(sets.sizes, column, sets.sizes, column, a, b).tolist() == want
+    assert len(jaccard.may_links(sets.sizes, column, sets.sizes, column, a[:0], b[:0])) == 0
+
+
+def test_cells_of_many_nodes(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "FEW", 3)
+    monkeypatch.setattr(jaccard, "KEYS", 50)
+    rows = families(7)
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    assert answers(jaccard.classes(frame)) == brute(rows)
